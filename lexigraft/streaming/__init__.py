@@ -1,0 +1 @@
+"""No streaming operators: every input of the domain is a finished table."""
