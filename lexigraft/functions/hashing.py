@@ -37,10 +37,11 @@ def sign_words(key: Column, dim: int) -> list[Column]:
     return words
 
 
-def sign_of(word: Column, j: int) -> Column:
-    """Sign j of a 32-bit word: bit j%4 of its hex digit j//4, counted from the left."""
+def sign_of(word: str, j: int) -> str:
+    """SQL text of sign j of the 32-bit word in column ``word``: bit j%4 of its hex
+    digit j//4, counted from the left."""
     digit, bit = divmod(j % 32, 4)
-    return 1 - 2 * F.shiftright(word, 4 * (7 - digit) + bit).bitwiseAND(F.lit(1))
+    return f"(1 - 2 * (shiftright({word}, {4 * (7 - digit) + bit}) & 1))"
 
 
 def row_digest(*cols: Column) -> Column:

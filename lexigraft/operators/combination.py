@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigraft.functions.salting import every_salt, salt_of
 from lexigraft.session import DEFAULT_LIMITS, Limits
 
 
@@ -19,8 +20,8 @@ def combine_vectors(parts: DataFrame, embeddings: DataFrame, keys: list[str], li
     """
     vectors = embeddings.select(F.col("vocab").alias("source"), F.col("id").alias("src_id"), "matrix", "vector")
     used = vectors.join(parts.select("source", "src_id").distinct(), ["source", "src_id"], "left_semi")
-    spread = used.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))).cast("bigint"))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*keys, "k"), F.lit(limits.salts)))
+    spread = used.withColumn("_salt", every_salt(limits.salts))
+    salted = parts.withColumn("_salt", salt_of([*keys, "k"], limits.salts))
     joined = salted.join(spread, ["source", "src_id", "_salt"])
     row = F.struct("k", "w", "vector")
     by_block = joined.groupBy(*keys, "matrix", ((F.col("k") - 1) / limits.fold_rows).cast("int").alias("_block")).agg(

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraft.functions.fixed import from_steps, to_steps
+from lexigraft.functions.fixed import STEP_BITS, to_steps
 from lexigraft.functions.hashing import sign_of, sign_words
 
 
@@ -87,14 +87,10 @@ def ppmi(pairs: DataFrame, dim: int | None = None) -> DataFrame:
 def project(weighted: DataFrame, dim: int) -> DataFrame:
     """``(vocab, token, vector)``: contexts projected to ``dim`` columns with
     signs keyed by the context, scaled by 1/sqrt(dim)."""
-    steps = to_steps(F.col("ppmi"))
-    sums = [
-        F.sum(steps * sign_of(F.col(f"s{j // 32}"), j)).alias(f"d{j}") for j in range(dim)
-    ]
-    packed = F.array(*[from_steps(F.col(f"d{j}")) / math.sqrt(dim) for j in range(dim)])
+    rows = weighted.where(F.col("ppmi") > 0).withColumn("_steps", to_steps(F.col("ppmi")))
+    sums = [F.expr(f"sum(_steps * {sign_of(f's{j // 32}', j)}) AS d{j}") for j in range(dim)]
+    scale = f"{float(1 << STEP_BITS)!r}D / {math.sqrt(dim)!r}D"
+    packed = F.expr("array(" + ", ".join(f"d{j} / {scale}" for j in range(dim)) + ")")
     return (
-        weighted.where(F.col("ppmi") > 0)
-        .groupBy(F.col("lang").alias("vocab"), "token")
-        .agg(*sums)
-        .select("vocab", "token", packed.alias("vector"))
+        rows.groupBy(F.col("lang").alias("vocab"), "token").agg(*sums).select("vocab", "token", packed.alias("vector"))
     )

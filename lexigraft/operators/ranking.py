@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigraft.functions.salting import salt_of
 from lexigraft.session import DEFAULT_LIMITS, Limits, materialize
 
 
@@ -18,7 +19,7 @@ def top_n(
     """
     if n > limits.window_rows // limits.salts:
         return number_rows(df, part, order, "_rn", limits, small=False).where(F.col("_rn") < n).drop("_rn")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(limits.salts)))
+    salted = df.withColumn("_salt", salt_of(df.columns, limits.salts))
     slices = Window.partitionBy(*part, "_salt").orderBy(*order)
     groups = Window.partitionBy(*part).orderBy(*order)
     return (

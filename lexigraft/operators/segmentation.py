@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexigraft.functions.salting import every_salt, salt_of
 from lexigraft.functions.text import WORD_MARK, split_words
 from lexigraft.session import DEFAULT_LIMITS, Limits, materialize
 
@@ -89,26 +90,38 @@ def _eligible(vocab: DataFrame, emit: str) -> DataFrame:
     return vocab.where(~F.col("is_special")).select("vocab", "token", F.col(emit).alias("value"), score.alias("score"))
 
 
-def _unknowns(vocab: DataFrame, emit: str) -> dict[str, Any]:
-    rows = vocab.where(F.col("token") == UNKNOWN).select("vocab", F.col(emit).alias("value")).collect()
-    return {r["vocab"]: r["value"] for r in rows}
-
-
 def fits_broadcast(df: DataFrame, text: str, limits: Limits) -> bool:
     n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     return n <= limits.broadcast_rows and size <= limits.broadcast_bytes
 
 
-def _load(vocab: DataFrame, emit: str, limits: Limits) -> dict[str, Pieces] | None:
-    """The pieces of all vocabularies, or None if they are too large to send around."""
-    eligible = _eligible(vocab, emit)
-    if not fits_broadcast(eligible, "token", limits):
+def _unknowns(vocab: DataFrame, emit: str) -> dict[str, Any]:
+    rows = vocab.where(F.col("token") == UNKNOWN).select("vocab", F.col(emit).alias("value")).collect()
+    return {r["vocab"]: r["value"] for r in rows}
+
+
+def _load(
+    vocab: DataFrame, emit: str, limits: Limits, keep: str | None = None
+) -> tuple[dict[str, Pieces], dict[str, set]] | None:
+    """The pieces of all vocabularies and the values to leave out, or None if the
+    vocabularies are too large to send around."""
+    if not fits_broadcast(vocab, "token", limits):
         return None
-    unknown = _unknowns(vocab, emit)
-    rows: dict[str, list[tuple[str, Any, float]]] = {v: [] for v in unknown}
-    for r in eligible.toLocalIterator():
-        rows.setdefault(r["vocab"], []).append((r["token"], r["value"], r["score"]))
-    return {v: Pieces.build(found, unknown.get(v)) for v, found in rows.items()}
+    score = F.col("score").cast("double") if "score" in vocab.columns else F.lit(0.0)
+    kept = F.col(keep) if keep else F.lit(True)
+    rows = vocab.select("vocab", "token", F.col(emit).alias("value"), score, kept, "is_special").collect()
+    unknown: dict[str, Any] = {}
+    pieces: dict[str, list[tuple[str, Any, float]]] = {}
+    left_out: dict[str, set] = {}
+    for name, token, value, weight, keeps, special in rows:
+        found = pieces.setdefault(name, [])
+        if token == UNKNOWN:
+            unknown[name] = value
+        if not special:
+            found.append((token, value, weight))
+        if not keeps:
+            left_out.setdefault(name, set()).add(value)
+    return {v: Pieces.build(found, unknown.get(v)) for v, found in pieces.items()}, left_out
 
 
 def _value_type(vocab: DataFrame, emit: str) -> T.DataType:
@@ -141,7 +154,8 @@ def segment_words(
     walk, arrow = METHODS[method], _arrow_type(kind)
     if loaded is None:
         return _segment_by_join(words, vocab, emit, method, limits)
-    shared = words.sparkSession.sparkContext.broadcast(loaded)
+    pieces_of = loaded[0]
+    shared = words.sparkSession.sparkContext.broadcast(pieces_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -150,7 +164,7 @@ def segment_words(
             parts = [walk(WORD_MARK + w, known[lang]) for lang, w in zip(langs, texts)]
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(parts, arrow)], names=[*b.schema.names, "pieces"])
 
-    return words.where(F.col("lang").isin(list(loaded))).mapInArrow(run, schema)
+    return words.where(F.col("lang").isin(list(pieces_of))).mapInArrow(run, schema)
 
 
 def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str, limits: Limits) -> DataFrame:
@@ -172,10 +186,8 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
     subs = spans.select(
         "lang", "w", F.explode(F.sequence(F.lit(1), F.length("_m") - F.col("_len") + 1)).alias("_at"), "_m", "_len"
     ).select("lang", "w", F.substring("_m", F.col("_at"), F.col("_len")).alias("token"))
-    subs = subs.withColumn("_salt", F.pmod(F.xxhash64("w"), F.lit(limits.salts)))
-    keyed = eligible.withColumnRenamed("vocab", "lang").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))).cast("bigint")
-    )
+    subs = subs.withColumn("_salt", salt_of(["w"], limits.salts))
+    keyed = eligible.withColumnRenamed("vocab", "lang").withColumn("_salt", every_salt(limits.salts))
     found = (
         subs.join(keyed, ["lang", "token", "_salt"])
         .groupBy("lang", "w")
@@ -213,17 +225,12 @@ def tokenize_corpus(
     part in the segmentation but are left out of the result. With
     ``whole_words`` a word is looked up as one piece and dropped if absent.
     """
-    loaded = _load(vocab, emit, limits)
+    loaded = _load(vocab, emit, limits, keep)
     if loaded is None:
         return _tokenize_by_join(corpus, vocab, emit, method, keep, whole_words, limits)
     kind = _value_type(vocab, emit)
     arrow, walk = _arrow_type(kind), METHODS[method]
-    dropped: dict[str, set] = {}
-    if keep is not None:
-        # At most as many rows as the vocabulary just checked.
-        for r in vocab.where(~F.col(keep)).select("vocab", emit).toLocalIterator():
-            dropped.setdefault(r["vocab"], set()).add(r[emit])
-    shared = corpus.sparkSession.sparkContext.broadcast((loaded, dropped))
+    shared = corpus.sparkSession.sparkContext.broadcast(loaded)
     fields = [f for f in corpus.schema.fields if f.name != "text"]
     schema = T.StructType(fields + [T.StructField("tokens", T.ArrayType(kind))])
     names = [f.name for f in fields]
@@ -256,7 +263,7 @@ def tokenize_corpus(
                 [*[b.column(c) for c in names], _lists(parts, arrow)], names=[*names, "tokens"]
             )
 
-    return corpus.where(F.col("lang").isin(list(loaded))).mapInArrow(run, schema)
+    return corpus.where(F.col("lang").isin(list(loaded[0]))).mapInArrow(run, schema)
 
 
 def _tokenize_by_join(
@@ -290,10 +297,9 @@ def _tokenize_by_join(
         cut = placed.groupBy("lang", "w").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("l")).select(
             "lang", "w", F.col("l.v").alias("pieces")
         )
-    salt: Column = F.pmod(F.xxhash64("_doc", "_pos"), F.lit(limits.salts))
-    spread = cut.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(limits.salts - 1))).cast("bigint"))
+    spread = cut.withColumn("_salt", every_salt(limits.salts))
     tokens = (
-        occurrences.withColumn("_salt", salt)
+        occurrences.withColumn("_salt", salt_of(["_doc", "_pos"], limits.salts))
         .join(spread, ["lang", "w", "_salt"])
         .groupBy("_doc")
         .agg(F.flatten(F.array_sort(F.collect_list(F.struct("_pos", "pieces")))["pieces"]).alias("tokens"))

@@ -67,8 +67,8 @@ def top_mask(k: int) -> Callable[[np.ndarray], np.ndarray]:
     return mask
 
 
-def _unit_rows(table: pa.Table) -> np.ndarray:
-    flat = np.asarray(table.column("aux").combine_chunks().flatten(), dtype=np.float64)
+def _unit_rows(table: pa.Table, column: str) -> np.ndarray:
+    flat = np.asarray(table.column(column).combine_chunks().flatten(), dtype=np.float64)
     rows = flat.reshape(table.num_rows, -1)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
@@ -111,10 +111,11 @@ def _deal(annotated: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
         .withColumn("gj", all_of("g_nbr"))
         .drop("g_new", "g_nbr")
     )
+    # Aliases keep the columns of the two sides apart: both stem from one table.
     neighbours = (
         annotated.where(is_neighbour)
-        .select("pair_id", F.col("id").alias("nbr_id"), "src_id", "aux")
-        .join(grid, "pair_id")
+        .select(F.col("pair_id").alias("pair"), F.col("id").alias("nbr_id"), F.col("src_id").alias("src_id"), F.col("aux").alias("nbr_aux"))
+        .join(grid.withColumnRenamed("pair_id", "pair"), "pair")
         .withColumn("gj", F.pmod(F.xxhash64("nbr_id"), F.col("g_nbr")).cast("int"))
         .withColumn("gi", all_of("g_new"))
         .drop("g_new", "g_nbr")
@@ -124,8 +125,8 @@ def _deal(annotated: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
 
 def _cells(annotated: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, limits: Limits):
     new, neighbours = _deal(annotated, limits)
-    keys = ["pair_id", "gi", "gj"]
-    return new.groupBy(*keys).cogroup(neighbours.groupBy(*keys)).applyInArrow(work, schema)
+    right = neighbours.groupBy("pair", "gi", "gj")
+    return new.groupBy("pair_id", "gi", "gj").cogroup(right).applyInArrow(work, schema)
 
 
 def _selected(mask: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -133,7 +134,7 @@ def _selected(mask: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table, p
         new, neighbours = _by_id(new, "id"), _by_id(neighbours, "nbr_id")
         rows, cols, values = [], [], []
         if new.num_rows and neighbours.num_rows:
-            a, b = _unit_rows(new), _unit_rows(neighbours).T
+            a, b = _unit_rows(new, "aux"), _unit_rows(neighbours, "nbr_aux").T
             for start in range(0, len(a), CHUNK_ROWS):
                 z = a[start : start + CHUNK_ROWS] @ b
                 r, c = np.nonzero(mask(z))
@@ -159,7 +160,7 @@ def _summed(new: pa.Table, neighbours: pa.Table) -> pa.Table:
     n, m = new.num_rows, neighbours.num_rows
     total, low, high = np.zeros(n), np.zeros(n), np.zeros(n)
     if n and m:
-        a, b = _unit_rows(new), _unit_rows(neighbours).T
+        a, b = _unit_rows(new, "aux"), _unit_rows(neighbours, "nbr_aux").T
         for start in range(0, n, CHUNK_ROWS):
             z = a[start : start + CHUNK_ROWS] @ b
             part = slice(start, start + len(z))
