@@ -25,7 +25,7 @@ from lexigraft.operators.vocab_learning import (
 )
 from lexigraft.plans.auxiliary import aux_from_corpus, word_vectors_from_corpus
 from lexigraft.plans.transfer import TransferParts, transfer_parts
-from lexigraft.session import materialize
+from lexigraft.session import materialize, spread_small
 
 SOURCE = "en"
 TARGETS = ["de", "fr", "es"]
@@ -50,7 +50,7 @@ class Tables:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "lang", "text")
+        return spread_small(self.read("documents").select("doc_id", "lang", "text"))
 
     @cached_property
     def target_corpus(self) -> DataFrame:

@@ -443,10 +443,10 @@ FINAL: dict[str, str] = {
     "overlap_sorted": f"SELECT {_MATCH_COLUMNS} FROM m_default WHERE match_kind IS NOT NULL ORDER BY pair_id, id",
     "multi_source_tokens": """
         SELECT m.pair_id, m.id, any_value(m.token) AS token, any_value(m.n_sources) AS n_sources,
-            string_agg(s.token, ' ' ORDER BY s.other, s.at) FILTER (s.rn <= 5) AS src_tokens
+            string_agg(s.token, ' ' ORDER BY s.other, s.place) FILTER (s.rn <= 5) AS src_tokens
         FROM m_all m JOIN (
-            SELECT *, row_number() OVER (PARTITION BY by_canonical, key ORDER BY other, at) AS rn FROM (
-                SELECT true AS by_canonical, canonical AS key, false AS other, -id AS at, token FROM src
+            SELECT *, row_number() OVER (PARTITION BY by_canonical, key ORDER BY other, place) AS rn FROM (
+                SELECT true AS by_canonical, canonical AS key, false AS other, -id AS place, token FROM src
                 UNION ALL
                 SELECT false, fuzzy, canonical <> fuzzy, CASE WHEN canonical = fuzzy THEN -id ELSE id END, token FROM src
             )

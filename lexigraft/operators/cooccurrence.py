@@ -3,45 +3,102 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraft.functions.fixed import STEP_BITS, to_steps
 from lexigraft.functions.hashing import sign_of, sign_words
+from lexigraft.operators.segmentation import cut_texts, load_pieces, tokenize_corpus
+from lexigraft.session import DEFAULT_LIMITS, Limits
+
+PAIR_SCHEMA = "lang string, a bigint, b bigint, n bigint"
+
+
+def count_pairs(samples: list[list[int]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unordered pairs at most ``window`` positions apart: lower id, higher id, count."""
+    flat = np.fromiter(chain.from_iterable(samples), dtype=np.int64)
+    sample = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
+    base = int(flat.max()) + 1 if len(flat) else 1
+    keys, counts = [], []
+    for d in range(1, window + 1):
+        near = sample[d:] == sample[:-d]
+        a, b = flat[:-d][near], flat[d:][near]
+        key, n = np.unique(np.minimum(a, b) * base + np.maximum(a, b), return_counts=True)
+        keys.append(key)
+        counts.append(n)
+    merged, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(merged), dtype=np.int64)
+    np.add.at(total, place, np.concatenate(counts))
+    return merged // base, merged % base, total
+
+
+def _pair_batch(langs: list[str], samples: list[list[int]], window: int) -> Iterator[pa.RecordBatch]:
+    by_lang: dict[str, list[list[int]]] = {}
+    for lang, tokens in zip(langs, samples):
+        by_lang.setdefault(lang, []).append(tokens)
+    for lang, found in by_lang.items():
+        low, high, n = count_pairs(found, window)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(n), pa.string()), pa.array(low), pa.array(high), pa.array(n)],
+            names=["lang", "a", "b", "n"],
+        )
+
+
+def _mirrored(partial: DataFrame) -> DataFrame:
+    """Adds up pairs counted per batch and turns each into its two directions."""
+    counted = partial.groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    same = F.col("a") == F.col("b")
+    n = F.when(same, 2 * F.col("n")).otherwise(F.col("n"))
+    forward = F.struct(F.col("a").alias("token"), F.col("b").alias("ctx"), n.alias("n"))
+    backward = F.struct(F.col("b").alias("token"), F.col("a").alias("ctx"), n.alias("n"))
+    both = F.when(same, F.array(forward)).otherwise(F.array(forward, backward))
+    return counted.select("lang", F.explode(both).alias("p")).select("lang", "p.token", "p.ctx", "p.n")
 
 
 def cooccurrence(tokenized: DataFrame, window: int = 5) -> DataFrame:
     """``(lang, token, ctx, n)``: how often ``ctx`` stands within ``window``
-    positions of ``token`` in the same sample.
+    positions of ``token`` in the same sample of ``tokenized(lang, tokens)``.
 
-    Pairs are cut out of the token array, so nothing is shuffled before the
-    aggregate. Each unordered pair is counted once and mirrored afterwards.
+    Tokens are ids. Pairs are counted inside each batch of samples, so only
+    partial counts are shuffled, never the pairs themselves.
     """
-    tokens = F.col("tokens")
-    n = F.size(tokens)
-
-    def at_distance(d: int):
-        return F.when(
-            n > d,
-            F.zip_with(
-                F.slice(tokens, 1, n - d),
-                F.slice(tokens, d + 1, n - d),
-                lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")),
-            ),
-        )
 
-    found = F.flatten(F.array_compact(F.array(*[at_distance(d) for d in range(1, window + 1)])))
-    counted = (
-        tokenized.select("lang", F.explode(found).alias("p"))
-        .groupBy("lang", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-        .agg(F.count("*").alias("n"))
-    )
-    same = F.col("a") == F.col("b")
-    forward = F.struct(F.col("a").alias("token"), F.col("b").alias("ctx"), F.when(same, 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
-    backward = F.struct(F.col("b").alias("token"), F.col("a").alias("ctx"), F.col("n").alias("n"))
-    both = F.when(same, F.array(forward)).otherwise(F.array(forward, backward))
-    return counted.select("lang", F.explode(both).alias("p")).select("lang", "p.token", "p.ctx", "p.n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _pair_batch(b.column("lang").to_pylist(), b.column("tokens").to_pylist(), window)
+
+    return _mirrored(tokenized.select("lang", "tokens").mapInArrow(run, PAIR_SCHEMA))
+
+
+def corpus_cooccurrence(
+    corpus: DataFrame,
+    vocab: DataFrame,
+    window: int = 5,
+    method: str = "greedy",
+    keep: str | None = None,
+    whole_words: bool = False,
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """The same counts straight from the texts: tokens are cut and counted in one
+    pass, and the tokenised corpus is not laid out in between."""
+    loaded = load_pieces(vocab, "id", limits, keep)
+    if loaded is None:
+        return cooccurrence(tokenize_corpus(corpus, vocab, "id", method, keep, whole_words, limits), window)
+    shared = corpus.sparkSession.sparkContext.broadcast(loaded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos: dict[str, dict[str, list]] = {}
+        for b in batches:
+            langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
+            yield from _pair_batch(langs, cut_texts(langs, texts, shared.value, method, whole_words, memos), window)
+
+    wanted = corpus.where(F.col("lang").isin(list(loaded[0]))).select("lang", "text")
+    return _mirrored(wanted.mapInArrow(run, PAIR_SCHEMA))
 
 
 def name_pairs(pairs: DataFrame, vocab: DataFrame) -> DataFrame:

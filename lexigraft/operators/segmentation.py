@@ -100,7 +100,7 @@ def _unknowns(vocab: DataFrame, emit: str) -> dict[str, Any]:
     return {r["vocab"]: r["value"] for r in rows}
 
 
-def _load(
+def load_pieces(
     vocab: DataFrame, emit: str, limits: Limits, keep: str | None = None
 ) -> tuple[dict[str, Pieces], dict[str, set]] | None:
     """The pieces of all vocabularies and the values to leave out, or None if the
@@ -148,7 +148,7 @@ def segment_words(
 
     A word is read with the word mark in front.
     """
-    loaded = _load(vocab, emit, limits)
+    loaded = load_pieces(vocab, emit, limits)
     kind = _value_type(vocab, emit)
     schema = T.StructType(words.schema.fields + [T.StructField("pieces", T.ArrayType(kind))])
     walk, arrow = METHODS[method], _arrow_type(kind)
@@ -208,6 +208,39 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
     return joined.mapInArrow(run, schema)
 
 
+def cut_texts(
+    langs: list[str],
+    texts: list[str | None],
+    loaded: tuple[dict[str, Pieces], dict[str, set]],
+    method: str,
+    whole_words: bool,
+    memos: dict[str, dict[str, list]],
+) -> list[list[Any]]:
+    """Tokens of each text. ``memos`` keeps the pieces of the words seen so far."""
+    known, left_out = loaded
+    walk, parts = METHODS[method], []
+    for lang, text in zip(langs, texts):
+        memo, pieces, skip = memos.setdefault(lang, {}), known[lang], left_out.get(lang, ())
+        tokens: list = []
+        # str.split() cuts at the white space that SPACE describes.
+        for word in (text or "").split():
+            cut = memo.get(word)
+            if cut is None:
+                if len(memo) >= MEMO_WORDS:
+                    memo.clear()
+                if whole_words:
+                    value = pieces.values.get(WORD_MARK + word)
+                    cut = [] if value is None else [value]
+                else:
+                    cut = walk(WORD_MARK + word, pieces)
+                if skip:
+                    cut = [v for v in cut if v not in skip]
+                memo[word] = cut
+            tokens.extend(cut)
+        parts.append(tokens)
+    return parts
+
+
 def tokenize_corpus(
     corpus: DataFrame,
     vocab: DataFrame,
@@ -225,40 +258,21 @@ def tokenize_corpus(
     part in the segmentation but are left out of the result. With
     ``whole_words`` a word is looked up as one piece and dropped if absent.
     """
-    loaded = _load(vocab, emit, limits, keep)
+    loaded = load_pieces(vocab, emit, limits, keep)
     if loaded is None:
         return _tokenize_by_join(corpus, vocab, emit, method, keep, whole_words, limits)
     kind = _value_type(vocab, emit)
-    arrow, walk = _arrow_type(kind), METHODS[method]
+    arrow = _arrow_type(kind)
     shared = corpus.sparkSession.sparkContext.broadcast(loaded)
     fields = [f for f in corpus.schema.fields if f.name != "text"]
     schema = T.StructType(fields + [T.StructField("tokens", T.ArrayType(kind))])
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, left_out = shared.value
         memos: dict[str, dict[str, list]] = {}
         for b in batches:
-            parts = []
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                memo, pieces, skip = memos.setdefault(lang, {}), known[lang], left_out.get(lang, ())
-                tokens: list = []
-                # str.split() cuts at the white space that SPACE describes.
-                for word in (text or "").split():
-                    cut = memo.get(word)
-                    if cut is None:
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        if whole_words:
-                            value = pieces.values.get(WORD_MARK + word)
-                            cut = [] if value is None else [value]
-                        else:
-                            cut = walk(WORD_MARK + word, pieces)
-                        if skip:
-                            cut = [v for v in cut if v not in skip]
-                        memo[word] = cut
-                    tokens.extend(cut)
-                parts.append(tokens)
+            langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
+            parts = cut_texts(langs, texts, shared.value, method, whole_words, memos)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in names], _lists(parts, arrow)], names=[*names, "tokens"]
             )

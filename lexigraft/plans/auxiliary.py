@@ -8,7 +8,7 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraft.operators.cooccurrence import cooccurrence, name_pairs, ppmi, project
+from lexigraft.operators.cooccurrence import corpus_cooccurrence, name_pairs, ppmi, project
 from lexigraft.operators.segmentation import fits_broadcast, segment_words, tokenize_corpus
 from lexigraft.operators.vocab_forms import with_decoded
 from lexigraft.operators.vocab_learning import count_words
@@ -43,8 +43,7 @@ def token_pairs(
     """Co-occurrences ``(lang, token, ctx, n)`` of frequent tokens, as token ids."""
     words = count_words(corpus) if words is None else words
     kept = materialize(with_kept(vocab, words, min_count, limits), "kept")
-    tokenized = tokenize_corpus(corpus.select("lang", "text"), kept, emit="id", keep="keep", limits=limits)
-    return cooccurrence(tokenized, window)
+    return corpus_cooccurrence(corpus, kept, window, keep="keep", limits=limits)
 
 
 def aux_from_corpus(
@@ -68,8 +67,7 @@ def word_pairs(
 ) -> DataFrame:
     """Co-occurrences of whole words that ``word_vocab(vocab, token, id, n, is_special)`` lists."""
     frequent = word_vocab.where(F.col("n") >= min_count)
-    tokenized = tokenize_corpus(corpus.select("lang", "text"), frequent, emit="id", whole_words=True, limits=limits)
-    return cooccurrence(tokenized, window)
+    return corpus_cooccurrence(corpus, frequent, window, whole_words=True, limits=limits)
 
 
 def word_vectors_from_corpus(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraft.session import spread_small
+
 VOCAB_SCHEMA = "vocab string, token string, id bigint, decoded string, is_special boolean"
 EMBEDDING_SCHEMA = "vocab string, matrix string, id bigint, vector array<float>"
 VECTOR_SCHEMA = "vocab string, token string, vector array<double>"
@@ -26,6 +28,7 @@ def read_corpus(spark: SparkSession, path: str, lang: str | None = None) -> Data
         df = spark.read.parquet(path).select("text")
     else:
         raise ValueError(f"unknown corpus format: {path}")
+    df = spread_small(df)
     return df if lang is None else df.select(F.lit(lang).alias("lang"), "text")
 
 
