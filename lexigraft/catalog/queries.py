@@ -458,7 +458,7 @@ def sparsemax_weights(t: Tables) -> DataFrame:
 def convex_combination(t: Tables) -> DataFrame:
     """Source vectors combined with the weights, before they become 32-bit."""
     parts = t.transfer_parts()
-    return entries(combine_vectors(parts.weights, t.embeddings, ["pair_id", "id"]), "pair_id", "id")
+    return entries(combine_vectors(materialize(parts.weights, "weights"), t.embeddings, ["pair_id", "id"]), "pair_id", "id")
 
 
 @query

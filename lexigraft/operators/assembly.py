@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.functions.vectors import zeros
 from lexigraft.operators.lookup import ZERO
+from lexigraft.session import per_name
 
 
 def zero_rows(present: DataFrame, sizes: dict[str, int], shapes: DataFrame) -> DataFrame:
@@ -22,8 +23,8 @@ def zero_rows(present: DataFrame, sizes: dict[str, int], shapes: DataFrame) -> D
     sources = present.select("pair_id", "source").distinct()
     return (
         spine.join(present.select("pair_id", "id"), ["pair_id", "id"], "left_anti")
-        .join(sources, "pair_id")
-        .join(shapes, "source")
+        .join(per_name(sources), "pair_id")
+        .join(per_name(shapes), "source")
         .select(
             "pair_id",
             "matrix",

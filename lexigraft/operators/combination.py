@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraft.functions.salting import every_salt, salt_of
+from lexigraft.functions.salting import salt_of
+from lexigraft.operators.lookup import used_rows
 from lexigraft.session import DEFAULT_LIMITS, Limits
 
 
@@ -13,16 +14,13 @@ def combine_vectors(parts: DataFrame, embeddings: DataFrame, keys: list[str], li
     """Sum of ``w * vector`` over the rows of ``parts(*keys, source, k, src_id, w)``.
 
     Returns ``(*keys, matrix, vector ARRAY<DOUBLE>)`` for every matrix of the
-    source vocabulary. Only the source rows in use are joined, and their copies
-    are salted because popular neighbours occur in very many sums. A sum is
+    source vocabulary. ``parts`` is read twice, so it should be a written table.
+    A sum is
     folded in the order of ``k`` in blocks of bounded size and then over the
     blocks, so its bits do not depend on the shuffle.
     """
-    vectors = embeddings.select(F.col("vocab").alias("source"), F.col("id").alias("src_id"), "matrix", "vector")
-    used = vectors.join(parts.select("source", "src_id").distinct(), ["source", "src_id"], "left_semi")
-    spread = used.withColumn("_salt", every_salt(limits.salts))
     salted = parts.withColumn("_salt", salt_of([*keys, "k"], limits.salts))
-    joined = salted.join(spread, ["source", "src_id", "_salt"])
+    joined = salted.join(used_rows(parts, embeddings, limits), ["source", "src_id", "_salt"])
     row = F.struct("k", "w", "vector")
     by_block = joined.groupBy(*keys, "matrix", ((F.col("k") - 1) / limits.fold_rows).cast("int").alias("_block")).agg(
         F.array_sort(F.collect_list(row)).alias("rows")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexigraft.functions.fixed import STEP_BITS, to_steps
 from lexigraft.functions.hashing import sign_of, sign_words
 from lexigraft.operators.segmentation import cut_texts, load_pieces, tokenize_corpus
-from lexigraft.session import DEFAULT_LIMITS, Limits
+from lexigraft.session import DEFAULT_LIMITS, Limits, per_name
 
 PAIR_SCHEMA = "lang string, a bigint, b bigint, n bigint"
 
@@ -37,17 +37,30 @@ def count_pairs(samples: list[list[int]], window: int) -> tuple[np.ndarray, np.n
     return merged // base, merged % base, total
 
 
+# Tokens counted at a time; bounds the memory of a batch of long texts.
+CHUNK_TOKENS = 1_000_000
+
+
 def _pair_batch(langs: list[str], samples: list[list[int]], window: int) -> Iterator[pa.RecordBatch]:
     by_lang: dict[str, list[list[int]]] = {}
-    for lang, tokens in zip(langs, samples):
-        by_lang.setdefault(lang, []).append(tokens)
-    for lang, found in by_lang.items():
-        low, high, n = count_pairs(found, window)
-        yield pa.RecordBatch.from_arrays(
+    sizes: dict[str, int] = {}
+
+    def counted(lang: str) -> pa.RecordBatch:
+        sizes.pop(lang)
+        low, high, n = count_pairs(by_lang.pop(lang), window)
+        return pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(n), pa.string()), pa.array(low), pa.array(high), pa.array(n)],
             names=["lang", "a", "b", "n"],
         )
 
+    for lang, tokens in zip(langs, samples):
+        by_lang.setdefault(lang, []).append(tokens)
+        sizes[lang] = sizes.get(lang, 0) + len(tokens)
+        if sizes[lang] >= CHUNK_TOKENS:
+            yield counted(lang)
+    for lang in list(by_lang):
+        yield counted(lang)
+
 
 def _mirrored(partial: DataFrame) -> DataFrame:
     """Adds up pairs counted per batch and turns each into its two directions."""
@@ -132,7 +145,7 @@ def ppmi(pairs: DataFrame, dim: int | None = None) -> DataFrame:
     return (
         pairs.join(totals, ["lang", "token"])
         .join(contexts, ["lang", "ctx"])
-        .join(grand, "lang")
+        .join(per_name(grand), "lang")
         .withColumn(
             "ppmi",
             F.greatest(F.lit(0.0), F.log(real("n") * real("n_all") / (real("n_token") * real("n_ctx")))),

@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigraft.functions.salting import every_salt, salt_of
 from lexigraft.functions.vectors import is_usable
+from lexigraft.session import DEFAULT_LIMITS, Limits, per_name
 
 COPIED, WEIGHTED, RANDOM, ZERO = "copied", "weighted", "random", "zero"
 
 
-def with_source_vectors(matched: DataFrame, embeddings: DataFrame) -> DataFrame:
+def used_rows(parts: DataFrame, embeddings: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Source rows that ``parts(source, src_id)`` refers to, one copy per salt.
+
+    Very many tokens can refer to the same source row; the salt spreads them.
+    """
+    vectors = embeddings.select(F.col("vocab").alias("source"), F.col("id").alias("src_id"), "matrix", "vector")
+    used = vectors.join(parts.select("source", "src_id").distinct(), ["source", "src_id"], "left_semi")
+    return used.withColumn("_salt", every_salt(limits.salts))
+
+
+def with_source_vectors(matched: DataFrame, embeddings: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Overlapping tokens with the vector of their first source token, one row per
     matrix. A source id without a row in the matrix is an error."""
     overlap = matched.where(F.col("match_kind").isNotNull())
     matrices = embeddings.select(F.col("vocab").alias("source"), "matrix").distinct()
-    wanted = overlap.join(matrices, "source")
-    rows = embeddings.select(F.col("vocab").alias("source"), "matrix", F.col("id").alias("src_id"), "vector")
-    joined = wanted.join(rows, ["source", "matrix", "src_id"], "left")
+    wanted = overlap.join(per_name(matrices), "source").withColumn("_salt", salt_of(["pair_id", "id"], limits.salts))
+    rows = used_rows(overlap, embeddings, limits)
+    joined = wanted.join(rows, ["source", "matrix", "src_id", "_salt"], "left").drop("_salt")
     missing = F.raise_error(F.concat(F.lit("no source vector for id "), F.col("src_id").cast("string")))
     return joined.withColumn(
         "vector", F.when(F.col("vector").isNull(), missing.cast(joined.schema["vector"].dataType)).otherwise(F.col("vector"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.operators.ranking import number_rows, top_n
 from lexigraft.operators.vocab_forms import flag_symbols
-from lexigraft.session import DEFAULT_LIMITS, Limits
+from lexigraft.session import DEFAULT_LIMITS, Limits, per_name
 
 
 def _view_order(key: str) -> list[Column]:
@@ -134,4 +134,4 @@ def with_pairs(vocab: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame
     names = vocab.sparkSession.createDataFrame(
         [(p, s, t) for p, s, t in pairs], "pair_id string, source string, vocab string"
     )
-    return vocab.join(names, "vocab")
+    return vocab.join(per_name(names), "vocab")

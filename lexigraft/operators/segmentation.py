@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lexigraft.functions.salting import every_salt, salt_of
 from lexigraft.functions.text import WORD_MARK, split_words
-from lexigraft.session import DEFAULT_LIMITS, Limits, materialize
+from lexigraft.session import DEFAULT_LIMITS, Limits, materialize, per_name
 
 UNKNOWN = "<unk>"
 
@@ -179,7 +179,7 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
     eligible = _eligible(vocab, emit)
     unknown = _unknowns(vocab, emit)
     lengths = eligible.groupBy(F.col("vocab").alias("lang")).agg(F.collect_set(F.length("token")).alias("_lengths"))
-    marked = words.join(lengths, "lang").withColumn("_m", F.concat(F.lit(WORD_MARK), "w"))
+    marked = words.join(per_name(lengths), "lang").withColumn("_m", F.concat(F.lit(WORD_MARK), "w"))
     spans = marked.select(
         "lang", "w", "_m", F.explode("_lengths").alias("_len")
     ).where(F.col("_len") <= F.length("_m"))
@@ -193,8 +193,9 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
         .groupBy("lang", "w")
         .agg(F.collect_set(F.struct("token", "value", "score")).alias("_found"))
     )
-    joined = words.join(lengths.select("lang"), "lang", "left_semi").join(found, ["lang", "w"], "left")
-    schema = T.StructType([joined.schema[c] for c in words.columns] + [T.StructField("pieces", T.ArrayType(kind))])
+    joined = words.join(per_name(lengths.select("lang")), "lang", "left_semi").join(found, ["lang", "w"], "left")
+    columns = words.columns
+    schema = T.StructType([joined.schema[c] for c in columns] + [T.StructField("pieces", T.ArrayType(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,8 +203,8 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
             for lang, w, hits in zip(*(b.column(c).to_pylist() for c in ("lang", "w", "_found"))):
                 rows = [(h["token"], h["value"], h["score"]) for h in hits or []]
                 parts.append(walk(WORD_MARK + w, Pieces.build(rows, unknown.get(lang))))
-            kept = [b.column(c) for c in words.columns]
-            yield pa.RecordBatch.from_arrays([*kept, _lists(parts, arrow)], names=[*words.columns, "pieces"])
+            kept = [b.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, _lists(parts, arrow)], names=[*columns, "pieces"])
 
     return joined.mapInArrow(run, schema)
 
@@ -293,15 +294,14 @@ def _tokenize_by_join(
     are segmented by join and joined back to their salted occurrences."""
     names = vocab.select(F.col("vocab").alias("lang")).distinct()
     numbered = materialize(
-        corpus.join(names, "lang", "left_semi").withColumn("_doc", F.monotonically_increasing_id()), "corpus"
+        corpus.join(per_name(names), "lang", "left_semi").withColumn("_doc", F.monotonically_increasing_id()), "corpus"
     )
     occurrences = numbered.select("_doc", "lang", F.posexplode(split_words(F.col("text"))).alias("_pos", "w"))
     distinct = occurrences.select("lang", "w").distinct()
     if whole_words:
-        cut = distinct.join(
-            _eligible(vocab, emit).select(F.col("vocab").alias("lang"), F.expr("substr(token, 2)").alias("w"), "value"),
-            ["lang", "w"],
-        ).select("lang", "w", F.array("value").alias("pieces"))
+        starts = _eligible(vocab, emit).where(F.startswith("token", F.lit(WORD_MARK)))
+        marked = starts.select(F.col("vocab").alias("lang"), F.expr("substr(token, 2)").alias("w"), "value")
+        cut = distinct.join(marked, ["lang", "w"]).select("lang", "w", F.array("value").alias("pieces"))
     else:
         cut = _segment_by_join(distinct, vocab, emit, method, limits)
     if keep is not None:

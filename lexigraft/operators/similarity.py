@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraft.operators.lookup import WEIGHTED
-from lexigraft.session import DEFAULT_LIMITS, Limits
+from lexigraft.session import DEFAULT_LIMITS, Limits, per_name
 
 # Rows of a group multiplied at a time.
 CHUNK_ROWS = 512
@@ -106,7 +106,7 @@ def _deal(annotated: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
     new = (
         annotated.where(is_new)
         .select("pair_id", "source", "id", "token", "aux")
-        .join(grid, "pair_id")
+        .join(per_name(grid), "pair_id")
         .withColumn("gi", F.pmod(F.xxhash64("id"), F.col("g_new")).cast("int"))
         .withColumn("gj", all_of("g_nbr"))
         .drop("g_new", "g_nbr")
@@ -115,7 +115,7 @@ def _deal(annotated: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
     neighbours = (
         annotated.where(is_neighbour)
         .select(F.col("pair_id").alias("pair"), F.col("id").alias("nbr_id"), F.col("src_id").alias("src_id"), F.col("aux").alias("nbr_aux"))
-        .join(grid.withColumnRenamed("pair_id", "pair"), "pair")
+        .join(per_name(grid.withColumnRenamed("pair_id", "pair")), "pair")
         .withColumn("gj", F.pmod(F.xxhash64("nbr_id"), F.col("g_nbr")).cast("int"))
         .withColumn("gi", all_of("g_new"))
         .drop("g_new", "g_nbr")

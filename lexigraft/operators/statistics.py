@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.functions.fixed import wide_sum
 from lexigraft.functions.hashing import normal_draw
+from lexigraft.session import per_name
 
 
 def dimension_stats(embeddings: DataFrame) -> DataFrame:
@@ -54,4 +55,4 @@ def random_vectors(tokens: DataFrame, stats: DataFrame, seed: int = 42) -> DataF
         F.sequence(F.lit(0), F.size("mean") - 1),
         lambda d: F.get("mean", d) + F.get("std", d) * normal_draw(seed, F.col("id"), d),
     )
-    return tokens.join(packed, "source").withColumn("vector", drawn).drop("mean", "std")
+    return tokens.join(per_name(packed), "source").withColumn("vector", drawn).drop("mean", "std")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigraft.functions.text import BPE_MARK, BYTE_PIECE, WORD_MARK, decode_byte_level, is_symbol_text, ltrim_u
+from lexigraft.session import per_name
 
 FAMILIES = ("sentencepiece", "wordpiece", "bpe")
 
@@ -60,7 +61,7 @@ def with_decoded(vocab: DataFrame, families: DataFrame | None = None) -> DataFra
     """Vocabulary with ``family`` and a filled ``decoded`` column."""
     families = vocab_family(vocab) if families is None else families
     own = F.col("decoded") if "decoded" in vocab.columns else F.lit(None).cast("string")
-    return vocab.join(families, "vocab").withColumn(
+    return vocab.join(per_name(families), "vocab").withColumn(
         "decoded", F.coalesce(own, decode_token(F.col("token"), F.col("family")))
     )
 

@@ -44,7 +44,8 @@ class TransferParts:
         weighted = self.weights.select(
             "pair_id", "source", "id", "token", F.lit(WEIGHTED).alias("outcome"), "k", "src_id", "w"
         )
-        return copied.unionByName(weighted)
+        # Read for the source rows in use and for the sums.
+        return materialize(copied.unionByName(weighted), "contributions")
 
     def combined(self) -> DataFrame:
         keys = ["pair_id", "id", "token", "outcome"]
@@ -52,8 +53,8 @@ class TransferParts:
 
     def weighted(self) -> DataFrame:
         keys = ["pair_id", "id", "token", "outcome"]
-        parts = self.contributions().where(F.col("outcome") == WEIGHTED)
-        return combine_vectors(parts, self.embeddings, keys, self.limits)
+        parts = self.weights.withColumn("outcome", F.lit(WEIGHTED))
+        return combine_vectors(materialize(parts, "weights"), self.embeddings, keys, self.limits)
 
     def random(self) -> DataFrame:
         tokens = self.annotated.where(F.col("outcome") == RANDOM).select("pair_id", "source", "id", "token", "outcome")

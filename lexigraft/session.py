@@ -9,6 +9,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -73,3 +74,13 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def per_name(df: DataFrame) -> DataFrame:
+    """Marks a table with one short row per vocabulary, language, pair or matrix.
+
+    Such tables are as long as the list of names a job is given. They are sent
+    to all tasks: joined by shuffle, a key with so few values would put a whole
+    vocabulary or corpus into one task.
+    """
+    return F.broadcast(df)
