@@ -10,6 +10,10 @@ from lexigraft.operators.vocab_forms import flag_symbols
 from lexigraft.session import DEFAULT_LIMITS, Limits, per_name
 
 
+# Names of the rules in results.
+SYMBOL, EXACT, FUZZY = "numerical_symbol", "exact_match", "fuzzy_match"
+
+
 def _view_order(key: str) -> list[Column]:
     """Order of the tokens that share a key: tokens whose canonical form is the
     key by id descending, then the others by id ascending."""
@@ -76,7 +80,7 @@ def match_tokens(
     return (
         out.withColumn(
             "match_kind",
-            F.when(symbol_rule, "numerical_symbol").when(exact_rule, "exact_match").when(fuzzy_rule, "fuzzy_match"),
+            F.when(symbol_rule, SYMBOL).when(exact_rule, EXACT).when(fuzzy_rule, FUZZY),
         )
         .withColumn("_src", F.when(symbol_rule, either).when(exact_rule, exact).when(fuzzy_rule, fuzzy))
         .select(
@@ -120,8 +124,8 @@ def multi_source(
     # A symbol match uses the exact key when the source has it, as an exact match does.
     exact_keys = source.select(F.col("vocab").alias("source"), "canonical").distinct().withColumn("_hit", F.lit(True))
     routed = several.join(exact_keys, ["source", "canonical"], "left")
-    by_exact = (F.col("match_kind") == "exact_match") | (
-        (F.col("match_kind") == "numerical_symbol") & F.coalesce("_hit", F.lit(False))
+    by_exact = (F.col("match_kind") == EXACT) | (
+        (F.col("match_kind") == SYMBOL) & F.coalesce("_hit", F.lit(False))
     )
     return named(routed.where(by_exact), "canonical").unionByName(named(routed.where(~by_exact), "fuzzy"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraft.functions.text import WORD_MARK, encode_byte_level, split_words
@@ -74,8 +74,12 @@ def learn_vocab(
     specials = SPECIAL_TOKENS if specials is None else specials
     words = words.where(F.col("lang").isin(*sizes))
     # Distinct characters are bounded by Unicode, so one window per language does.
-    chars = top_n(
-        count_characters(words).where(F.col("ch") != WORD_MARK), ["lang"], [F.col("n").desc(), F.col("ch")], n_chars
+    frequent = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("ch"))
+    chars = (
+        count_characters(words)
+        .where(F.col("ch") != WORD_MARK)
+        .withColumn("_rn", F.row_number().over(frequent))
+        .where(F.col("_rn") <= n_chars)
     )
     whole = top_n(words, ["lang"], [F.col("n").desc(), F.col("w")], max(sizes.values()), limits)
     langs = words.sparkSession.createDataFrame([(k,) for k in sizes], "lang string")

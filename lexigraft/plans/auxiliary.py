@@ -163,4 +163,4 @@ def load_auxiliary(
     if table is not None or corpus is not None:
         warnings.warn("word-level mode ignores tables and corpora", stacklevel=2)
     wanted = vocab.where(F.col("vocab").isin(languages))
-    return token_vectors(with_decoded(wanted), word_vectors.where(F.col("lang").isin(languages)), dim)
+    return token_vectors(with_decoded(wanted), word_vectors.where(F.col("lang").isin(languages)), dim, limits)

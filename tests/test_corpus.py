@@ -177,6 +177,8 @@ def test_word_level_vectors(spark, make_vocab):
     )
     vocab = make_vocab([("▁haus", 0, " haus"), ("▁hau", 1, " hau "), ("▁zzzz", 2, " zzzz"), ("▁", 3, " ")])
     got = {r["token"]: r["vector"] for r in token_vectors(vocab, words, 2).collect()}
+    salted = {r["token"]: r["vector"] for r in token_vectors(vocab, words, 2, Limits(broadcast_bytes=0)).collect()}
+    assert salted == got
     assert got["▁haus"] == [1.0, 0.0]
     # <hau> shares <ha, hau and <hau with both words; au> and the longer ones with none.
     assert got["▁hau"] == pytest.approx([0.5, 0.5])
