@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.functions.fixed import STEP_BITS, to_steps
 from lexigraft.functions.hashing import sign_of, sign_words
-from lexigraft.operators.segmentation import cut_texts, load_pieces, tokenize_corpus
+from lexigraft.operators.segmentation import cut_texts, for_vocab_sizes, load_pieces, tokenize_corpus
 from lexigraft.session import DEFAULT_LIMITS, Limits, per_name
 
 PAIR_SCHEMA = "lang string, a bigint, b bigint, n bigint"
@@ -99,19 +99,21 @@ def corpus_cooccurrence(
 ) -> DataFrame:
     """The same counts straight from the texts: tokens are cut and counted in one
     pass, and the tokenised corpus is not laid out in between."""
-    loaded = load_pieces(vocab, "id", limits, keep)
-    if loaded is None:
-        return cooccurrence(tokenize_corpus(corpus, vocab, "id", method, keep, whole_words, limits), window)
-    shared = corpus.sparkSession.sparkContext.broadcast(loaded)
+    def by_dictionary(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
+        shared = corpus.sparkSession.sparkContext.broadcast(load_pieces(vocab, "id", keep))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: dict[str, dict[str, list]] = {}
-        for b in batches:
-            langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            yield from _pair_batch(langs, cut_texts(langs, texts, shared.value, method, whole_words, memos), window)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memos: dict[str, dict[str, list]] = {}
+            for b in batches:
+                langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
+                yield from _pair_batch(langs, cut_texts(langs, texts, shared.value, method, whole_words, memos), window)
+
+        return _mirrored(corpus.mapInArrow(run, PAIR_SCHEMA))
+
+    def by_join(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
+        return cooccurrence(tokenize_corpus(corpus, vocab, "id", method, keep, whole_words, limits), window)
 
-    wanted = corpus.where(F.col("lang").isin(list(loaded[0]))).select("lang", "text")
-    return _mirrored(wanted.mapInArrow(run, PAIR_SCHEMA))
+    return for_vocab_sizes(corpus.select("lang", "text"), vocab, limits, by_dictionary, by_join)
 
 
 def name_pairs(pairs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -100,13 +101,50 @@ def _unknowns(vocab: DataFrame, emit: str) -> dict[str, Any]:
     return {r["vocab"]: r["value"] for r in rows}
 
 
+def size_bins(vocab: DataFrame, limits: Limits) -> tuple[list[list[str]], list[str]]:
+    """Names of the vocabularies in bins that are small enough to send around
+    together, and the names of those that are too large even alone."""
+    sizes = (
+        vocab.groupBy("vocab").agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("size")).collect()
+    )
+    bins: list[list[str]] = []
+    large, rows, size = [], 0, 0
+    for name, n, octets in sorted(sizes):
+        if n > limits.broadcast_rows or octets > limits.broadcast_bytes:
+            large.append(name)
+            continue
+        if not bins or rows + n > limits.broadcast_rows or size + octets > limits.broadcast_bytes:
+            bins.append([])
+            rows, size = 0, 0
+        bins[-1].append(name)
+        rows, size = rows + n, size + octets
+    return bins, large
+
+
+def for_vocab_sizes(
+    df: DataFrame,
+    vocab: DataFrame,
+    limits: Limits,
+    shared: Callable[[DataFrame, DataFrame], DataFrame],
+    joined: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
+    """Runs ``df(lang, ...)`` against the vocabularies of its languages: one pass per
+    bin that can be sent around, a join for the vocabularies that cannot."""
+    bins, large = size_bins(vocab, limits)
+
+    def part(run: Callable[[DataFrame, DataFrame], DataFrame], names: list[str]) -> DataFrame:
+        return run(df.where(F.col("lang").isin(names)), vocab.where(F.col("vocab").isin(names)))
+
+    parts = [part(shared, names) for names in bins or ([] if large else [[]])]
+    if large:
+        parts.append(part(joined, large))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def load_pieces(
-    vocab: DataFrame, emit: str, limits: Limits, keep: str | None = None
-) -> tuple[dict[str, Pieces], dict[str, set]] | None:
-    """The pieces of all vocabularies and the values to leave out, or None if the
-    vocabularies are too large to send around."""
-    if not fits_broadcast(vocab, "token", limits):
-        return None
+    vocab: DataFrame, emit: str, keep: str | None = None
+) -> tuple[dict[str, Pieces], dict[str, set]]:
+    """The pieces of the vocabularies of one bin, and the values to leave out."""
     score = F.col("score").cast("double") if "score" in vocab.columns else F.lit(0.0)
     kept = F.col(keep) if keep else F.lit(True)
     rows = vocab.select("vocab", "token", F.col(emit).alias("value"), score, kept, "is_special").collect()
@@ -148,23 +186,23 @@ def segment_words(
 
     A word is read with the word mark in front.
     """
-    loaded = load_pieces(vocab, emit, limits)
     kind = _value_type(vocab, emit)
     schema = T.StructType(words.schema.fields + [T.StructField("pieces", T.ArrayType(kind))])
     walk, arrow = METHODS[method], _arrow_type(kind)
-    if loaded is None:
-        return _segment_by_join(words, vocab, emit, method, limits)
-    pieces_of = loaded[0]
-    shared = words.sparkSession.sparkContext.broadcast(pieces_of)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for b in batches:
-            langs, texts = b.column("lang").to_pylist(), b.column("w").to_pylist()
-            parts = [walk(WORD_MARK + w, known[lang]) for lang, w in zip(langs, texts)]
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(parts, arrow)], names=[*b.schema.names, "pieces"])
+    def by_dictionary(words: DataFrame, vocab: DataFrame) -> DataFrame:
+        shared = words.sparkSession.sparkContext.broadcast(load_pieces(vocab, emit)[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for b in batches:
+                langs, texts = b.column("lang").to_pylist(), b.column("w").to_pylist()
+                parts = [walk(WORD_MARK + w, known[lang]) for lang, w in zip(langs, texts)]
+                yield pa.RecordBatch.from_arrays([*b.columns, _lists(parts, arrow)], names=[*b.schema.names, "pieces"])
 
-    return words.where(F.col("lang").isin(list(pieces_of))).mapInArrow(run, schema)
+        return words.mapInArrow(run, schema)
+
+    return for_vocab_sizes(words, vocab, limits, by_dictionary, lambda w, v: _segment_by_join(w, v, emit, method, limits))
 
 
 def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str, limits: Limits) -> DataFrame:
@@ -259,26 +297,30 @@ def tokenize_corpus(
     part in the segmentation but are left out of the result. With
     ``whole_words`` a word is looked up as one piece and dropped if absent.
     """
-    loaded = load_pieces(vocab, emit, limits, keep)
-    if loaded is None:
-        return _tokenize_by_join(corpus, vocab, emit, method, keep, whole_words, limits)
     kind = _value_type(vocab, emit)
     arrow = _arrow_type(kind)
-    shared = corpus.sparkSession.sparkContext.broadcast(loaded)
     fields = [f for f in corpus.schema.fields if f.name != "text"]
     schema = T.StructType(fields + [T.StructField("tokens", T.ArrayType(kind))])
     names = [f.name for f in fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: dict[str, dict[str, list]] = {}
-        for b in batches:
-            langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            parts = cut_texts(langs, texts, shared.value, method, whole_words, memos)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in names], _lists(parts, arrow)], names=[*names, "tokens"]
-            )
+    def by_dictionary(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
+        shared = corpus.sparkSession.sparkContext.broadcast(load_pieces(vocab, emit, keep))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            memos: dict[str, dict[str, list]] = {}
+            for b in batches:
+                langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
+                parts = cut_texts(langs, texts, shared.value, method, whole_words, memos)
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c) for c in names], _lists(parts, arrow)], names=[*names, "tokens"]
+                )
 
-    return corpus.where(F.col("lang").isin(list(loaded[0]))).mapInArrow(run, schema)
+        return corpus.mapInArrow(run, schema)
+
+    return for_vocab_sizes(
+        corpus, vocab, limits, by_dictionary,
+        lambda c, v: _tokenize_by_join(c, v, emit, method, keep, whole_words, limits).select(*names, "tokens"),
+    )
 
 
 def _tokenize_by_join(

@@ -20,7 +20,7 @@ class Limits:
     bounded; results are the same on both sides of the limit.
     """
 
-    broadcast_rows: int = 2_000_000
+    broadcast_rows: int = 1_000_000
     broadcast_bytes: int = 64 << 20
     window_rows: int = 2_000_000
     cell_rows: int = 4096

@@ -19,6 +19,7 @@ from lexigraft.operators.segmentation import (
     greedy,
     join_tokens,
     segment_words,
+    size_bins,
     tokenize_corpus,
 )
 from lexigraft.operators.vocab_learning import count_words
@@ -27,6 +28,8 @@ from lexigraft.plans.auxiliary import aux_from_corpus, aux_word2vec, load_auxili
 from lexigraft.session import Limits
 
 NO_BROADCAST = Limits(broadcast_rows=0)
+# Of the two vocabularies of the fixture: each alone, and only the smaller one.
+APART, MIXED = Limits(broadcast_rows=13), Limits(broadcast_rows=5)
 PIECES = ["▁", "a", "b", "c", "ab", "abc", "▁a", "▁ab", "bc", "ca", "▁cab"]
 
 
@@ -89,20 +92,29 @@ def corpus(spark):
     return spark.createDataFrame(texts, "doc_id int, lang string, text string")
 
 
+def test_vocabularies_are_binned_by_size(vocab):
+    assert size_bins(vocab, Limits()) == ([["xx", "yy"]], [])
+    assert size_bins(vocab, APART) == ([["xx"], ["yy"]], [])
+    assert size_bins(vocab, MIXED) == ([["yy"]], ["xx"])
+    assert size_bins(vocab, NO_BROADCAST) == ([], ["xx", "yy"])
+    assert size_bins(vocab, Limits(broadcast_bytes=10)) == ([["yy"]], ["xx"])
+
+
+@pytest.mark.parametrize("limits", [NO_BROADCAST, APART, MIXED])
 @pytest.mark.parametrize("method", ["greedy", "score"])
-def test_segmentation_without_broadcast_is_the_same(vocab, corpus, method):
+def test_segmentation_without_broadcast_is_the_same(vocab, corpus, method, limits):
     words = count_words(corpus)
     a = segment_words(words, vocab, method=method)
-    b = segment_words(words, vocab, method=method, limits=NO_BROADCAST)
+    b = segment_words(words, vocab, method=method, limits=limits)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 20
 
 
 @pytest.mark.parametrize("whole", [False, True])
-@pytest.mark.parametrize("keep", [None, "keep"])
-def test_tokenising_without_broadcast_is_the_same(vocab, corpus, whole, keep):
+@pytest.mark.parametrize("keep,limits", [(None, NO_BROADCAST), ("keep", NO_BROADCAST), ("keep", APART), (None, MIXED)])
+def test_tokenising_without_broadcast_is_the_same(vocab, corpus, whole, keep, limits):
     flagged = vocab.withColumn("keep", ~F.col("token").isin("a", "▁", "<unk>"))
     a = tokenize_corpus(corpus, flagged, keep=keep, whole_words=whole)
-    b = tokenize_corpus(corpus, flagged, keep=keep, whole_words=whole, limits=NO_BROADCAST).select(a.columns)
+    b = tokenize_corpus(corpus, flagged, keep=keep, whole_words=whole, limits=limits).select(a.columns)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == 63
 
 
