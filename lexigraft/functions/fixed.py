@@ -16,7 +16,9 @@ FINE_BITS = 40
 
 
 def to_steps(x: Column, bits: int = STEP_BITS) -> Column:
-    return F.round(x.cast("double") * F.lit(float(1 << bits))).cast("bigint")
+    # Rounds half away from zero like round(), which would go through decimals.
+    scaled = x.cast("double") * F.lit(float(1 << bits))
+    return (F.signum(scaled) * F.floor(F.abs(scaled) + F.lit(0.5))).cast("bigint")
 
 
 def from_steps(total: Column, bits: int = STEP_BITS) -> Column:
