@@ -40,10 +40,6 @@ def _learned(name: str, sizes: str) -> dict[str, str]:
     }
 
 
-def _number_in(kind: str) -> str:
-    return f"(SELECT unnest(['{kind}'])) AS k(kind)"
-
-
 CTES: dict[str, str] = {
     "words": f"""
         SELECT lang, w, count(*) AS n

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraft.catalog.bindings import DIM, MIN_COUNT, PAIRS, SEED, SOURCE, TARGETS, VOCAB_SIZE, Tables
-from lexigraft.functions.text import SPACE
 from lexigraft.functions.vectors import l1_norm
 from lexigraft.operators.assembly import union_branches
 from lexigraft.operators.combination import combine_vectors

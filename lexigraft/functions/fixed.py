@@ -21,10 +21,6 @@ def to_steps(x: Column, bits: int = STEP_BITS) -> Column:
     return (F.signum(scaled) * F.floor(F.abs(scaled) + F.lit(0.5))).cast("bigint")
 
 
-def from_steps(total: Column, bits: int = STEP_BITS) -> Column:
-    return total.cast("double") / F.lit(float(1 << bits))
-
-
 def wide_sum(x: Column, bits: int = FINE_BITS) -> Column:
     """Sum over very many rows: high and low halves are summed apart, so that no
     half can overflow before 2^30 rows of values below 2^13."""

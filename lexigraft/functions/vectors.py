@@ -15,13 +15,5 @@ def is_usable(v: Column) -> Column:
     return v.isNotNull() & (F.coalesce(l1_norm(v), F.lit(0.0)) > 0)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
-
-
 def zeros(dim: Column) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dim)
