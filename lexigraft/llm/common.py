@@ -22,14 +22,6 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8").lower().decode("utf-8")
 
 
-_OTHER_SPACES = str.maketrans({c: "\x00" for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85)})
-
-
-def split_words(text: str) -> list[str]:
-    """The maximal runs without space, tab, line feed, vertical tab, form feed or carriage return."""
-    return [w.decode("utf-8") for w in text.encode("utf-8").split()]
-
-
 class Memory(dict):
     """A dict that keeps the recently used of at most ``2 * size`` entries.
 
@@ -43,14 +35,22 @@ class Memory(dict):
 
     def __missing__(self, key):
         value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
+        return self.put(key, self._make(key) if value is None else value)
+
+    def put(self, key, value):
         if len(self) >= self._size:
             self._old = dict(self)
             self.clear()
         self[key] = value
         return value
 
+    def peek(self, key):
+        """The remembered value, or None; nothing is made."""
+        value = self.get(key)
+        if value is None and (value := self._old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
 
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str

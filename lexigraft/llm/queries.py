@@ -10,6 +10,30 @@ from pyspark.sql import functions as F
 
 from lexigraft.llm.bpe import BpeModel, decode_ids, encode_texts
 from lexigraft.llm.common import read_table
+from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
+from lexigraft.llm.token_counts import count_tokens, read_pieces
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    scores = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(read_table(spark, sf_dir, "documents"), scores)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates of every document."""
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct("places.label"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("places.label", "blocks.label")), ",").alias("labels"),
+        F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)).alias("score"),
+    )
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +49,42 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op4_license_scan": op4_license_scan,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _op4_sql() -> str:
+    """Words and lines as lists; every line against every template."""
+    pattern = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    at = []
+    for phrase, label in sorted(PHRASES.items()):
+        same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        at.append(f"[{{'label': '{label}', 'word': i - 1}} FOR i IN range(1, len(w) + 1) IF {same}]")
+    values = []
+    for label, text in sorted(TEMPLATES.items()):
+        tokens = sorted({t.decode() for t in words_of(text)})
+        values.append(f"('{label}', {tokens})")
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, {pattern}) AS w FROM d),
+p AS (SELECT r, doc_id, t, w, {" || ".join(at)} AS places FROM w),
+tpl(label, tokens) AS (VALUES {", ".join(values)}),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+b AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(line, {pattern})) AS tokens FROM l
+      WHERE line LIKE '%licens%' OR line LIKE '%redistribution%' OR line LIKE '%permi%' OR line LIKE '%version%'),
+m AS (SELECT r, label, len(list_intersect(b.tokens, tpl.tokens)) / len(tpl.tokens) AS part FROM b, tpl
+      WHERE len(list_intersect(b.tokens, tpl.tokens)) >= {THRESHOLD} * len(tpl.tokens)),
+g AS (SELECT r, list(DISTINCT label) AS labels, max(part) AS score FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+       list_min([x.word FOR x IN places]) AS first_word, list_max([x.word FOR x IN places]) AS last_word,
+       array_to_string(list_sort(list_distinct([x.label FOR x IN places])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct([x.label FOR x IN places] || coalesce(labels, []))), ',') AS labels,
+       coalesce(score, 0.0) AS score
+FROM p LEFT JOIN g USING (r)"""
+
+
+ORACLE: dict[str, str] = {"op4_license_scan": _op4_sql()}
