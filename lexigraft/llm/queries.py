@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexigraft.llm.bpe import BpeModel, decode_ids, encode_texts
 from lexigraft.llm.common import read_table
 from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
+from lexigraft.llm.quality_rules import judge_quality
 from lexigraft.llm.token_counts import count_tokens, read_pieces
 
 
@@ -36,6 +37,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return judge_quality(read_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids, and returns digests of both."""
     model = BpeModel.load(public_tokenizers.path("word_bpe_49k.json"))
@@ -51,6 +57,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_license_scan": op4_license_scan,
+    "op5_quality_rules": op5_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
