@@ -6,18 +6,23 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraft.llm.common import Memory, map_batches
+from lexigraft.llm.common import Memory, blocks_by_length, list_offsets, map_batches
 
 #: White space of Unicode. Fixed values.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Words a task remembers, in each of two halves.
-REMEMBERED = 250_000
+#: Chunks a task remembers in each of two halves, and half as many words. About 200 bytes each.
+REMEMBERED = 300_000
+#: Characters of text that are encoded before their ids leave the task.
+BLOCK_CHARS = 4 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -125,53 +130,52 @@ class Encoder:
         self._words = regex.compile(model.pattern.replace("[^\\s", f"[^{SPACES}"))
         self._spaces = re.compile(f"[{SPACES}]+")
         self._special = re.compile("|".join(map(re.escape, sorted(model.special, key=len, reverse=True))) or "(?!)")
-        self._word_ids = Memory(self._encode_word, remembered)
+        self._word_ids = Memory(self._encode_word, remembered // 2)
         self._chunk_ids = Memory(self._encode_chunk, remembered)
 
-    def _encode_word(self, word: str) -> list[int]:
+    def _encode_word(self, word: str) -> bytes:
         data = word.encode("utf-8")
         inner, last = self._inner, self._last[data[-1]]
         symbols = [inner[b] for b in data[:-1]]
         symbols.append(last)
-        return merge_word([s for s in symbols if s is not None], self.model.pairs)
+        return array("i", merge_word([s for s in symbols if s is not None], self.model.pairs)).tobytes()
 
-    def _encode_chunk(self, chunk: str) -> list[int]:
+    def _encode_chunk(self, chunk: str) -> bytes:
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         words = self._words.findall(chunk.lower())
         if len(words) == 1:
             return self._word_ids[words[0]]
-        ids: list[int] = []
-        for word in words:
-            ids += self._word_ids[word]
-        return ids
+        return b"".join([self._word_ids[word] for word in words])
 
-    def _encode_plain(self, text: str, out: list[int]) -> None:
+    def _encode_plain(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             chunks = filter(None, self._spaces.split(text))
         else:
             chunks = text.split()
-        memory, extend = self._chunk_ids, out.extend
-        for chunk in chunks:
-            extend(memory[chunk])
+        memory = self._chunk_ids
+        return b"".join([memory[chunk] for chunk in chunks])
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids as native 32-bit integers."""
         if not text:
-            return out
-        at = 0
-        if "<" in text:
-            for m in self._special.finditer(text):
-                self._encode_plain(text[at : m.start()], out)
-                out.append(self.model.special[m.group()])
-                at = m.end()
-        self._encode_plain(text[at:] if at else text, out)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The pieces' strings one after the other; a file without decoder puts a space between them."""
-        strings = self.model.strings
-        return " ".join([strings[i] for i in ids])
+            return b""
+        if "<" not in text or not self._special.search(text):
+            return self._encode_plain(text)
+        parts, at = [], 0
+        for m in self._special.finditer(text):
+            parts += [self._encode_plain(text[at : m.start()]), array("i", [self.model.special[m.group()]]).tobytes()]
+            at = m.end()
+        return b"".join([*parts, self._encode_plain(text[at:])])
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.encode_packed(text)).tolist()
+
+
+def decode(ids: pa.ListArray, strings: pa.Array) -> pa.Array:
+    """The pieces' strings one after the other; a file without decoder puts a space between them."""
+    pieces = pa.ListArray.from_arrays(ids.offsets, strings.take(ids.values.cast(pa.int32())))
+    return pc.binary_join(pieces, " ")
 
 
 def encode_texts(docs: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,8 +191,13 @@ def encode_texts(docs: DataFrame, model: BpeModel, id_col: str = "doc_id", text_
     def make():
         encoder = Encoder(shared.value)
 
-        def work(batch: pa.RecordBatch) -> dict:
-            return {id_col: batch.column(0), "ids": [encoder.encode(t) for t in batch.column(1).to_pylist()]}
+        def work(batch: pa.RecordBatch):
+            for part in blocks_by_length(batch, 1, BLOCK_CHARS):
+                packed = [encoder.encode_packed(t) for t in part.column(1).to_pylist()]
+                offsets = np.zeros(len(packed) + 1, np.int32)
+                np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+                ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+                yield {id_col: part.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets), ids)}
 
         return work
 
@@ -201,18 +210,14 @@ def decode_ids(encoded: DataFrame, model: BpeModel, id_col: str = "doc_id") -> D
     kind = dict(encoded.dtypes)[id_col]
 
     def make():
-        strings = shared.value.strings
+        strings = pa.array(shared.value.strings)
 
-        def work(batch: pa.RecordBatch) -> dict:
-            ids = batch.column(1).to_pylist()
-            return {
-                id_col: batch.column(0),
-                "ids": batch.column(1),
-                "decoded": [" ".join([strings[i] for i in x or ()]) for x in ids],
-            }
+        def work(batch: pa.RecordBatch):
+            for part in blocks_by_length(batch, 1, BLOCK_CHARS // 4):
+                ids = pc.fill_null(part.column(1), pa.scalar([], part.column(1).type))
+                flat = pa.ListArray.from_arrays(list_offsets(ids), ids.flatten())
+                yield {id_col: part.column(0), "ids": flat, "decoded": decode(flat, strings)}
 
         return work
 
     return map_batches(encoded.select(id_col, "ids"), make, f"`{id_col}` {kind}, ids array<int>, decoded string")
-
-

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A to Z and the same letters in lower case; other letters stay as they are.
@@ -52,6 +54,26 @@ class Memory(dict):
         return value
 
 
+def list_offsets(lists: pa.ListArray) -> pa.Array:
+    """Offsets from 0 of the lengths of ``lists``, which has no nulls."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
+def blocks_by_length(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values have about ``most`` bytes or items together, one row at least."""
+    values = batch.column(column)
+    is_list = pa.types.is_list(values.type)
+    lengths = pc.list_value_length(values) if is_list else pc.binary_length(values)
+    ends = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
+        end = max(end, start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str
 ) -> DataFrame:
