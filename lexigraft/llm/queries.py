@@ -13,6 +13,7 @@ from lexigraft.llm.common import read_table
 from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
 from lexigraft.llm.quality_rules import judge_quality
 from lexigraft.llm.token_counts import count_tokens, read_pieces
+from lexigraft.llm.warc import MIN_REVISIT, archive_pages, read_records
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +55,18 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives and reads all records back through the index."""
+    back = read_records(archive_pages(read_table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_warc_archives": op10_warc_archives,
 }
 
 
@@ -94,4 +102,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS
 FROM p LEFT JOIN g USING (r)"""
 
 
-ORACLE: dict[str, str] = {"op4_license_scan": _op4_sql()}
+_OP10_SQL = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to
+FROM g"""
+
+ORACLE: dict[str, str] = {"op10_warc_archives": _OP10_SQL, "op4_license_scan": _op4_sql()}
