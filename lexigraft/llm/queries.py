@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.llm.bpe import BpeModel, decode_ids, encode_texts
 from lexigraft.llm.common import read_table
+from lexigraft.llm.html_density import extract_main_text
 from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
 from lexigraft.llm.quality_rules import judge_quality
 from lexigraft.llm.token_counts import count_tokens, read_pieces
@@ -43,6 +44,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    texts = extract_main_text(read_table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids, and returns digests of both."""
     model = BpeModel.load(public_tokenizers.path("word_bpe_49k.json"))
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op8_html_density": op8_html_density,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_warc_archives": op10_warc_archives,
 }
