@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.llm.bpe import BpeModel, decode_ids, encode_texts
 from lexigraft.llm.common import read_table
+from lexigraft.llm.decontamination import find_contained
 from lexigraft.llm.html_density import extract_main_text
 from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
 from lexigraft.llm.quality_rules import judge_quality
@@ -23,6 +24,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), scores)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
+    return find_contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates of every document."""
     found = scan_licenses(read_table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op8_html_density": op8_html_density,
@@ -119,4 +126,17 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to
 FROM g"""
 
-ORACLE: dict[str, str] = {"op10_warc_archives": _OP10_SQL, "op4_license_scan": _op4_sql()}
+_OP3_SQL = """
+WITH d AS (SELECT doc_id AS id, text FROM documents), i AS (SELECT item_id AS id, text FROM benchmark),
+words AS (SELECT id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w, kind
+          FROM (SELECT *, 'd' AS kind FROM d UNION ALL SELECT *, 'i' FROM i)),
+sh AS (SELECT DISTINCT kind, id, unnest([array_to_string(w[j : j + 4], ' ') FOR j IN range(1, greatest(len(w) - 3, 2))]) AS s
+       FROM words WHERE len(w) > 0),
+n AS (SELECT id, count(*) AS n FROM sh WHERE kind = 'i' GROUP BY id),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM sh d JOIN sh i ON d.s = i.s
+      WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n AS n_item_shingles, n_shared / n AS containment
+FROM m JOIN n ON n.id = item_id WHERE n_shared >= 0.75 * n"""
+
+ORACLE: dict[str, str] = {"op3_decontamination": _OP3_SQL, "op10_warc_archives": _OP10_SQL, "op4_license_scan": _op4_sql()}
