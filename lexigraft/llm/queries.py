@@ -13,6 +13,7 @@ from lexigraft.llm.common import read_table
 from lexigraft.llm.decontamination import find_contained
 from lexigraft.llm.html_density import extract_main_text
 from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
+from lexigraft.llm.near_duplicates import near_duplicate_classes
 from lexigraft.llm.quality_rules import judge_quality
 from lexigraft.llm.token_counts import count_tokens, read_pieces
 from lexigraft.llm.warc import MIN_REVISIT, archive_pages, read_records
@@ -50,6 +51,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = extract_main_text(read_table(spark, sf_dir, "pages"))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_html_density": op8_html_density,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_warc_archives": op10_warc_archives,
@@ -139,4 +146,18 @@ m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM sh d JOI
 SELECT doc_id, item_id, n_shared, n AS n_item_shingles, n_shared / n AS containment
 FROM m JOIN n ON n.id = item_id WHERE n_shared >= 0.75 * n"""
 
-ORACLE: dict[str, str] = {"op3_decontamination": _OP3_SQL, "op10_warc_archives": _OP10_SQL, "op4_license_scan": _op4_sql()}
+_OP6_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id AS d, unnest([array_to_string(w[j : j + 4], ' ') FOR j IN range(1, greatest(len(w) - 3, 2))]) AS s
+       FROM words WHERE len(w) > 0),
+n AS (SELECT d, count(*) AS n FROM sh GROUP BY d),
+m AS (SELECT a.d AS u, b.d AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.d <> b.d GROUP BY 1, 2),
+l AS (SELECT u, v FROM m JOIN n a ON a.d = u JOIN n b ON b.d = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT d AS u, d AS v FROM n UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+k AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       doc_id = coalesce(component_id, doc_id) AS kept
+FROM documents LEFT JOIN n ON n.d = doc_id LEFT JOIN k ON k.u = doc_id"""
+
+ORACLE: dict[str, str] = {"op6_near_duplicates": _OP6_SQL, "op3_decontamination": _OP3_SQL, "op10_warc_archives": _OP10_SQL, "op4_license_scan": _op4_sql()}
