@@ -106,3 +106,14 @@ def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+#: Rows of up to so many bytes that are sent to all tasks; a larger side is joined by shuffle.
+BROADCAST_BYTES = 24 << 20
+
+
+def sized(table: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a written table for broadcast if its rows, counted, stay below a fixed size."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if table.count() * row_bytes <= most else table

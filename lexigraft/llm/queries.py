@@ -13,6 +13,7 @@ from lexigraft.llm.common import read_table
 from lexigraft.llm.decontamination import find_contained
 from lexigraft.llm.html_density import extract_main_text
 from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
+from lexigraft.llm.line_dedup import without_repeated_lines
 from lexigraft.llm.near_duplicates import near_duplicate_classes
 from lexigraft.llm.quality_rules import judge_quality
 from lexigraft.llm.token_counts import count_tokens, read_pieces
@@ -56,6 +57,13 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line, and a digest of what is left."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    return without_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "n_near", kept)
+
+
 def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     texts = extract_main_text(read_table(spark, sf_dir, "pages"))
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_density": op8_html_density,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_warc_archives": op10_warc_archives,
