@@ -16,10 +16,24 @@ from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licen
 from lexigraft.llm.line_dedup import without_repeated_lines
 from lexigraft.llm.near_duplicates import near_duplicate_classes
 from lexigraft.llm.quality_rules import judge_quality
+from lexigraft.llm.suffix_repeats import without_repeats
 from lexigraft.llm.token_counts import count_tokens, read_pieces
 from lexigraft.llm.warc import MIN_REVISIT, archive_pages, read_records
 
 
+def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in an earlier repeat, and a digest of the others."""
+    cut = without_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram tokens of every document."""
     scores = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
@@ -89,6 +103,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_repeats": op1_suffix_repeats,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
