@@ -46,14 +46,9 @@ CTES: dict[str, str] = {
         FROM (SELECT lang, unnest(regexp_split_to_array(text, '{SPACE}+')) AS w FROM documents)
         WHERE w <> '' GROUP BY lang, w""",
     "chars": """
-        SELECT lang, ch, n FROM (
-            SELECT lang, ch, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, ch) AS rn
-            FROM (
-                SELECT lang, ch, sum(n)::BIGINT AS n
-                FROM (SELECT lang, unnest(string_split(w, '')) AS ch, n FROM words)
-                WHERE ch NOT IN ('', '▁') GROUP BY lang, ch
-            )
-        ) WHERE rn <= 100""",
+        SELECT lang, ch, sum(n)::BIGINT AS n
+        FROM (SELECT lang, unnest(string_split(w, '')) AS ch, n FROM words)
+        WHERE ch NOT IN ('', '▁') GROUP BY lang, ch""",
     "specials": """
         SELECT * FROM (VALUES ('<s>', 0, 0), ('<pad>', -1, 0), ('</s>', -2, 0), ('<unk>', -3, 0), ('<mask>', -4, 0))
         AS t(token, n, g)""",
@@ -376,7 +371,7 @@ for _kind, _sql in _KINDS.items():
 
 _FINGERPRINT = """
     SELECT vocab, count(*) AS n, md5(concat_ws(':', count(*), bit_xor(h), sum(h & 16777215))) AS digest
-    FROM (SELECT vocab, ('0x' || substr(md5(concat_ws(':', token, id)), 1, 15))::BIGINT AS h FROM vocabs) GROUP BY vocab"""
+    FROM (SELECT vocab, ('0x' || substr(md5(coalesce(length(token) || ':' || token, '-') || coalesce(length(id::VARCHAR) || ':' || id, '-')), 1, 15))::BIGINT AS h FROM vocabs) GROUP BY vocab"""
 
 FINAL: dict[str, str] = {
     "scan_text": r"""
@@ -455,7 +450,7 @@ FINAL: dict[str, str] = {
     "rare_overlap": "SELECT pair_id, id, token, use_for_init FROM d_ann WHERE outcome = 'copied'",
     "random_init_tokens": "SELECT pair_id, id, token FROM d_ann WHERE outcome = 'random'",
     "cooccurrence": "SELECT lang, token, ctx, n FROM t_pairs",
-    "ppmi": f"SELECT lang, token, ctx, {_r6('ppmi')} AS ppmi FROM t_ppmi WHERE ppmi > 1e-9",
+    "ppmi": f"SELECT lang, token, ctx, {_r6('ppmi')} AS ppmi FROM t_ppmi WHERE {_r6('ppmi')} > 0",
     "aux_ppmi": f"SELECT vocab, token, pos, {_r6('value')} AS value FROM t_vectors",
     "aux_from_table": f"SELECT vocab, token, pos, {_r6('value')} AS value FROM t_vectors",
     "aux_words_scan": f"SELECT vocab AS lang, token AS word, pos, {_r6('value')} AS value FROM w_vectors WHERE vocab IN ('de', 'es')",
@@ -471,7 +466,7 @@ FINAL: dict[str, str] = {
         SELECT pair_id, id, rank::INT AS rank, nbr_id, {_r6('z')} AS z FROM (
             SELECT *, row_number() OVER (PARTITION BY pair_id, id ORDER BY z DESC, nbr_id) AS rank FROM d_z
         ) WHERE rank <= 5""",
-    "sparsemax_weights": f"SELECT pair_id, id, nbr_id, src_id, {_r6('w')} AS w FROM d_w WHERE w > 1e-9",
+    "sparsemax_weights": f"SELECT pair_id, id, nbr_id, src_id, {_r6('w')} AS w FROM d_w WHERE {_r6('w')} > 0",
     "convex_combination": f"SELECT pair_id, id, pos, {_r6('value')} AS value FROM d_weighted",
     "random_init": f"SELECT pair_id, matrix, id, pos, {_r6('value')} AS value FROM d_random",
     "copied_embeddings": f"""
@@ -489,8 +484,7 @@ FINAL: dict[str, str] = {
     "two_matrices": "SELECT pair_id, matrix, id, outcome, pos, value FROM two_rows",
     "multi_language": "SELECT pair_id, matrix, id, outcome, pos, value FROM wl_rows",
     "init_report": """
-        SELECT pair_id, outcome, count(*) AS n, count(*) FILTER (outcome = 'copied' AND NOT use_for_init) AS n_pruned,
-            array_to_string(list(token ORDER BY id)[1:5], ' ') AS first_tokens
+        SELECT pair_id, outcome, count(*) AS n, count(*) FILTER (outcome = 'copied' AND NOT use_for_init) AS n_pruned
         FROM d_ann GROUP BY pair_id, outcome""",
     "check_reproducible": "SELECT count(*) AS n_rows, 0::BIGINT AS n_differing FROM m_default",
     "check_specials": "SELECT pair_id, 4::BIGINT AS n, 0::BIGINT AS n_differing FROM m_default GROUP BY pair_id",

@@ -18,7 +18,7 @@ from lexigraft.operators.segmentation import count_tokens, join_tokens, segment_
 from lexigraft.operators.similarity import cosine_summary, nearest
 from lexigraft.operators.statistics import dimension_stats
 from lexigraft.operators.vocab_forms import canonical_vocab, flag_symbols, vocab_family, with_decoded
-from lexigraft.plans import auxiliary, checks
+from lexigraft.plans import checks
 from lexigraft.plans.auxiliary import load_auxiliary, token_pairs
 from lexigraft.plans.transfer import transfer, transfer_parts
 from lexigraft.session import materialize, scratch_path
@@ -356,8 +356,8 @@ def cooccurrence(t: Tables) -> DataFrame:
 @query
 def ppmi_weights(t: Tables) -> DataFrame:
     pairs = materialize(token_pairs(t.target_corpus, t.target_vocab, MIN_COUNT, words=t.target_words), "pairs")
-    weighted = ppmi(name_pairs(pairs, t.target_vocab)).where("ppmi > 1e-9")
-    return weighted.select("lang", "token", "ctx", r6(F.col("ppmi")).alias("ppmi"))
+    weighted = ppmi(name_pairs(pairs, t.target_vocab))
+    return weighted.select("lang", "token", "ctx", r6(F.col("ppmi")).alias("ppmi")).where("ppmi > 0")
 
 
 QUERIES["ppmi"] = QUERIES.pop("ppmi_weights")
@@ -368,12 +368,6 @@ def aux_ppmi(t: Tables) -> DataFrame:
     return entries(t.aux, "vocab", "token")
 
 
-@query
-def aux_word2vec(t: Tables) -> DataFrame:
-    vectors = auxiliary.aux_word2vec(t.target_corpus, t.target_vocab, dim=16, min_count=MIN_COUNT, epochs=1)
-    return entries(vectors, "vocab", "token")
-
-
 @query
 def aux_from_table(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "aux")
@@ -449,8 +443,8 @@ def topk_neighbours(t: Tables) -> DataFrame:
 
 @query
 def sparsemax_weights(t: Tables) -> DataFrame:
-    weights = t.transfer_parts().weights.where("w > 1e-9")
-    return weights.select("pair_id", "id", "nbr_id", "src_id", r6(F.col("w")).alias("w"))
+    weights = t.transfer_parts().weights
+    return weights.select("pair_id", "id", "nbr_id", "src_id", r6(F.col("w")).alias("w")).where("w > 0")
 
 
 @query
@@ -547,6 +541,7 @@ def check_reproducible(t: Tables) -> DataFrame:
 
 @query
 def check_specials(t: Tables) -> DataFrame:
+    # Special tokens whose vectors must stay.
     kept = ["<mask>", "</s>", "<pad>", "<s>"]
     return checks.specials_kept(_transfer(t), t.source_vocab, t.embeddings, _pairs(t), kept)
 

@@ -12,19 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEP_BITS = 30
-FINE_BITS = 40
 
 
 def to_steps(x: Column, bits: int = STEP_BITS) -> Column:
     # Rounds half away from zero like round(), which would go through decimals.
-    scaled = x.cast("double") * F.lit(float(1 << bits))
+    scaled = x.cast("double") * F.lit(2.0**bits)
     return (F.signum(scaled) * F.floor(F.abs(scaled) + F.lit(0.5))).cast("bigint")
-
-
-def wide_sum(x: Column, bits: int = FINE_BITS) -> Column:
-    """Sum over very many rows: high and low halves are summed apart, so that no
-    half can overflow before 2^30 rows of values below 2^13."""
-    steps = to_steps(x, bits)
-    high = F.sum(F.shiftright(steps, 20)).cast("double")
-    low = F.sum(steps.bitwiseAND(F.lit((1 << 20) - 1))).cast("double")
-    return (high * F.lit(float(1 << 20)) + low) / F.lit(float(1 << bits))

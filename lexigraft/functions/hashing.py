@@ -45,6 +45,12 @@ def sign_of(word: str, j: int) -> str:
 
 
 def row_digest(*cols: Column) -> Column:
-    """60-bit number of a row that other engines can compute as well."""
-    text = F.concat_ws(":", *[c.cast("string") for c in cols])
+    """60-bit number of a row that other engines can compute as well.
+
+    Every value stands behind its length, and null is not the empty string, so
+    that no two rows are written alike.
+    """
+    values = [c.cast("string") for c in cols]
+    parts = [F.when(v.isNull(), F.lit("-")).otherwise(F.concat(F.length(v).cast("string"), F.lit(":"), v)) for v in values]
+    text = F.concat(*parts)
     return _hex_number(F.md5(text), 1, 15)

@@ -51,11 +51,14 @@ def numeric_class() -> str:
 
 
 def is_symbol_text(c: Column) -> Column:
-    """All numeric, all ASCII punctuation (true for the empty string) or all white space."""
+    """All numeric, all ASCII punctuation (true for the empty string) or all white space.
+
+    ``$`` would also match before a line end that closes the text.
+    """
     return (
-        c.rlike(f"^{numeric_class()}+$")
-        | c.rlike(f"^{PUNCTUATION}*$")
-        | c.rlike(f"^{SPACE}+$")
+        c.rlike(rf"\A{numeric_class()}+\z")
+        | c.rlike(rf"\A{PUNCTUATION}*\z")
+        | c.rlike(rf"\A{SPACE}+\z")
     )
 
 

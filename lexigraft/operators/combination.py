@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraft.functions.salting import salt_of
-from lexigraft.operators.lookup import used_rows
-from lexigraft.session import DEFAULT_LIMITS, Limits
+from lexigraft.operators.lookup import or_missing, used_rows
+from lexigraft.session import DEFAULT_LIMITS, Limits, per_name
 
 
 def combine_vectors(parts: DataFrame, embeddings: DataFrame, keys: list[str], limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Sum of ``w * vector`` over the rows of ``parts(*keys, source, k, src_id, w)``.
 
     Returns ``(*keys, matrix, vector ARRAY<DOUBLE>)`` for every matrix of the
-    source vocabulary. ``parts`` is read twice, so it should be a written table.
+    source vocabulary. A source vocabulary without a matrix, or an id without a row
+    in one of its matrices, is an error. ``parts`` is read twice, so it should be a
+    written table.
     A sum is
     folded in the order of ``k`` in blocks of bounded size and then over the
     blocks, so its bits do not depend on the shuffle.
     """
     salted = parts.withColumn("_salt", salt_of([*keys, "k"], limits.salts))
-    joined = salted.join(used_rows(parts, embeddings, limits), ["source", "src_id", "_salt"])
+    matrices = embeddings.select(F.col("vocab").alias("source"), "matrix").distinct()
+    wanted = salted.join(per_name(matrices), "source", "left")
+    rows = used_rows(parts, embeddings, limits)
+    joined = or_missing(wanted.join(rows, ["source", "matrix", "src_id", "_salt"], "left"))
     row = F.struct("k", "w", "vector")
     by_block = joined.groupBy(*keys, "matrix", ((F.col("k") - 1) / limits.fold_rows).cast("int").alias("_block")).agg(
         F.array_sort(F.collect_list(row)).alias("rows")

@@ -96,6 +96,7 @@ def corpus_cooccurrence(
     keep: str | None = None,
     whole_words: bool = False,
     limits: Limits = DEFAULT_LIMITS,
+    drop_missing: bool = False,
 ) -> DataFrame:
     """The same counts straight from the texts: tokens are cut and counted in one
     pass, and the tokenised corpus is not laid out in between."""
@@ -113,7 +114,7 @@ def corpus_cooccurrence(
     def by_join(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
         return cooccurrence(tokenize_corpus(corpus, vocab, "id", method, keep, whole_words, limits), window)
 
-    return for_vocab_sizes(corpus.select("lang", "text"), vocab, limits, by_dictionary, by_join)
+    return for_vocab_sizes(corpus.select("lang", "text"), vocab, limits, by_dictionary, by_join, drop_missing)
 
 
 def name_pairs(pairs: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -22,18 +22,26 @@ def used_rows(parts: DataFrame, embeddings: DataFrame, limits: Limits = DEFAULT_
     return used.withColumn("_salt", every_salt(limits.salts))
 
 
+def or_missing(joined: DataFrame, key: str = "src_id") -> DataFrame:
+    """``joined`` with an error for every row without a ``vector``."""
+    what = F.concat(
+        F.lit("no source vector for id "), F.col(key).cast("string"), F.lit(" of "), F.coalesce("source", F.lit("null"))
+    )
+    kind = joined.schema["vector"].dataType
+    return joined.withColumn(
+        "vector", F.when(F.col("vector").isNull(), F.raise_error(what).cast(kind)).otherwise(F.col("vector"))
+    )
+
+
 def with_source_vectors(matched: DataFrame, embeddings: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Overlapping tokens with the vector of their first source token, one row per
     matrix. A source id without a row in the matrix is an error."""
     overlap = matched.where(F.col("match_kind").isNotNull())
     matrices = embeddings.select(F.col("vocab").alias("source"), "matrix").distinct()
-    wanted = overlap.join(per_name(matrices), "source").withColumn("_salt", salt_of(["pair_id", "id"], limits.salts))
+    wanted = overlap.join(per_name(matrices), "source", "left").withColumn("_salt", salt_of(["pair_id", "id"], limits.salts))
     rows = used_rows(overlap, embeddings, limits)
     joined = wanted.join(rows, ["source", "matrix", "src_id", "_salt"], "left").drop("_salt")
-    missing = F.raise_error(F.concat(F.lit("no source vector for id "), F.col("src_id").cast("string")))
-    return joined.withColumn(
-        "vector", F.when(F.col("vector").isNull(), missing.cast(joined.schema["vector"].dataType)).otherwise(F.col("vector"))
-    )
+    return or_missing(joined)
 
 
 def flag_membership(matched: DataFrame, extend: DataFrame, strict: bool = False) -> DataFrame:
@@ -64,7 +72,11 @@ def with_auxiliary(
         if extend is not None
         else matched.withColumn("in_extend", F.lit(True))
     )
-    vectors = aux.select("vocab", "token", F.col("vector").alias("aux"))
+    # Grouped by what it is joined by: no further shuffle.
+    vectors = aux.groupBy("vocab", "token").agg(F.first("vector").alias("aux"), F.count("*").alias("_n"))
+    twice = F.raise_error(F.concat(F.lit("more than one auxiliary vector for "), F.coalesce("token", F.lit("null"))))
+    one = F.when(F.col("_n") > 1, twice.cast(aux.schema["vector"].dataType)).otherwise(F.col("aux"))
+    vectors = vectors.select("vocab", "token", one.alias("aux"))
     overlapping = F.col("match_kind").isNotNull()
     return (
         flagged.join(vectors, ["vocab", "token"], "left")

@@ -18,8 +18,8 @@ from lexigraft.session import DEFAULT_LIMITS, Limits, materialize, per_name
 
 UNKNOWN = "<unk>"
 
-# Distinct words a task remembers before it starts over.
-MEMO_WORDS = 500_000
+# Characters of distinct words a task remembers, of all languages together, before it starts over.
+MEMO_CHARS = 8_000_000
 
 
 @dataclass
@@ -30,14 +30,17 @@ class Pieces:
     scores: dict[str, float]
     longest: int
     unknown: Any
+    worst: float
 
     @staticmethod
-    def build(rows: list[tuple[str, Any, float]], unknown: Any) -> Pieces:
+    def build(rows: list[tuple[str, Any, float]], unknown: Any, worst: float | None = None) -> Pieces:
+        """``worst``: the lowest score of the vocabulary, where ``rows`` are only some of its pieces."""
         return Pieces(
             {t: v for t, v, _ in rows},
             {t: s for t, _, s in rows},
             max((len(t) for t, _, _ in rows), default=1),
             unknown,
+            min((s for _, _, s in rows), default=0.0) if worst is None else worst,
         )
 
 
@@ -60,10 +63,10 @@ def greedy(word: str, pieces: Pieces) -> list[Any]:
 def best_scored(word: str, pieces: Pieces) -> list[Any]:
     """The segmentation with the highest sum of piece scores.
 
-    A single character without a piece costs ten more than the worst piece. On
+    A single character without a piece costs ten more than the vocabulary's worst piece. On
     equal sums the longer last piece wins.
     """
-    worst = min(pieces.scores.values(), default=0.0) - 10.0
+    worst = pieces.worst - 10.0
     best: list[tuple[float, int, Any]] = [(0.0, 0, None)]
     for stop in range(1, len(word) + 1):
         options = []
@@ -88,7 +91,7 @@ METHODS: dict[str, Callable[[str, Pieces], list[Any]]] = {"greedy": greedy, "sco
 def _eligible(vocab: DataFrame, emit: str) -> DataFrame:
     """``(vocab, token, value, score)``. Special tokens are not found in text."""
     score = F.col("score").cast("double") if "score" in vocab.columns else F.lit(0.0)
-    return vocab.where(~F.col("is_special")).select("vocab", "token", F.col(emit).alias("value"), score.alias("score"))
+    return vocab.where(~F.coalesce("is_special", F.lit(False))).select("vocab", "token", F.col(emit).alias("value"), score.alias("score"))
 
 
 def fits_broadcast(df: DataFrame, text: str, limits: Limits) -> bool:
@@ -127,10 +130,17 @@ def for_vocab_sizes(
     limits: Limits,
     shared: Callable[[DataFrame, DataFrame], DataFrame],
     joined: Callable[[DataFrame, DataFrame], DataFrame],
+    drop_missing: bool = False,
 ) -> DataFrame:
     """Runs ``df(lang, ...)`` against the vocabularies of its languages: one pass per
-    bin that can be sent around, a join for the vocabularies that cannot."""
+    bin that can be sent around, a join for the vocabularies that cannot. A language
+    without a vocabulary, and a null one, is an error unless its rows may be dropped."""
     bins, large = size_bins(vocab, limits)
+    if not drop_missing:
+        names = [n for b in bins for n in b] + large
+        known = F.col("lang").isin(names) if names else F.lit(False)
+        missing = F.raise_error(F.concat(F.lit("no vocabulary for language "), F.coalesce("lang", F.lit("null"))))
+        df = df.withColumn("lang", F.when(F.coalesce(known, F.lit(False)), F.col("lang")).otherwise(missing.cast("string")))
 
     def part(run: Callable[[DataFrame, DataFrame], DataFrame], names: list[str]) -> DataFrame:
         return run(df.where(F.col("lang").isin(names)), vocab.where(F.col("vocab").isin(names)))
@@ -155,7 +165,7 @@ def load_pieces(
         found = pieces.setdefault(name, [])
         if token == UNKNOWN:
             unknown[name] = value
-        if not special:
+        if not special:  # also if it is not said
             found.append((token, value, weight))
         if not keeps:
             left_out.setdefault(name, set()).add(value)
@@ -179,7 +189,12 @@ def _lists(parts: list[list[Any]], value_type: pa.DataType) -> pa.Array:
 
 
 def segment_words(
-    words: DataFrame, vocab: DataFrame, emit: str = "token", method: str = "greedy", limits: Limits = DEFAULT_LIMITS
+    words: DataFrame,
+    vocab: DataFrame,
+    emit: str = "token",
+    method: str = "greedy",
+    limits: Limits = DEFAULT_LIMITS,
+    drop_missing: bool = False,
 ) -> DataFrame:
     """Pieces of distinct words ``(lang, w, ...)``: adds ``pieces``, an array of
     the ``emit`` column of ``vocab`` (whose ``vocab`` column is the language).
@@ -202,7 +217,9 @@ def segment_words(
 
         return words.mapInArrow(run, schema)
 
-    return for_vocab_sizes(words, vocab, limits, by_dictionary, lambda w, v: _segment_by_join(w, v, emit, method, limits))
+    return for_vocab_sizes(
+        words, vocab, limits, by_dictionary, lambda w, v: _segment_by_join(w, v, emit, method, limits), drop_missing
+    )
 
 
 def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str, limits: Limits) -> DataFrame:
@@ -216,6 +233,7 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
     arrow, walk = _arrow_type(kind), METHODS[method]
     eligible = _eligible(vocab, emit)
     unknown = _unknowns(vocab, emit)
+    worst = {r["vocab"]: r["s"] for r in eligible.groupBy("vocab").agg(F.min("score").alias("s")).collect()}
     lengths = eligible.groupBy(F.col("vocab").alias("lang")).agg(F.collect_set(F.length("token")).alias("_lengths"))
     marked = words.join(per_name(lengths), "lang").withColumn("_m", F.concat(F.lit(WORD_MARK), "w"))
     spans = marked.select(
@@ -240,7 +258,7 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
             parts = []
             for lang, w, hits in zip(*(b.column(c).to_pylist() for c in ("lang", "w", "_found"))):
                 rows = [(h["token"], h["value"], h["score"]) for h in hits or []]
-                parts.append(walk(WORD_MARK + w, Pieces.build(rows, unknown.get(lang))))
+                parts.append(walk(WORD_MARK + w, Pieces.build(rows, unknown.get(lang), worst.get(lang, 0.0))))
             kept = [b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, _lists(parts, arrow)], names=[*columns, "pieces"])
 
@@ -258,6 +276,7 @@ def cut_texts(
     """Tokens of each text. ``memos`` keeps the pieces of the words seen so far."""
     known, left_out = loaded
     walk, parts = METHODS[method], []
+    held = sum(len(w) for memo in memos.values() for w in memo) if memos else 0
     for lang, text in zip(langs, texts):
         memo, pieces, skip = memos.setdefault(lang, {}), known[lang], left_out.get(lang, ())
         tokens: list = []
@@ -265,8 +284,11 @@ def cut_texts(
         for word in (text or "").split():
             cut = memo.get(word)
             if cut is None:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
+                held += len(word)
+                if held > MEMO_CHARS:
+                    for other in memos.values():
+                        other.clear()
+                    held = len(word)
                 if whole_words:
                     value = pieces.values.get(WORD_MARK + word)
                     cut = [] if value is None else [value]
@@ -288,6 +310,7 @@ def tokenize_corpus(
     keep: str | None = None,
     whole_words: bool = False,
     limits: Limits = DEFAULT_LIMITS,
+    drop_missing: bool = False,
 ) -> DataFrame:
     """Replaces ``text`` of ``corpus(lang, text, ...)`` by ``tokens``.
 
@@ -320,6 +343,7 @@ def tokenize_corpus(
     return for_vocab_sizes(
         corpus, vocab, limits, by_dictionary,
         lambda c, v: _tokenize_by_join(c, v, emit, method, keep, whole_words, limits).select(*names, "tokens"),
+        drop_missing,
     )
 
 
@@ -375,14 +399,18 @@ def join_tokens(tokenized: DataFrame) -> DataFrame:
 
 
 def count_tokens(
-    words: DataFrame, vocab: DataFrame, method: str = "greedy", limits: Limits = DEFAULT_LIMITS
+    words: DataFrame,
+    vocab: DataFrame,
+    method: str = "greedy",
+    limits: Limits = DEFAULT_LIMITS,
+    drop_missing: bool = False,
 ) -> DataFrame:
     """``(vocab, token, cnt)`` from counted words ``(lang, w, n)``.
 
     Occurrences are already summed per word, so only distinct words are cut.
     """
     return (
-        segment_words(words, vocab, "token", method, limits)
+        segment_words(words, vocab, "token", method, limits, drop_missing)
         .select(F.col("lang").alias("vocab"), F.explode("pieces").alias("token"), "n")
         .groupBy("vocab", "token")
         .agg(F.sum("n").alias("cnt"))

@@ -5,33 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraft.functions.fixed import wide_sum
 from lexigraft.functions.hashing import normal_draw
-from lexigraft.session import per_name
+from lexigraft.session import materialize, per_name
 
 
 def dimension_stats(embeddings: DataFrame) -> DataFrame:
     """``(vocab, matrix, pos, n, mean, std)`` over all rows of every matrix.
 
-    ``std`` is the sample standard deviation. Partial sums are exact integers,
-    so one shuffle of (matrix, dimension) groups gives the same bits always.
+    ``std`` is the sample standard deviation. A first pass finds the range of each
+    dimension; values are then centred in it and counted in steps of a billionth of
+    it. The sums of steps are exact integers, so the bits depend neither on the
+    order of rows nor on how large or small the values are.
     """
-    x = F.col("x").cast("double")
-    n, s1, s2 = F.col("n").cast("double"), F.col("s1"), F.col("s2")
-    spread = F.greatest(F.lit(0.0), s2 - s1 * s1 / n)
-    return (
-        embeddings.select("vocab", "matrix", F.posexplode("vector").alias("pos", "x"))
-        .groupBy("vocab", "matrix", "pos")
-        .agg(F.count("*").alias("n"), wide_sum(x).alias("s1"), wide_sum(x * x).alias("s2"))
-        .select(
-            "vocab",
-            "matrix",
-            "pos",
-            "n",
-            (s1 / n).alias("mean"),
-            F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std"),
+    keys = ["vocab", "matrix", "pos"]
+    cells = embeddings.select("vocab", "matrix", F.posexplode("vector").alias("pos", "x"))
+    cells = cells.select(*keys, F.col("x").cast("double").alias("x"))
+    ranges = cells.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    step = F.when(width > 0, F.pow(F.lit(2.0), F.floor(F.log2(width)) - 29)).otherwise(1.0)
+    # One row per matrix and dimension; read twice by the join.
+    ranges = materialize(ranges.select(*keys, (F.col("lo") + width / 2).alias("centre"), step.alias("step")), "ranges")
+    u = F.rint((F.col("x") - F.col("centre")) / F.col("step")).cast("bigint")
+    sums = (
+        cells.join(per_name(ranges), keys)
+        .withColumn("u", u)
+        .groupBy(*keys)
+        .agg(
+            F.count("*").alias("n"),
+            F.first("centre").alias("centre"),
+            F.first("step").alias("step"),
+            F.sum("u").cast("double").alias("s1"),
+            # A square has up to 60 bits: its halves are summed apart.
+            F.sum(F.shiftright(F.col("u") * F.col("u"), 30)).cast("double").alias("high"),
+            F.sum((F.col("u") * F.col("u")).bitwiseAND(F.lit((1 << 30) - 1))).cast("double").alias("low"),
         )
     )
+    n, s1, size = F.col("n").cast("double"), F.col("s1"), F.col("step")
+    spread = F.greatest(F.lit(0.0), F.col("high") * float(1 << 30) + F.col("low") - s1 * s1 / n)
+    return sums.select(
+        *keys,
+        "n",
+        (F.col("centre") + s1 / n * size).alias("mean"),
+        F.when(n > 1, F.sqrt(spread / (n - 1)) * size).alias("std"),
+    )
 
 
 def packed_stats(stats: DataFrame) -> DataFrame:
@@ -55,4 +71,7 @@ def random_vectors(tokens: DataFrame, stats: DataFrame, seed: int = 42) -> DataF
         F.sequence(F.lit(0), F.size("mean") - 1),
         lambda d: F.get("mean", d) + F.get("std", d) * normal_draw(seed, F.col("id"), d),
     )
-    return tokens.join(per_name(packed), "source").withColumn("vector", drawn).drop("mean", "std")
+    missing = F.raise_error(F.concat(F.lit("no source matrix of "), F.col("source")))
+    found = tokens.join(per_name(packed), "source", "left")
+    vector = F.when(F.col("mean").isNull(), missing.cast("array<double>")).otherwise(drawn)
+    return found.withColumn("vector", vector).drop("mean", "std")

@@ -61,26 +61,24 @@ def _specials(langs: DataFrame, tokens: list[str]) -> DataFrame:
 def learn_vocab(
     words: DataFrame,
     sizes: dict[str, int],
-    n_chars: int = 100,
+    n_chars: int | None = None,
     specials: list[str] | None = None,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Frequency-ranked word vocabulary with the given size per language.
 
-    Order: special tokens, the lone word mark, the most frequent characters,
-    then whole words with the mark in front. Columns ``vocab, token, id,
+    Order: special tokens, the lone word mark, the characters by frequency (only
+    the ``n_chars`` most frequent if given), then whole words with the mark in
+    front. Columns ``vocab, token, id,
     decoded, is_special, n``.
     """
     specials = SPECIAL_TOKENS if specials is None else specials
     words = words.where(F.col("lang").isin(*sizes))
-    # Distinct characters are bounded by Unicode, so one window per language does.
-    frequent = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("ch"))
-    chars = (
-        count_characters(words)
-        .where(F.col("ch") != WORD_MARK)
-        .withColumn("_rn", F.row_number().over(frequent))
-        .where(F.col("_rn") <= n_chars)
-    )
+    chars = count_characters(words).where(F.col("ch") != WORD_MARK)
+    if n_chars is not None:
+        # Distinct characters are bounded by Unicode, so one window per language does.
+        frequent = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("ch"))
+        chars = chars.withColumn("_rn", F.row_number().over(frequent)).where(F.col("_rn") <= n_chars)
     whole = top_n(words, ["lang"], [F.col("n").desc(), F.col("w")], max(sizes.values()), limits)
     langs = words.sparkSession.createDataFrame([(k,) for k in sizes], "lang string")
     pieces = (
@@ -188,12 +186,14 @@ def extend_vocab(
     limits: Limits = DEFAULT_LIMITS,
     small: bool | None = None,
 ) -> DataFrame:
-    """All tokens of ``source`` with their ids, then the tokens of an ``added``
-    vocabulary not among them, with ids continuing in the order of their ids.
+    """All tokens of ``source``, which is one vocabulary, with their ids, then the tokens of
+    an ``added`` vocabulary not among them, with ids continuing in the order of their ids.
 
     One extended vocabulary per name in ``names``, called like the vocabulary
     that was added.
     """
+    if source.select("vocab").distinct().limit(2).count() > 1:
+        raise ValueError("extend one source vocabulary at a time")
     base = source.withColumn("vocab", F.explode(F.lit(names)))
     fresh = added.where(F.col("vocab").isin(names)).join(source.select("token"), "token", "left_anti")
     size = source.agg(F.max("id") + 1).scalar()

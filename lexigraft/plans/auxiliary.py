@@ -4,25 +4,26 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraft.operators.cooccurrence import corpus_cooccurrence, name_pairs, ppmi, project
-from lexigraft.operators.segmentation import fits_broadcast, segment_words, tokenize_corpus
+from lexigraft.operators.segmentation import segment_words
 from lexigraft.operators.vocab_forms import with_decoded
 from lexigraft.operators.vocab_learning import count_words
 from lexigraft.operators.wordlevel import token_vectors
 from lexigraft.session import DEFAULT_LIMITS, Limits, materialize
 
 MODES = ("tokenlevel", "wordlevel")
-MIN_COUNT, DIM, EPOCHS, WINDOW = 10, 100, 3, 5
+MIN_COUNT, DIM, WINDOW = 10, 100, 5
 
 
-def with_kept(vocab: DataFrame, words: DataFrame, min_count: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Vocabulary with ``keep``: the token occurs ``min_count`` times in the corpus."""
+def with_kept(
+    vocab: DataFrame, words: DataFrame, min_count: int, limits: Limits = DEFAULT_LIMITS, method: str = "greedy"
+) -> DataFrame:
+    """Vocabulary with ``keep``: the token occurs ``min_count`` times in the words of its language."""
     counts = (
-        segment_words(words, vocab, "id", limits=limits)
+        segment_words(words, vocab, "id", method, limits, drop_missing=True)
         .select(F.col("lang").alias("vocab"), F.explode("pieces").alias("id"), "n")
         .groupBy("vocab", "id")
         .agg(F.sum("n").alias("cnt"))
@@ -39,11 +40,15 @@ def token_pairs(
     window: int = WINDOW,
     words: DataFrame | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    method: str = "greedy",
 ) -> DataFrame:
-    """Co-occurrences ``(lang, token, ctx, n)`` of frequent tokens, as token ids."""
+    """Co-occurrences ``(lang, token, ctx, n)`` of frequent tokens, as token ids.
+
+    Of the corpus the languages that have a vocabulary are used.
+    """
     words = count_words(corpus) if words is None else words
-    kept = materialize(with_kept(vocab, words, min_count, limits), "kept")
-    return corpus_cooccurrence(corpus, kept, window, keep="keep", limits=limits)
+    kept = materialize(with_kept(vocab, words, min_count, limits, method), "kept")
+    return corpus_cooccurrence(corpus, kept, window, method, keep="keep", limits=limits, drop_missing=True)
 
 
 def aux_from_corpus(
@@ -54,11 +59,13 @@ def aux_from_corpus(
     window: int = WINDOW,
     words: DataFrame | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    method: str = "greedy",
 ) -> DataFrame:
     """``(vocab, token, vector)`` from a corpus: tokenise, count co-occurrences,
-    weight by PPMI, project to ``dim`` dimensions. Deterministic."""
+    weight by PPMI, project to ``dim`` dimensions. Deterministic. ``method`` is how
+    words are cut: ``greedy``, or ``score`` for a vocabulary with a ``score`` column."""
     # The counted pairs feed the totals of tokens and contexts and the weights.
-    pairs = materialize(token_pairs(corpus, vocab, min_count, window, words, limits), "pairs")
+    pairs = materialize(token_pairs(corpus, vocab, min_count, window, words, limits, method), "pairs")
     return project(ppmi(name_pairs(pairs, vocab), dim), dim)
 
 
@@ -67,7 +74,7 @@ def word_pairs(
 ) -> DataFrame:
     """Co-occurrences of whole words that ``word_vocab(vocab, token, id, n, is_special)`` lists."""
     frequent = word_vocab.where(F.col("n") >= min_count)
-    return corpus_cooccurrence(corpus, frequent, window, whole_words=True, limits=limits)
+    return corpus_cooccurrence(corpus, frequent, window, whole_words=True, limits=limits, drop_missing=True)
 
 
 def word_vectors_from_corpus(
@@ -86,47 +93,6 @@ def word_vectors_from_corpus(
     )
 
 
-def aux_word2vec(
-    corpus: DataFrame,
-    vocab: DataFrame,
-    dim: int = DIM,
-    min_count: int = MIN_COUNT,
-    epochs: int = EPOCHS,
-    window: int = WINDOW,
-    partitions: int = 8,
-    seed: int = 42,
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
-    """``(vocab, token, vector)`` trained with MLlib's Word2Vec (skip-gram).
-
-    Tokens carry their language, so one model holds all languages. MLlib keeps
-    the whole model on the driver; vocabularies for which that is too much are
-    refused, :func:`aux_from_corpus` has no such limit.
-    """
-    cells = vocab.count() * dim
-    if cells * 4 > limits.broadcast_bytes * 8 or not fits_broadcast(vocab, "token", limits):
-        raise ValueError("vocabulary too large for a driver-held model; use aux_from_corpus")
-    tokenized = tokenize_corpus(corpus.select("lang", "text"), vocab, limits=limits).select(
-        F.transform("tokens", lambda t: F.concat_ws("\t", "lang", t)).alias("tokens")
-    )
-    model = Word2Vec(
-        vectorSize=dim,
-        minCount=min_count,
-        maxIter=epochs,
-        windowSize=window,
-        numPartitions=partitions,
-        seed=seed,
-        inputCol="tokens",
-        outputCol="v",
-    ).fit(tokenized)
-    from pyspark.ml.functions import vector_to_array
-
-    parts = F.split("word", "\t", 2)
-    return model.getVectors().select(
-        F.get(parts, F.lit(0)).alias("vocab"), F.get(parts, F.lit(1)).alias("token"), vector_to_array("vector").alias("vector")
-    )
-
-
 def load_auxiliary(
     vocab: DataFrame | None = None,
     mode: str = "tokenlevel",
@@ -138,6 +104,7 @@ def load_auxiliary(
     dim: int = DIM,
     min_count: int = MIN_COUNT,
     window: int = WINDOW,
+    method: str = "greedy",
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Auxiliary vectors ``(vocab, token, vector)``.
@@ -157,7 +124,7 @@ def load_auxiliary(
             return table.select("vocab", "token", "vector")
         if vocab is None:
             raise ValueError("deriving vectors from a corpus needs a vocabulary")
-        return aux_from_corpus(corpus, vocab, dim, min_count, window, limits=limits)
+        return aux_from_corpus(corpus, vocab, dim, min_count, window, limits=limits, method=method)
     if not languages or word_vectors is None or vocab is None:
         raise ValueError("word-level vectors need a vocabulary, word vectors and their languages")
     if table is not None or corpus is not None:

@@ -7,26 +7,18 @@ from pyspark.sql import functions as F
 
 from lexigraft.functions.vectors import l1_norm
 from lexigraft.operators.lookup import COPIED, RANDOM
-from lexigraft.operators.ranking import top_n
 
 
-def init_report(annotated: DataFrame, names: int = 5) -> DataFrame:
-    """Counts per pair and outcome with the first token names by id.
+def init_report(annotated: DataFrame) -> DataFrame:
+    """``(pair_id, outcome, n, n_pruned)``: counts per pair and outcome.
 
-    ``(pair_id, outcome, n, n_pruned, first_tokens)``; ``n_pruned`` counts
-    overlapping tokens that give no weight to others.
+    ``n_pruned`` counts overlapping tokens that give no weight to others. The
+    tokens themselves are rows of ``annotated``; see also :func:`random_tokens`.
     """
-    counts = annotated.groupBy("pair_id", "outcome").agg(
+    return annotated.groupBy("pair_id", "outcome").agg(
         F.count("*").alias("n"),
         F.count_if((F.col("outcome") == COPIED) & ~F.col("use_for_init")).alias("n_pruned"),
     )
-    first = (
-        top_n(annotated.select("pair_id", "outcome", "id", "token"), ["pair_id", "outcome"], [F.col("id")], names)
-        .groupBy("pair_id", "outcome")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "token"))).alias("t"))
-        .select("pair_id", "outcome", F.array_join(F.col("t.token"), " ").alias("first_tokens"))
-    )
-    return counts.join(first, ["pair_id", "outcome"])
 
 
 def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -40,11 +32,11 @@ def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _against_source(rows: DataFrame, embeddings: DataFrame, group: list[str]) -> DataFrame:
-    """Counts rows ``(source, matrix, src_id, vector)`` that differ from the source row."""
+    """Counts rows ``(source, matrix, src_id, vector)`` that differ from the source row or have no vector."""
     source = embeddings.select(
         F.col("vocab").alias("source"), "matrix", F.col("id").alias("src_id"), F.col("vector").alias("src_vector")
     )
-    differs: Column = ~F.col("vector").eqNullSafe(F.col("src_vector"))
+    differs: Column = F.col("vector").isNull() | ~F.col("vector").eqNullSafe(F.col("src_vector"))
     return (
         rows.join(source, ["source", "matrix", "src_id"], "left")
         .groupBy(*group)
@@ -55,7 +47,11 @@ def _against_source(rows: DataFrame, embeddings: DataFrame, group: list[str]) ->
 def specials_kept(result: DataFrame, source_vocab: DataFrame, embeddings: DataFrame, pairs: DataFrame, tokens: list[str]) -> DataFrame:
     """Special tokens whose vector is not the one of the same source token."""
     ids = source_vocab.select(F.col("vocab").alias("source"), "token", F.col("id").alias("src_id"))
-    rows = result.where(F.col("token").isin(tokens)).join(pairs, "pair_id").join(ids, ["source", "token"], "left")
+    # From the tokens that must be there, so that lost ones are counted.
+    matrices = embeddings.select(F.col("vocab").alias("source"), "matrix").distinct()
+    expected = ids.where(F.col("token").isin(tokens)).join(pairs, "source").join(matrices, "source")
+    found = result.select("pair_id", "matrix", "token", "vector")
+    rows = expected.join(found, ["pair_id", "matrix", "token"], "left")
     return _against_source(rows, embeddings, ["pair_id"])
 
 
@@ -69,7 +65,10 @@ def nonzero_rows(result: DataFrame) -> DataFrame:
 def overlap_copied(result: DataFrame, annotated: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Overlapping tokens whose row is not the row of their first source token."""
     overlap = annotated.where(F.col("match_kind").isNotNull()).select("pair_id", "source", "id", "src_id")
-    return _against_source(result.join(overlap, ["pair_id", "id"]), embeddings, ["pair_id"])
+    matrices = embeddings.select(F.col("vocab").alias("source"), "matrix").distinct()
+    expected = overlap.join(matrices, "source")
+    rows = expected.join(result.select("pair_id", "matrix", "id", "vector"), ["pair_id", "matrix", "id"], "left")
+    return _against_source(rows, embeddings, ["pair_id"])
 
 
 def extension_preserves(

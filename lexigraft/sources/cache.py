@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +13,13 @@ from pyspark.sql import functions as F
 from lexigraft.functions.hashing import row_digest
 
 
-def sanitize_path(path: str) -> str:
-    """A path as one file name: separators become underscores."""
-    return PurePosixPath(path).as_posix().replace("/", "_")
-
-
 def fingerprint(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
     """Order-free content fingerprint ``(…, n, digest)``.
 
     The exclusive or cancels equal rows, so the sum of the low digits and the
     row count go in as well. Everything combines on the map side.
     """
-    digest = row_digest(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    digest = row_digest(*[F.col(c) for c in columns])
     hashed = df.select(*(group or []), digest.alias("_h"))
     low = F.col("_h").bitwiseAND(F.lit((1 << 24) - 1))
     parts = hashed.groupBy(*(group or [])).agg(
@@ -34,11 +29,25 @@ def fingerprint(df: DataFrame, columns: list[str], group: list[str] | None = Non
     return parts.select(*(group or []), "n", F.md5(text).alias("digest"))
 
 
-def cache_key(name: str, *inputs: DataFrame, **params: object) -> str:
-    """Key of a derived table: name, content of the inputs, parameters."""
-    digests = [fingerprint(df, df.columns).first()["digest"] for df in inputs]
-    text = ":".join([*digests, *[f"{k}={params[k]}" for k in sorted(params)]])
-    return f"{re.sub(r'[^A-Za-z0-9_.-]', '_', sanitize_path(name))}-{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+def files_fingerprint(df: DataFrame) -> str:
+    """Fingerprint of the files behind a table: path, length and time of change, no content."""
+    files = df.sparkSession.read.format("binaryFile").load(df.inputFiles())
+    return fingerprint(files, ["path", "length", "modificationTime"]).first()["digest"]
+
+
+def cache_key(name: str, *inputs: DataFrame, by: str = "content", **params: object) -> str:
+    """Key of a derived table: name, schemas and inputs, parameters.
+
+    ``by="files"`` takes the files of the inputs instead of their rows: an answer
+    without reading a corpus, for inputs that are read straight from files.
+    """
+    if by not in ("content", "files"):
+        raise ValueError(f"by must be 'content' or 'files', not {by!r}")
+    digests = [
+        files_fingerprint(df) if by == "files" else fingerprint(df, df.columns).first()["digest"] for df in inputs
+    ]
+    text = json.dumps([by, [df.schema.simpleString() for df in inputs], digests, sorted((k, repr(v)) for k, v in params.items())])
+    return f"{re.sub(r'[^A-Za-z0-9_.-]', '_', name)}-{hashlib.sha256(text.encode()).hexdigest()[:32]}"
 
 
 def _is_complete(spark: SparkSession, path: str) -> bool:

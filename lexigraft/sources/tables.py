@@ -8,32 +8,62 @@ from pyspark.sql import functions as F
 from lexigraft.session import spread_small
 
 VOCAB_SCHEMA = "vocab string, token string, id bigint, decoded string, is_special boolean"
+SCORED_SCHEMA = f"{VOCAB_SCHEMA}, score double"
 EMBEDDING_SCHEMA = "vocab string, matrix string, id bigint, vector array<float>"
 VECTOR_SCHEMA = "vocab string, token string, vector array<double>"
 WORD_VECTOR_SCHEMA = "lang string, word string, vector array<double>"
 
 
-def read_corpus(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
+FORMATS = {"txt": "text", "json": "json", "jsonl": "json", "parquet": "parquet"}
+COMPRESSIONS = ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
+
+
+def corpus_format(path: str) -> str:
+    """Format of a file or pattern by its ending, behind which a compression's may stand."""
+    parts = path.rstrip("/*").rsplit("/", 1)[-1].lower().split(".")
+    if len(parts) > 2 and parts[-1] in COMPRESSIONS:
+        parts.pop()
+    found = FORMATS.get(parts[-1])
+    if found is None:
+        raise ValueError(f"unknown corpus format: {path}")
+    return found
+
+
+def read_corpus(
+    spark: SparkSession, path: str, lang: str | None = None, format: str | None = None, corrupt: str = "fail"
+) -> DataFrame:
     """Samples of a corpus as ``text`` (and ``lang`` if given).
 
-    ``.txt``: one sample per line. ``.json`` / ``.jsonl``: the field ``text``.
-    ``.parquet``: the column ``text``.
+    ``text``: one sample per line. ``json``: the field ``text`` of every line.
+    ``parquet``: the column ``text``. Files may be compressed; a folder or pattern
+    without an ending needs ``format``. A broken JSON line and a sample without
+    ``text`` are errors; with ``corrupt="keep"`` they come back in a column
+    ``corrupt`` with a null text, to be counted.
     """
-    suffix = path.rstrip("/").rsplit(".", 1)[-1]
-    if suffix == "txt":
+    kind = format or corpus_format(path)
+    if corrupt not in ("fail", "keep"):
+        raise ValueError(f"corrupt must be 'fail' or 'keep', not {corrupt!r}")
+    if kind == "text":
         df = spark.read.text(path).select(F.col("value").alias("text"))
-    elif suffix in ("json", "jsonl"):
-        df = spark.read.schema("text string").json(path)
-    elif suffix == "parquet":
+    elif kind == "json" and corrupt == "keep":
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+        df = spark.read.options(**options).schema("text string, corrupt string").json(path)
+    elif kind == "json":
+        df = spark.read.option("mode", "FAILFAST").schema("text string").json(path)
+    elif kind == "parquet":
         df = spark.read.parquet(path).select("text")
     else:
-        raise ValueError(f"unknown corpus format: {path}")
+        raise ValueError(f"unknown corpus format: {kind}")
+    if corrupt == "fail":
+        missing = F.raise_error(F.lit(f"a sample without text in {path}")).cast("string")
+        df = df.withColumn("text", F.when(F.col("text").isNull(), missing).otherwise(F.col("text")))
     df = spread_small(df)
-    return df if lang is None else df.select(F.lit(lang).alias("lang"), "text")
+    return df if lang is None else df.select(F.lit(lang).alias("lang"), *df.columns)
 
 
-def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VOCAB_SCHEMA).parquet(path)
+def read_vocab(spark: SparkSession, path: str, scored: bool = False) -> DataFrame:
+    """A vocabulary; ``scored`` ones have a ``score`` per piece, for segmentation by the best score."""
+    return spark.read.schema(SCORED_SCHEMA if scored else VOCAB_SCHEMA).parquet(path)
 
 
 def duplicate_entries(vocab: DataFrame) -> DataFrame:
@@ -59,6 +89,8 @@ def read_word_vectors(spark: SparkSession, path: str, languages: list[str]) -> D
 
 # Roles a special token can have in a tokenizer's map.
 SPECIAL_ROLES = ["bos_token", "eos_token", "unk_token", "sep_token", "pad_token", "cls_token", "mask_token"]
+# Fixed value: the role with a list of tokens.
+SPECIAL_LIST = "additional_special_tokens"
 
 
 def special_tokens(maps: DataFrame) -> DataFrame:
@@ -70,9 +102,14 @@ def special_tokens(maps: DataFrame) -> DataFrame:
             for r in SPECIAL_ROLES
         ]
     )
-    return (
-        maps.select("vocab", F.explode(found).alias("token")).where(F.col("token").isNotNull()).distinct()
+    listed = F.from_json(F.get_json_object("json", f"$.{SPECIAL_LIST}"), "array<string>")
+    # An entry that is an object is text here, and is looked into.
+    more = F.transform(
+        F.coalesce(listed, F.array().cast("array<string>")),
+        lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.content")).otherwise(x),
     )
+    tokens = maps.select("vocab", F.explode(F.concat(found, more)).alias("token"))
+    return tokens.where(F.col("token").isNotNull()).distinct()
 
 
 def read_special_tokens(spark: SparkSession, pattern: str) -> DataFrame:

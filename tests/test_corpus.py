@@ -24,7 +24,7 @@ from lexigraft.operators.segmentation import (
 )
 from lexigraft.operators.vocab_learning import count_words
 from lexigraft.operators.wordlevel import token_vectors
-from lexigraft.plans.auxiliary import aux_from_corpus, aux_word2vec, load_auxiliary
+from lexigraft.plans.auxiliary import aux_from_corpus, load_auxiliary
 from lexigraft.session import Limits
 
 NO_BROADCAST = Limits(broadcast_rows=0)
@@ -88,7 +88,7 @@ def corpus(spark):
         # A third of all words are the same one, and every third document is a copy.
         words = ["cab" if rng.random() < 0.34 else "".join(rng.choice("abcx") for _ in range(rng.randint(1, 6))) for _ in range(20)]
         texts.append((i, "xx", "cab cab ab" if i % 3 == 0 else " ".join(words)))
-    texts += [(100, "yy", "zz qz　z"), (101, "xx", ""), (102, "xx", None), (103, "ww", "abc")]
+    texts += [(100, "yy", "zz qz　z"), (101, "xx", ""), (102, "xx", None)]
     return spark.createDataFrame(texts, "doc_id int, lang string, text string")
 
 
@@ -118,6 +118,24 @@ def test_tokenising_without_broadcast_is_the_same(vocab, corpus, whole, keep, li
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == 63
 
 
+@pytest.mark.parametrize("limits", [Limits(), NO_BROADCAST])
+@pytest.mark.parametrize("lang", ["ww", None])
+def test_a_language_without_vocabulary_is_an_error(spark, vocab, corpus, limits, lang):
+    more = corpus.unionByName(spark.createDataFrame([(103, lang, "abc")], corpus.schema))
+    with pytest.raises(Exception, match="no vocabulary for language"):
+        tokenize_corpus(more, vocab, limits=limits).collect()
+    assert tokenize_corpus(more, vocab, limits=limits, drop_missing=True).count() == 63
+
+
+@pytest.mark.parametrize("limits", [Limits(), NO_BROADCAST])
+def test_unknown_characters_cost_the_same_in_both_forms(spark, limits):
+    rows = [("▁a", -20.0), ("bc", -20.0), ("▁ab", -1.0), ("zzz", -100.0)]
+    pieces = spark.createDataFrame([("v", t, k, False, s) for k, (t, s) in enumerate(rows)], "vocab string, token string, id int, is_special boolean, score double")
+    words = spark.createDataFrame([("v", "abc")], "lang string, w string")
+    got = segment_words(words, pieces, method="score", limits=limits).first()["pieces"]
+    assert got == ["▁a", "bc"]
+
+
 def test_tokens_and_counts(vocab, corpus):
     tokens = {r["doc_id"]: r["tokens"] for r in tokenize_corpus(corpus, vocab).collect()}
     assert tokens[0] == ["▁cab", "▁cab", "▁ab"] and tokens[101] == tokens[102] == []
@@ -207,10 +225,3 @@ def test_source_selection_errors(spark, vocab, corpus):
         load_auxiliary(vocab, "wordlevel", word_vectors=table)
     with pytest.warns(UserWarning):
         assert load_auxiliary(vocab, table=table, corpus=corpus).count() == 1
-
-
-def test_word2vec(vocab, corpus):
-    got = aux_word2vec(corpus, vocab, dim=4, min_count=5, epochs=1, partitions=2).collect()
-    assert {r["vocab"] for r in got} <= {"xx", "yy"} and all(len(r["vector"]) == 4 for r in got) and got
-    with pytest.raises(ValueError):
-        aux_word2vec(corpus, vocab, dim=4, limits=NO_BROADCAST)

@@ -1,5 +1,6 @@
 """Readers, writers and the cache."""
 
+import gzip
 import json
 from pathlib import Path
 
@@ -17,6 +18,20 @@ def test_corpus_formats(spark, tmp_path):
     assert {(r["lang"], r["text"]) for r in got} == {("de", "one"), ("de", "line\nbreak")}
     with pytest.raises(ValueError):
         tables.read_corpus(spark, str(tmp_path / "c.csv"))
+    (tmp_path / "d.jsonl.gz").write_bytes(gzip.compress(b'{"text": "packed"}\n'))
+    assert [r["text"] for r in tables.read_corpus(spark, str(tmp_path / "d.jsonl.gz")).collect()] == ["packed"]
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "part").write_text("x\n")
+    assert tables.read_corpus(spark, str(tmp_path / "folder"), format="text").count() == 1
+
+
+@pytest.mark.parametrize("bad", ['{"text": "x"', '{"other": 1}', '{"text": null}'])
+def test_broken_samples_are_errors(spark, tmp_path, bad):
+    (tmp_path / "a.jsonl").write_text('{"text": "good"}\n' + bad + "\n")
+    with pytest.raises(Exception):
+        tables.read_corpus(spark, str(tmp_path / "a.jsonl")).collect()
+    kept = tables.read_corpus(spark, str(tmp_path / "a.jsonl"), corrupt="keep").collect()
+    assert sorted(r["text"] is None for r in kept) == [False, True]
 
 
 def test_special_token_maps(spark, tmp_path):
@@ -28,6 +43,12 @@ def test_special_token_maps(spark, tmp_path):
     assert Path(got[0]["vocab"]).name == "xx"
 
 
+def test_additional_special_tokens(spark):
+    text = json.dumps({"unk_token": "[UNK]", "additional_special_tokens": ["<a>", {"content": "<b>"}]})
+    maps = spark.createDataFrame([("v", text)], "vocab string, json string")
+    assert {r["token"] for r in tables.special_tokens(maps).collect()} == {"[UNK]", "<a>", "<b>"}
+
+
 def test_duplicate_entries(make_vocab):
     got = tables.duplicate_entries(make_vocab([("a", 0), ("a", 1), ("b", 1)])).collect()
     assert {(r["key"], r["n"]) for r in got} == {("token a", 2), ("id 1", 2)}
@@ -62,6 +83,23 @@ def test_fingerprint_follows_content_not_order(spark):
     assert len({key, *others}) == 5
 
 
+def test_fingerprints_do_not_collide(spark):
+    pairs = [("x:y", "z"), ("x", "y:z"), (None, "z"), ("", "z"), ("z", None), ("1:x", ""), ("-", "z")]
+    keys = [cache.cache_key("k", spark.createDataFrame([p], "a string, b string")) for p in pairs]
+    keys.append(cache.cache_key("k", spark.createDataFrame([pairs[0]], "a string, c string")))
+    keys += [cache.cache_key("k", spark.range(1), a="1, b=2"), cache.cache_key("k", spark.range(1), a=1, b=2)]
+    assert len(set(keys)) == len(keys)
+
+
+def test_key_of_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    key = cache.cache_key("k", df, by="files")
+    assert key == cache.cache_key("k", df, by="files") != cache.cache_key("k", df)
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert cache.cache_key("k", spark.read.parquet(str(tmp_path / "t")), by="files") != key
+
+
 def test_compute_or_load(spark, tmp_path):
     calls = []
 

@@ -29,7 +29,7 @@ def test_space_class_matches_isspace(spark):
 
 
 def test_symbols(spark):
-    texts = ["", "12", "½", "一", "...", "!?a", "\x1c", "　", "a", "1.5", "²³", "_"]
+    texts = ["", "12", "½", "一", "...", "!?a", "\x1c", "　", "a", "1.5", "²³", "_", "!\n", "12\n", "12\u2028", ");\n", "\n"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     got = [r[0] for r in df.select(is_symbol_text(F.col("t"))).collect()]
     punctuation = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
