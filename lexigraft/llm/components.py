@@ -16,8 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(u, v)``; the component is its smallest node.
 
     Alternates two steps until nothing changes: every node's larger neighbours are hung on its smallest
-    neighbour, then its smaller ones. Minima are aggregated before they are joined back, and every step is a
-    written table: a node with very many links is split by the join, and a lost executor costs one step.
+    neighbour, then its smaller ones. Minima are aggregated on the map side before they are joined back, and
+    every step is a written table: a lost executor costs one step.
     The number of rounds grows with the logarithm of the longest chain.
     """
     pair = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
@@ -25,10 +25,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = _signature(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
         hung = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = materialize(hung.distinct(), "large-star")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         low = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(low.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = _signature(edges)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigraft.llm.common import blocks_by_length, map_batches
+from lexigraft.llm.common import blocks_by_length, map_batches, sized
 from lexigraft.llm.components import connected_components
 from lexigraft.llm.shingles import mix, shingle_hashes, word_hashes, words_lower
 from lexigraft.session import materialize
@@ -35,7 +35,7 @@ class Settings:
     sketch_longs: int = 32
     least_estimate: float = 0.55
     members_per_task: int = 200
-    cell: int = 1024
+    cell: int = 256
 
 
 @cache
@@ -116,26 +116,29 @@ def _close(a: str, b: str, s: Settings) -> Column:
     return enough & (estimated_similarity(ones, s.samples, s.sketch_longs) >= s.least_estimate)
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def _hashes(text: str | None, s: Settings) -> np.ndarray:
+    return np.unique(shingle_hashes(word_hashes(words_lower(text)), s.shingle))
+
+
+def _with_text(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds ``text`` to ``wanted(rep, ...)``; few rows are sent to the documents, many are joined by shuffle."""
+    return docs.select(F.col("doc_id").alias("rep"), "text").join(sized(wanted, 96), "rep")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full shingle sets are similar enough.
 
-    ``reps`` gives the document that stands for a set. A set that is in many pairs is compared in tasks of
-    a bounded number of partners; it travels once per task, not once per pair.
+    A set that is in many pairs is compared in tasks of a bounded number of partners; it travels once per
+    task, not once per pair.
     """
-    counts = materialize(pairs.groupBy("v").agg(F.count("*").alias("n")), "partners")
+    counts = pairs.groupBy("v").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / s.members_per_task)
     dealt = pairs.join(counts, "v").select("u", "v", F.pmod(F.xxhash64("u", "v"), parts).alias("part"))
-    dealt = materialize(dealt, "dealt-pairs")
-    centres = dealt.select("v", "part").distinct().select(F.col("v").alias("key"), "v", "part")
-    wanted = dealt.select(F.col("u").alias("key"), "v", "part").unionByName(centres)
-    wanted = materialize(wanted.join(reps.select("key", "rep"), "key"), "wanted")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    # Only representatives' texts are looked at again, and each text is read once however often it is wanted.
-    needed = materialize(wanted.select("key", "rep").distinct(), "needed")
-    found = texts.join(needed, "rep").select("key", "text")
-    rows = found.join(wanted.select("key", "v", "part"), "key").select(
-        "v", "part", (F.col("key") == F.col("v")).alias("centre"), "key", "text"
+    wanted = dealt.select(F.col("u").alias("key"), "v", "part").unionByName(
+        dealt.select(F.col("v").alias("key"), "v", "part").distinct()
     )
+    wanted = materialize(wanted.join(sets.select("key", "rep"), "key"), "wanted")
+    rows = _with_text(wanted, docs).select("v", "part", (F.col("key") == F.col("v")).alias("centre"), "key", "text")
     rows = rows.repartition("v", "part").sortWithinPartitions("v", "part", F.desc("centre"), "key")
 
     def make():
@@ -144,19 +147,16 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) ->
         def work(batch: pa.RecordBatch):
             for block in blocks_by_length(batch, 4, 4 << 20):
                 us, vs = [], []
-                for v, is_centre, key, text in zip(
-                    block.column(0).to_pylist(), block.column(2).to_pylist(), block.column(3).to_pylist(), block.column(4).to_pylist(), strict=True,
-                ):
-                    h = np.unique(shingle_hashes(word_hashes(words_lower(text)), s.shingle))
+                columns = [block.column(c).to_pylist() for c in (0, 2, 3, 4)]
+                for v, is_centre, key, text in zip(*columns, strict=True):
+                    h = _hashes(text, s)
                     if xxhash.xxh3_128_digest(h.tobytes()) != key:
                         continue  # another row with the same id
                     if is_centre:
                         centre[:] = v, h
-                    elif centre[0] == v:
-                        shared = len(np.intersect1d(h, centre[1], assume_unique=True))
-                        if 100 * shared >= s.percent * (len(h) + len(centre[1]) - shared):
-                            us.append(key)
-                            vs.append(v)
+                    elif centre[0] == v and _similar(h, centre[1], s):
+                        us.append(key)
+                        vs.append(v)
                 yield {"u": us, "v": vs}
 
         return work
@@ -164,66 +164,102 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings) ->
     return materialize(map_batches(rows, make, "u binary, v binary").distinct(), "links")
 
 
-def _cells(members: DataFrame, s: Settings) -> DataFrame:
-    """Close pairs of different components within buckets, from cells of bounded size.
+def _similar(a: np.ndarray, b: np.ndarray, s: Settings) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= s.percent * (len(a) + len(b) - shared)
 
-    A bucket's members are dealt into blocks; each pair of blocks is a cell. Only pairs that pass the sketch leave it.
-    """
-    sizes = materialize(members.groupBy("bh").agg(F.count("*").alias("size")), "bucket-sizes")
-    n_blocks = F.ceil(F.col("size") / s.cell).cast("int")
-    dealt = members.join(sizes, "bh").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("key"), n_blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = dealt.select("bh", "block", other, "key", "component", "n", "sketch").select(
-        "bh",
-        F.least("block", "other").alias("a"),
-        F.greatest("block", "other").alias("b"),
-        (F.col("block") <= F.col("other")).alias("left"),
-        "key",
-        "component",
-        "n",
-        "sketch",
-    )
-    rows = rows.repartition("bh", "a", "b").sortWithinPartitions("bh", "a", "b")
-    longs = s.sketch_longs
 
-    def pairs_of(cell: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        diagonal = cell[0][1] == cell[0][2]
-        left = [r for r in cell if r[3]]
-        right = left if diagonal else [r for r in cell if not r[3]]
-        if not left or not right:
+class Forest:
+    """Disjoint sets over the members of a cell, those of one component together from the start."""
+
+    def __init__(self, components: list):
+        first: dict = {}
+        self.root = [first.setdefault(c, i) for i, c in enumerate(components)]
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.root[self.find(i)] = self.find(j)
+
+
+def _cell_links(members: DataFrame, group: str, s: Settings, docs: DataFrame | None = None) -> DataFrame:
+    """Links between different components within groups, from cells of bounded size.
+
+    ``members`` has ``(group, key, component, n, sketch[, rep])``. A group's members are dealt into blocks,
+    large components into blocks of their own; each pair of blocks that does not lie in one component is a cell. A cell compares its
+    members by sketch and returns, of the pairs that pass, only those that join what is not joined yet: a forest,
+    fewer pairs than members. With ``docs`` a pair must also pass on full sets.
+    """
+    sizes = members.groupBy(group, "component").agg(F.count("*").alias("c"))
+    shared = sizes.where(F.col("c") <= s.cell).groupBy(group).agg(F.sum("c").alias("t"))
+    own = F.concat_ws("-", F.hex("component"), F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / s.cell)).cast("string"))
+    packed = F.pmod(F.xxhash64("component"), F.ceil(F.col("t") / s.cell)).cast("string")
+    block = F.when(F.col("c") > s.cell, own).otherwise(packed).alias("block")
+    dealt = members.join(sizes.join(shared, group, "left"), [group, "component"])
+    dealt = materialize(dealt.select(*members.columns, block), "blocks")
+    blocks = dealt.groupBy(group, "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    one, two = blocks.alias("x"), blocks.alias("y")
+    open_cell = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
+    cells = one.join(two, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col("x.block") <= F.col("y.block"))).where(open_cell)
+    cells = cells.select(F.col(f"x.{group}").alias(group), F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    sides = cells.select(group, "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    rows = dealt.join(materialize(sides, "cells"), [group, "block"])
+    rows = rows.withColumn("left", F.col("block") == F.col("a"))
+    if docs is not None:
+        rows = _with_text(materialize(rows, "cell-rows"), docs)
+    columns = [group, "a", "b", "left", "key", "component", "n", "sketch", *(["text"] if docs is not None else [])]
+    rows = rows.select(*columns).repartition(group, "a", "b").sortWithinPartitions(group, "a", "b")
+    full = docs is not None
+    m = 64.0 * s.sketch_longs
+
+    def links_of(cell: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        sets = [_hashes(r[8], s) if full else None for r in cell]
+        if full:
+            same = [xxhash.xxh3_128_digest(h.tobytes()) == r[4] for h, r in zip(sets, cell, strict=True)]
+            cell, sets = [r for r, ok in zip(cell, same, strict=True) if ok], [h for h, ok in zip(sets, same, strict=True) if ok]
+        if len(cell) < 2:
             return
-        b = np.array([r[7] for r in right], np.int64).view(np.uint64)
-        b_n = np.array([r[6] for r in right])
-        _, codes = np.unique([r[5] for r in left + right], return_inverse=True)
-        for i, r in enumerate(left):
-            other = codes[len(left) :] != codes[i]
-            if diagonal:
-                other[: i + 1] = False
-            other &= 100 * np.minimum(b_n, r[6]) >= s.percent * np.maximum(b_n, r[6])
-            at = np.flatnonzero(other)
-            if len(at):
-                ones = np.bitwise_count(b[at] ^ np.array(r[7], np.int64).view(np.uint64)).sum(axis=1)
-                m = 64.0 * longs
-                estimate = 1 + np.log(np.maximum(1 - 2 * ones / m, 1e-9)) * m / (4.0 * s.samples)
-                for j in at[estimate >= s.least_estimate]:
-                    yield max(r[4], right[j][4]), min(r[4], right[j][4])
+        sketches = np.array([r[7] for r in cell], np.int64).view(np.uint64)
+        sizes = np.array([r[6] for r in cell])
+        left = np.array([r[3] for r in cell])
+        diagonal = cell[0][1] == cell[0][2]
+        forest = Forest([r[5] for r in cell])
+        for i in range(len(cell)):
+            if not diagonal and not left[i]:
+                continue
+            able = 100 * np.minimum(sizes, sizes[i]) >= s.percent * np.maximum(sizes, sizes[i])
+            able &= np.arange(len(cell)) > i if diagonal else ~left
+            at = np.flatnonzero(able)
+            ones = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1)
+            estimate = 1 + np.log(np.maximum(1 - 2 * ones / m, 1e-9)) * m / (4.0 * s.samples)
+            for j in at[estimate >= s.least_estimate]:
+                if forest.find(i) != forest.find(j) and (not full or _similar(sets[i], sets[j], s)):
+                    forest.join(i, j)
+                    yield (cell[i][4], cell[j][4]) if full else (cell[i][5], cell[j][5])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            found = list(pairs_of(cell)) if cell else []
+            found = list(links_of(cell))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell and cell[0][:3] != row[:3]:
-                    yield done()
-                    cell = []
-                cell.append(row)
-        yield done()
+            for block in blocks_by_length(batch, 4, 64 << 10):
+                for row in zip(*(c.to_pylist() for c in block.columns), strict=True):
+                    if cell and cell[0][:3] != row[:3]:
+                        yield done()
+                        cell = []
+                    cell.append(row)
+        if cell:
+            yield done()
 
-    return rows.mapInArrow(run, "u binary, v binary")
+    return materialize(rows.mapInArrow(run, "u binary, v binary").distinct(), "cell-links")
 
 
 def near_duplicate_classes(
@@ -238,7 +274,9 @@ def near_duplicate_classes(
 
     Equal sets are one node from the start, so copies cost nothing. In each band bucket all members are compared
     with one of them, links are joined to components, and only members of different components of a bucket are
-    compared further, in cells of bounded size: a large group of near copies never becomes all its pairs.
+    compared further, in cells of bounded size that return a forest: a large group of near copies never becomes
+    all its pairs. Those comparisons go by sketch first and gather components into clusters; the sets of a
+    cluster are then compared in full, in cells again.
     """
     s = settings
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -277,18 +315,22 @@ def near_duplicate_classes(
     members = members.select("bh", "key", F.coalesce("component", "key").alias("component"))
     members = materialize(members, "members")
     open_ = members.groupBy("bh").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-    open_ = materialize(open_.select("bh"), "open-buckets")
-    rest = members.join(open_, "bh").join(small, "key")
-    more = materialize(_cells(rest, s).distinct(), "cell-pairs")
-    checked = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = materialize(more.join(checked, ["u", "v"], "left_anti"), "more-candidates")
-    if more.take(1):
-        links = links.unionByName(_confirm(more, sets, plain, s))
+    rest = members.join(open_.select("bh"), "bh").join(small, "key")
+    # Components that may be linked, by their sketches, form a cluster; a forest of such pairs is enough to find it.
+    near = _cell_links(rest, "bh", s)
+    if near.take(1):
+        clusters = materialize(
+            connected_components(near).select(F.col("node").alias("component"), F.col("component").alias("cluster")), "clusters"
+        )
+        ids = small.join(sets.select("key", "rep"), "key").join(found, F.col("node") == F.col("key"), "left")
+        inside = ids.select("key", "rep", "n", "sketch", F.coalesce("component", "key").alias("component")).join(clusters, "component")
+        more = _cell_links(inside, "cluster", s, plain)
+        links = links.unionByName(more)
         found = materialize(connected_components(links), "components")
     # The smallest document of each component, then of each set.
     ids = sets.select("key", "rep").join(found, F.col("node") == F.col("key"), "left")
     ids = materialize(ids.select("key", "rep", F.coalesce("component", "key").alias("component")), "set-components")
-    least = materialize(ids.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
+    least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = materialize(ids.join(least, "component").select("key", "component_id"), "component-of-set")
     labelled = rows.select("doc_id", "n_shingles", "key").join(by_set, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
