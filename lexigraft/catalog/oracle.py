@@ -156,6 +156,56 @@ CTES: dict[str, str] = {
     "seg": """
         SELECT k.lang, k.w, k.i, CASE WHEN l.len IS NULL THEN '<unk>' ELSE substr(k.m, k.i, l.len) END AS token
         FROM walk k LEFT JOIN longest l ON l.lang = k.lang AND l.w = k.w AND l.i = k.i""",
+    # The same over all languages for the other families: wordpiece, and byte level.
+    "wp_longest": """
+        SELECT s.lang, s.w, s.i, max(s.len) AS len
+        FROM (
+            SELECT p.lang, p.w, p.i, l.len,
+                CASE WHEN p.i > 1 THEN '##' ELSE '' END || substr(p.w, p.i, l.len) AS token
+            FROM (SELECT lang, w, unnest(range(1, length(w) + 1)) AS i FROM words) p
+            JOIN (SELECT DISTINCT vocab AS lang, unnest([length(token), length(token) - 2]) AS len FROM wp_vocab
+                  WHERE NOT is_special) l ON l.lang = p.lang AND l.len BETWEEN 1 AND length(p.w) - p.i + 1
+        ) s JOIN wp_vocab v ON v.vocab = s.lang AND v.token = s.token AND NOT v.is_special
+        GROUP BY s.lang, s.w, s.i""",
+    "wp_walk": """
+        SELECT lang, w, 1::BIGINT AS i FROM words
+        UNION ALL
+        SELECT k.lang, k.w, k.i + l.len FROM wp_walk k JOIN wp_longest l ON l.lang = k.lang AND l.w = k.w AND l.i = k.i
+        WHERE k.i + l.len <= length(k.w)""",
+    "wp_seg": """
+        SELECT lang, w, CASE WHEN failed THEN 1 ELSE i END AS i, CASE WHEN failed THEN '[UNK]' ELSE token END AS token
+        FROM (
+            SELECT k.lang, k.w, k.i, CASE WHEN k.i > 1 THEN '##' ELSE '' END || substr(k.w, k.i, l.len) AS token,
+                bool_or(l.len IS NULL) OVER (PARTITION BY k.lang, k.w) AS failed
+            FROM wp_walk k LEFT JOIN wp_longest l ON l.lang = k.lang AND l.w = k.w AND l.i = k.i
+        ) WHERE NOT failed OR i = 1""",
+    "bl_words": """
+        SELECT lang, w, chr(288) || string_agg(ch, '' ORDER BY i) AS m
+        FROM word_bytes JOIN byte_chars USING (b) GROUP BY lang, w""",
+    "bl_longest": """
+        SELECT s.lang, s.w, s.i, max(s.len) AS len
+        FROM (
+            SELECT p.lang, p.w, p.i, l.len, substr(p.m, p.i, l.len) AS token
+            FROM (SELECT lang, w, m, unnest(range(1, length(m) + 1)) AS i FROM bl_words) p
+            JOIN (SELECT DISTINCT vocab AS lang, length(token) AS len FROM bpe_vocab WHERE NOT is_special) l
+                ON l.lang = p.lang AND l.len <= length(p.m) - p.i + 1
+        ) s JOIN bpe_vocab v ON v.vocab = s.lang AND v.token = s.token AND NOT v.is_special
+        GROUP BY s.lang, s.w, s.i""",
+    "bl_walk": """
+        SELECT lang, w, m, 1::BIGINT AS i FROM bl_words
+        UNION ALL
+        SELECT k.lang, k.w, k.m, k.i + coalesce(l.len, 1) FROM bl_walk k
+        LEFT JOIN bl_longest l ON l.lang = k.lang AND l.w = k.w AND l.i = k.i
+        WHERE k.i + coalesce(l.len, 1) <= length(k.m)""",
+    "bl_seg": """
+        SELECT k.lang, k.w, k.i, CASE WHEN l.len IS NULL THEN '<unk>' ELSE substr(k.m, k.i, l.len) END AS token
+        FROM bl_walk k LEFT JOIN bl_longest l ON l.lang = k.lang AND l.w = k.w AND l.i = k.i""",
+    "all_doc_words": f"""
+        SELECT doc_id, lang, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS at
+        FROM (
+            SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '') AS l
+            FROM documents
+        )""",
     "doc_words": f"""
         SELECT doc_id, lang, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS at
         FROM (
@@ -387,6 +437,12 @@ FINAL: dict[str, str] = {
     "cache_roundtrip": f"""
         SELECT vocab, token, pos, {_r6('value')} AS value, false AS found_first, true AS found FROM t_vectors""",
     "tokenize_corpus": "SELECT doc_id, lang, pos, token FROM tokens",
+    "tokenize_wordpiece": """
+        SELECT d.doc_id, d.lang, s.token, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.at, s.i) - 1 AS pos
+        FROM all_doc_words d JOIN wp_seg s ON s.lang = d.lang AND s.w = d.w""",
+    "tokenize_bytelevel": """
+        SELECT d.doc_id, d.lang, s.token, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.at, s.i) - 1 AS pos
+        FROM all_doc_words d JOIN bl_seg s ON s.lang = d.lang AND s.w = d.w""",
     "tokenized_text": "SELECT doc_id, lang, text FROM token_texts",
     "token_min_count": "SELECT vocab, token, cnt FROM token_counts",
     "learn_vocab": "SELECT vocab, token, id, decoded, is_special FROM vocabs",
@@ -519,7 +575,7 @@ def _with_ctes(sql: str) -> str:
         add(name)
     if not order:
         return sql
-    parts = [f"{n} AS ({CTES[n]})" if n == "walk" else f"{n} AS MATERIALIZED ({CTES[n]})" for n in order]
+    parts = [f"{n} AS ({CTES[n]})" if n.endswith("walk") else f"{n} AS MATERIALIZED ({CTES[n]})" for n in order]
     return f"WITH RECURSIVE {', '.join(parts)} {sql}"
 
 

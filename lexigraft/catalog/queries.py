@@ -142,6 +142,25 @@ def tokenize(t: Tables) -> DataFrame:
 QUERIES["tokenize_corpus"] = QUERIES.pop("tokenize")
 
 
+def _tokens_of_family(t: Tables, vocab: DataFrame) -> DataFrame:
+    """Tokens of all texts in the way the vocabularies' detected family writes words."""
+    named = vocab.join(vocab_family(vocab.select("vocab", "token")), "vocab")
+    tokens = tokenize_corpus(t.corpus, materialize(named, "named"))
+    return tokens.select("doc_id", "lang", F.posexplode("tokens").alias("pos", "token")).select(
+        "doc_id", "lang", F.col("pos").cast("bigint").alias("pos"), "token"
+    )
+
+
+@query
+def tokenize_wordpiece(t: Tables) -> DataFrame:
+    return _tokens_of_family(t, t.wordpiece_vocab)
+
+
+@query
+def tokenize_bytelevel(t: Tables) -> DataFrame:
+    return _tokens_of_family(t, t.bpe_vocab)
+
+
 @query
 def tokenized_text(t: Tables) -> DataFrame:
     return join_tokens(tokenize_corpus(t.target_corpus, t.target_vocab)).select("doc_id", "lang", "text")

@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigraft.functions.salting import every_salt, salt_of
-from lexigraft.functions.text import WORD_MARK, split_words
+from lexigraft.functions.text import BPE_MARK, WORD_MARK, encode_byte_level, shifted_bytes, split_words
 from lexigraft.session import DEFAULT_LIMITS, Limits, materialize, per_name
 
-UNKNOWN = "<unk>"
+# Names of the unknown piece.
+UNKNOWN = ("<unk>", "[UNK]")
+SENTENCEPIECE, WORDPIECE, BPE = "sentencepiece", "wordpiece", "bpe"
+CONTINUATION = "##"
+
+
+@cache
+def _byte_alphabet() -> dict[int, str]:
+    hidden = {b: chr(256 + k) for k, b in enumerate(shifted_bytes())}
+    return {b: hidden.get(b, chr(b)) for b in range(256)}
+
+
+def spell(word: str, family: str) -> str:
+    """A word as the pieces of a vocabulary family write it."""
+    if family == WORDPIECE:
+        return word
+    if family == BPE:
+        table = _byte_alphabet()
+        return BPE_MARK + "".join(table[b] for b in word.encode("utf-8"))
+    return WORD_MARK + word
 
 # Characters of distinct words a task remembers, of all languages together, before it starts over.
 MEMO_CHARS = 8_000_000
@@ -31,9 +50,12 @@ class Pieces:
     longest: int
     unknown: Any
     worst: float
+    family: str = SENTENCEPIECE
 
     @staticmethod
-    def build(rows: list[tuple[str, Any, float]], unknown: Any, worst: float | None = None) -> Pieces:
+    def build(
+        rows: list[tuple[str, Any, float]], unknown: Any, worst: float | None = None, family: str = SENTENCEPIECE
+    ) -> Pieces:
         """``worst``: the lowest score of the vocabulary, where ``rows`` are only some of its pieces."""
         return Pieces(
             {t: v for t, v, _ in rows},
@@ -41,20 +63,29 @@ class Pieces:
             max((len(t) for t, _, _ in rows), default=1),
             unknown,
             min((s for _, _, s in rows), default=0.0) if worst is None else worst,
+            family,
         )
 
+    def name(self, word: str, start: int, stop: int) -> str:
+        """The piece for a part of a spelled word; wordpiece marks all but the first."""
+        part = word[start:stop]
+        return CONTINUATION + part if start and self.family == WORDPIECE else part
+
 
 def greedy(word: str, pieces: Pieces) -> list[Any]:
-    """Longest piece first, from the left; a character no piece starts with is unknown."""
+    """Longest piece first, from the left; a character no piece starts with is unknown,
+    in a wordpiece vocabulary the whole word."""
     out, at, end = [], 0, len(word)
     while at < end:
         for stop in range(min(end, at + pieces.longest), at, -1):
-            value = pieces.values.get(word[at:stop])
+            value = pieces.values.get(pieces.name(word, at, stop))
             if value is not None:
                 out.append(value)
                 at = stop
                 break
         else:
+            if pieces.family == WORDPIECE:
+                return [pieces.unknown]
             out.append(pieces.unknown)
             at += 1
     return out
@@ -71,9 +102,10 @@ def best_scored(word: str, pieces: Pieces) -> list[Any]:
     for stop in range(1, len(word) + 1):
         options = []
         for start in range(max(0, stop - pieces.longest), stop):
-            value = pieces.values.get(word[start:stop])
+            name = pieces.name(word, start, stop)
+            value = pieces.values.get(name)
             if value is not None:
-                options.append((best[start][0] + pieces.scores[word[start:stop]], start, value))
+                options.append((best[start][0] + pieces.scores[name], start, value))
         if not any(start == stop - 1 for _, start, _ in options):
             options.append((best[stop - 1][0] + worst, stop - 1, pieces.unknown))
         best.append(max(options, key=lambda o: (o[0], -o[1])))
@@ -100,10 +132,17 @@ def fits_broadcast(df: DataFrame, text: str, limits: Limits) -> bool:
 
 
 def _unknowns(vocab: DataFrame, emit: str) -> dict[str, Any]:
-    rows = vocab.where(F.col("token") == UNKNOWN).select("vocab", F.col(emit).alias("value")).collect()
+    rows = vocab.where(F.col("token").isin(*UNKNOWN)).select("vocab", F.col(emit).alias("value")).collect()
     return {r["vocab"]: r["value"] for r in rows}
 
 
+def families(vocab: DataFrame) -> dict[str, str]:
+    """Family of each vocabulary that says one in a column ``family``."""
+    if "family" not in vocab.columns:
+        return {}
+    return {r["vocab"]: r["family"] for r in vocab.select("vocab", "family").distinct().collect()}
+
+
 def size_bins(vocab: DataFrame, limits: Limits) -> tuple[list[list[str]], list[str]]:
     """Names of the vocabularies in bins that are small enough to send around
     together, and the names of those that are too large even alone."""
@@ -163,13 +202,15 @@ def load_pieces(
     left_out: dict[str, set] = {}
     for name, token, value, weight, keeps, special in rows:
         found = pieces.setdefault(name, [])
-        if token == UNKNOWN:
+        if token in UNKNOWN:
             unknown[name] = value
         if not special:  # also if it is not said
             found.append((token, value, weight))
         if not keeps:
             left_out.setdefault(name, set()).add(value)
-    return {v: Pieces.build(found, unknown.get(v)) for v, found in pieces.items()}, left_out
+    family = families(vocab)
+    built = {v: Pieces.build(p, unknown.get(v), None, family.get(v, SENTENCEPIECE)) for v, p in pieces.items()}
+    return built, left_out
 
 
 def _value_type(vocab: DataFrame, emit: str) -> T.DataType:
@@ -199,7 +240,10 @@ def segment_words(
     """Pieces of distinct words ``(lang, w, ...)``: adds ``pieces``, an array of
     the ``emit`` column of ``vocab`` (whose ``vocab`` column is the language).
 
-    A word is read with the word mark in front.
+    A word is read as the vocabulary's family writes it, which a column ``family`` of
+    ``vocab`` names (see :func:`lexigraft.operators.vocab_forms.vocab_family`): with the
+    word mark in front (``sentencepiece``, also without the column), with ``##`` before all
+    pieces but the first (``wordpiece``), or in the byte-level alphabet (``bpe``).
     """
     kind = _value_type(vocab, emit)
     schema = T.StructType(words.schema.fields + [T.StructField("pieces", T.ArrayType(kind))])
@@ -212,7 +256,7 @@ def segment_words(
             known = shared.value
             for b in batches:
                 langs, texts = b.column("lang").to_pylist(), b.column("w").to_pylist()
-                parts = [walk(WORD_MARK + w, known[lang]) for lang, w in zip(langs, texts)]
+                parts = [walk(spell(w, known[lang].family), known[lang]) for lang, w in zip(langs, texts)]
                 yield pa.RecordBatch.from_arrays([*b.columns, _lists(parts, arrow)], names=[*b.schema.names, "pieces"])
 
         return words.mapInArrow(run, schema)
@@ -234,14 +278,26 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
     eligible = _eligible(vocab, emit)
     unknown = _unknowns(vocab, emit)
     worst = {r["vocab"]: r["s"] for r in eligible.groupBy("vocab").agg(F.min("score").alias("s")).collect()}
+    family = families(vocab)
     lengths = eligible.groupBy(F.col("vocab").alias("lang")).agg(F.collect_set(F.length("token")).alias("_lengths"))
-    marked = words.join(per_name(lengths), "lang").withColumn("_m", F.concat(F.lit(WORD_MARK), "w"))
+
+    def of_family(kind: str) -> Column:
+        return F.col("lang").isin([v for v, f in family.items() if f == kind]) if family else F.lit(False)
+
+    spelled = F.when(of_family(WORDPIECE), F.col("w"))
+    spelled = spelled.when(of_family(BPE), F.concat(F.lit(BPE_MARK), encode_byte_level(F.col("w"))))
+    marked = words.join(per_name(lengths), "lang").withColumn("_m", spelled.otherwise(F.concat(F.lit(WORD_MARK), "w")))
+    # Behind the first character a wordpiece is two characters longer than what it stands for.
+    part = F.when(
+        of_family(WORDPIECE) & (F.col("_at") > 1),
+        F.when(F.col("_len") > 2, F.concat(F.lit(CONTINUATION), F.substring("_m", F.col("_at"), F.col("_len") - 2))),
+    ).otherwise(F.substring("_m", F.col("_at"), F.col("_len")))
     spans = marked.select(
         "lang", "w", "_m", F.explode("_lengths").alias("_len")
-    ).where(F.col("_len") <= F.length("_m"))
+    ).where(F.col("_len") <= F.length("_m") + 2)
     subs = spans.select(
-        "lang", "w", F.explode(F.sequence(F.lit(1), F.length("_m") - F.col("_len") + 1)).alias("_at"), "_m", "_len"
-    ).select("lang", "w", F.substring("_m", F.col("_at"), F.col("_len")).alias("token"))
+        "lang", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_m"), F.lit(1)))).alias("_at"), "_m", "_len"
+    ).select("lang", "w", part.alias("token"))
     subs = subs.withColumn("_salt", salt_of(["w"], limits.salts))
     keyed = eligible.withColumnRenamed("vocab", "lang").withColumn("_salt", every_salt(limits.salts))
     found = (
@@ -258,7 +314,8 @@ def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str,
             parts = []
             for lang, w, hits in zip(*(b.column(c).to_pylist() for c in ("lang", "w", "_found"))):
                 rows = [(h["token"], h["value"], h["score"]) for h in hits or []]
-                parts.append(walk(WORD_MARK + w, Pieces.build(rows, unknown.get(lang), worst.get(lang, 0.0))))
+                kind = family.get(lang, SENTENCEPIECE)
+                parts.append(walk(spell(w, kind), Pieces.build(rows, unknown.get(lang), worst.get(lang, 0.0), kind)))
             kept = [b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, _lists(parts, arrow)], names=[*columns, "pieces"])
 
@@ -290,10 +347,10 @@ def cut_texts(
                         other.clear()
                     held = len(word)
                 if whole_words:
-                    value = pieces.values.get(WORD_MARK + word)
+                    value = pieces.values.get(spell(word, pieces.family))
                     cut = [] if value is None else [value]
                 else:
-                    cut = walk(WORD_MARK + word, pieces)
+                    cut = walk(spell(word, pieces.family), pieces)
                 if skip:
                     cut = [v for v in cut if v not in skip]
                 memo[word] = cut
