@@ -243,8 +243,9 @@ def test_banded_edit_distance(spark):
         pairs.append(("".join(a), "".join(b)))
         pairs.append(("".join(a), "".join(b) + "a"))
     df = spark.createDataFrame(pairs, "a string, b string")
+    df = df.select("a", "b", F.split("a", "").alias("ca"), F.split("b", "").alias("cb"))
     for most in (1, 2):
-        rows = df.select(line_dedup.edit_distance(F.col("a"), F.col("b"), most).alias("d"), F.levenshtein("a", "b").alias("want"))
+        rows = df.select(line_dedup.edit_distance(F.col("ca"), F.col("cb"), most).alias("d"), F.levenshtein("a", "b").alias("want"))
         assert all(min(r.d, most + 1) == min(r.want, most + 1) for r in rows.collect())
 
 
