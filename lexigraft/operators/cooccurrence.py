@@ -54,6 +54,8 @@ def _pair_batch(langs: list[str], samples: list[list[int]], window: int) -> Iter
         )
 
     for lang, tokens in zip(langs, samples):
+        # A vocabulary without an unknown piece gives null for what it cannot cut.
+        tokens = [t for t in tokens if t is not None]
         by_lang.setdefault(lang, []).append(tokens)
         sizes[lang] = sizes.get(lang, 0) + len(tokens)
         if sizes[lang] >= CHUNK_TOKENS:

@@ -33,6 +33,20 @@ def with_kept(
     )
 
 
+def for_vocabularies(corpus: DataFrame, vocab_langs: dict[str, str]) -> DataFrame:
+    """The corpus once for each vocabulary of its language, ``lang`` being the vocabulary's name.
+
+    ``vocab_langs`` gives the language of each vocabulary; several may share one. Texts of other
+    languages are not used.
+    """
+    names: dict[str, list[str]] = {}
+    for vocab, lang in sorted(vocab_langs.items()):
+        names.setdefault(lang, []).append(vocab)
+    table = F.create_map(*[c for lang, v in names.items() for c in (F.lit(lang), F.array(*map(F.lit, v)))])
+    known = corpus.where(F.col("lang").isin(*names))
+    return known.withColumn("lang", F.explode(F.element_at(table, F.col("lang"))))
+
+
 def token_pairs(
     corpus: DataFrame,
     vocab: DataFrame,
@@ -60,10 +74,14 @@ def aux_from_corpus(
     words: DataFrame | None = None,
     limits: Limits = DEFAULT_LIMITS,
     method: str = "greedy",
+    vocab_langs: dict[str, str] | None = None,
 ) -> DataFrame:
     """``(vocab, token, vector)`` from a corpus: tokenise, count co-occurrences,
     weight by PPMI, project to ``dim`` dimensions. Deterministic. ``method`` is how
-    words are cut: ``greedy``, or ``score`` for a vocabulary with a ``score`` column."""
+    words are cut: ``greedy``, or ``score`` for a vocabulary with a ``score`` column. Vocabularies are
+    named like their language unless ``vocab_langs`` gives it, see :func:`for_vocabularies`."""
+    if vocab_langs is not None:
+        corpus, words = for_vocabularies(corpus, vocab_langs), words and for_vocabularies(words, vocab_langs)
     # The counted pairs feed the totals of tokens and contexts and the weights.
     pairs = materialize(token_pairs(corpus, vocab, min_count, window, words, limits, method), "pairs")
     return project(ppmi(name_pairs(pairs, vocab), dim), dim)
@@ -105,12 +123,13 @@ def load_auxiliary(
     min_count: int = MIN_COUNT,
     window: int = WINDOW,
     method: str = "greedy",
+    vocab_langs: dict[str, str] | None = None,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Auxiliary vectors ``(vocab, token, vector)``.
 
     Token level: a ready ``table`` goes before a ``corpus`` to derive vectors
-    from. Word level: ``word_vectors(lang, word, vector)`` of the given
+    from; ``method`` and ``vocab_langs`` as in :func:`aux_from_corpus`. Word level: ``word_vectors(lang, word, vector)`` of the given
     ``languages``, mapped to the tokens of ``vocab``.
     """
     if mode not in MODES:
@@ -124,7 +143,7 @@ def load_auxiliary(
             return table.select("vocab", "token", "vector")
         if vocab is None:
             raise ValueError("deriving vectors from a corpus needs a vocabulary")
-        return aux_from_corpus(corpus, vocab, dim, min_count, window, limits=limits, method=method)
+        return aux_from_corpus(corpus, vocab, dim, min_count, window, limits=limits, method=method, vocab_langs=vocab_langs)
     if not languages or word_vectors is None or vocab is None:
         raise ValueError("word-level vectors need a vocabulary, word vectors and their languages")
     if table is not None or corpus is not None:

@@ -15,6 +15,7 @@ from lexigraft.operators.similarity import neighbour_weights
 from lexigraft.operators.statistics import dimension_stats, random_vectors
 from lexigraft.operators.vocab_forms import canonical_vocab
 from lexigraft.session import DEFAULT_LIMITS, Limits, materialize
+from lexigraft.sources.tables import require_unique
 
 
 @dataclass
@@ -83,6 +84,8 @@ def transfer_parts(
     limits: Limits = DEFAULT_LIMITS,
 ) -> TransferParts:
     """Matches, annotates and weights; see :func:`transfer` for the arguments."""
+    for vocab in (source_vocab, target_vocab):
+        require_unique(vocab)
     matched = match_tokens(
         with_pairs(canonical_vocab(target_vocab), pairs),
         canonical_vocab(source_vocab),

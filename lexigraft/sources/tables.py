@@ -73,6 +73,13 @@ def duplicate_entries(vocab: DataFrame) -> DataFrame:
     return ids.unionByName(tokens).where("count > 1").withColumnRenamed("count", "n")
 
 
+def require_unique(vocab: DataFrame) -> None:
+    """An error if an id or a token stands twice in one vocabulary."""
+    found = duplicate_entries(vocab).take(1)
+    if found:
+        raise ValueError(f"{found[0]['key']} is {found[0]['n']} times in vocabulary {found[0]['vocab']}")
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EMBEDDING_SCHEMA).parquet(path)
 

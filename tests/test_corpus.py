@@ -201,6 +201,30 @@ def test_auxiliary_vectors_do_not_depend_on_partitioning(spark, vocab, corpus):
     assert a.exceptAll(b).count() == 0 and a.count() > 5
 
 
+@pytest.mark.parametrize("limits", [Limits(), NO_BROADCAST])
+def test_families_write_words_their_own_way(spark, limits):
+    wp = [("wp", t, i, t.startswith("["), "wordpiece") for i, t in enumerate(["[UNK]", "walk", "##ing", "##i", "##n", "##g", "a", "##é"])]
+    space, e = "Ġ", "".join(["Ã", "©"])
+    bl = [("bl", t, i, False, "bpe") for i, t in enumerate([space + "walk", "ing", space, *"walking", "Ã", "©", e])]
+    vocab = spark.createDataFrame(wp + bl, "vocab string, token string, id bigint, is_special boolean, family string")
+    words = ["walking", "walks", "aé", "king", "é"]
+    df = spark.createDataFrame([(v, w) for v in ("wp", "bl") for w in words], "lang string, w string")
+    got = {(r["lang"], r["w"]): r["pieces"] for r in segment_words(df, vocab, limits=limits).collect()}
+    assert got["wp", "walking"] == ["walk", "##ing"] and got["wp", "walks"] == ["[UNK]"]
+    assert got["wp", "aé"] == ["a", "##é"] and got["wp", "king"] == got["wp", "é"] == ["[UNK]"]
+    assert got["bl", "walking"] == [space + "walk", "ing"] and got["bl", "walks"] == [space + "walk", None]
+    assert got["bl", "aé"] == [space, "a", e] and got["bl", "king"] == [space, "k", "ing"]
+
+
+def test_two_vocabularies_of_one_language(spark, corpus):
+    rows = [("small", "▁cab", 0), ("small", "▁ab", 1), ("large", "▁cab", 0), ("large", "▁ab", 1), ("large", "▁a", 2)]
+    vocab = spark.createDataFrame([(v, t, i, False) for v, t, i in rows], "vocab string, token string, id bigint, is_special boolean")
+    both = aux_from_corpus(corpus, vocab, 4, 2, vocab_langs={"small": "xx", "large": "xx"})
+    one = aux_from_corpus(corpus, vocab.where("vocab = 'small'"), 4, 2, vocab_langs={"small": "xx"})
+    assert {r["vocab"] for r in both.collect()} == {"small", "large"}
+    assert sorted(map(str, both.where("vocab = 'small'").collect())) == sorted(map(str, one.collect()))
+
+
 def test_word_level_vectors(spark, make_vocab):
     words = spark.createDataFrame(
         [("v", "haus", [1.0, 0.0]), ("v", "haut", [0.0, 1.0]), ("v", "12", [3.0, 3.0])], "lang string, word string, vector array<double>"

@@ -210,6 +210,12 @@ def test_two_auxiliary_vectors_for_a_token_are_an_error(small):
         transfer(source, target, embeddings, aux.unionByName(aux.limit(1)), *rest).collect()
 
 
+def test_a_doubled_vocabulary_entry_is_an_error(small):
+    source, target, *rest = small
+    with pytest.raises(ValueError, match="2 times"):
+        transfer(source, target.unionByName(target.where("id = 1")), *rest)
+
+
 def test_checks_count_lost_rows(small):
     parts = transfer_parts(*small)
     result = transfer(*small).where("id != 5")
