@@ -249,6 +249,35 @@ def test_banded_edit_distance(spark):
         assert all(min(r.d, most + 1) == min(r.want, most + 1) for r in rows.collect())
 
 
+def test_short_lines_repeat_if_equal(documents):
+    rows = [
+        (1, "Ietzte.\n \nAll rights reserved.\nx"), (2, "Ietzte.\n \nx\nown line"), (3, "Ietzta.\nAll rights reserved\nIetzte."),
+        (None, "All rights reserved.\nIetzta."),
+    ]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_near, r.kept_text) for r in line_dedup.without_repeated_lines(documents(rows)).collect()}
+    assert got == {
+        1: (4, 0, 0, rows[0][1]), 2: (4, 2, 0, " \nown line"), 3: (3, 1, 0, "Ietzta.\nAll rights reserved"), None: (2, 2, 0, ""),
+    }
+
+
+def test_lines_of_documents_by_two_limits(spark, monkeypatch):
+    """Long lines as by brute force over them alone, then equal repeats of the shorter ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.kept_text for r in line_dedup.without_repeated_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "MIN_CHARS", line_dedup.NEAR_CHARS)
+    want, seen = {}, set()
+    for d, (_, t) in sorted(brute_lines([(r.doc_id, r.text) for r in docs.collect()]).items(), key=lambda x: rank(x[0])):
+        kept = []
+        for x in (t or "").split("\n"):
+            is_short = len(x) < line_dedup.NEAR_CHARS and x.strip(" \t\n\x0b\x0c\r")
+            if not (is_short and x in seen):
+                kept.append(x)
+            if is_short:
+                seen.add(x)
+        want[d] = None if t is None else "\n".join(kept)
+    assert got == want
+
+
 def test_lines_of_nothing(documents):
     assert line_dedup.without_repeated_lines(documents([], extra=False)).count() == 0
 
