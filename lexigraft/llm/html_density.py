@@ -22,10 +22,12 @@ BLOCKS = frozenset(
 )
 #: Elements that never hold an article's text. Fixed values.
 DROPPED = frozenset(
-    "nav footer aside form script style noscript template iframe button select textarea svg canvas object head title menu"
+    "nav footer aside script style noscript template iframe button select textarea svg canvas object head title menu"
     " dialog search math audio video noembed noframes xmp".split()
 )
-#: Parts of a class, id or role that mark what is not the article. Fixed values.
+#: Elements, and parts of a class, id or role, that mark what is not the article, unless it holds most of the
+#: page's text outside links. Fixed values.
+MARKED = frozenset(["form"])
 DROPPED_NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo consent"
     " cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notification pagination popup"
@@ -51,24 +53,29 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 
 
 class Node:
-    """A block element: its parts in page order (texts, breaks, nodes) and its counts over the whole subtree."""
+    """A block element: its parts in page order (texts, breaks, nodes) and its counts over the whole subtree.
 
-    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    ``own`` is the density of the text that stands in the node itself.
+    """
+
+    __slots__ = ("name", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "own", "sum")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.parts = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
+        self.density = self.own = self.sum = 0.0
 
 
 def _is_dropped(name: str, attributes: str, within_article: bool) -> bool:
     if name in DROPPED or name == "header" and not within_article:
         return True
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
+    return bool(attributes and HIDDEN.search(attributes))
+
+
+def _is_marked(name: str, attributes: str) -> bool:
+    if name in MARKED:
         return True
-    if name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "article", "main"):
         return False
     for m in MARKS.finditer(attributes):
         value = (m[1] or m[2] or m[3] or "").lower()
@@ -80,6 +87,7 @@ def _is_dropped(name: str, attributes: str, within_article: bool) -> bool:
 def parse(page: str) -> Node:
     """Block tree of a page without what is dropped by name; inline elements are part of their block's text.
 
+    A subtree that is only marked stays if it holds more than half of the page's text outside links.
     Unclosed paragraphs, list items and cells end where the next one starts, other unclosed elements with their parent.
     """
     root = Node("html", None)
@@ -89,6 +97,7 @@ def parse(page: str) -> Node:
     held: Counter = Counter()
     dropped = links = articles = 0
     dropped_from: list[int] = []
+    marked: list[Node] = []
 
     def text(piece: str) -> None:
         if piece and not dropped:
@@ -182,19 +191,34 @@ def parse(page: str) -> Node:
             dropped += 1
             dropped_from.append(len(opened))
             node.parts.append(None)
-        elif name in BLOCKS and not dropped:
+        elif not dropped and (name in BLOCKS or _is_marked(name, attributes)):
             own = Node(name, node)
             node.parts.append(own)
             node = own
+            if _is_marked(name, attributes):
+                marked.append(own)
         if name == "a":
             links += 1
         elif name in ("article", "main"):
             articles += 1
         opened.append((name, own))
         held[name] += 1
+    _drop_marked(root, marked)
     return root
 
 
+def _drop_marked(root: Node, marked: list[Node]) -> None:
+    """Puts a break in the place of every marked node without most of the page's text outside links."""
+    if not marked:
+        return
+    plain = {}
+    for x in reversed(_walk(root)):
+        plain[x] = x.chars - x.link_chars + sum(plain[p] for p in x.parts if isinstance(p, Node))
+    gone = {x for x in marked if 2 * plain[x] <= plain[root]}
+    for x in {x.parent for x in gone}:
+        x.parts = [None if isinstance(p, Node) and p in gone else p for p in x.parts]
+
+
 def _walk(top: Node) -> list[Node]:
     """All nodes of a subtree, parents before children, in page order."""
     out, stack = [], [top]
@@ -205,10 +229,16 @@ def _walk(top: Node) -> list[Node]:
     return out
 
 
+def _density(c: int, tags: int, lc: int, links: int, share: float) -> float:
+    tags, links = max(tags, 1), max(links, 1)
+    base = log(c / max(c - lc, 1) * lc + share * c + e)
+    return c / tags * log(c / max(lc, 1) * tags / links + 1) / log(base + 1)
+
+
 def score(root: Node) -> list[Node]:
     """Sets the counts, densities and density sums of all nodes; returns the nodes."""
     nodes = _walk(root)
-    own_chars = {id(x): x.chars for x in nodes}
+    own = {x: (x.chars, x.link_chars, x.link_tags) for x in nodes}
     for x in reversed(nodes):
         if x.parent is not None:
             p = x.parent
@@ -219,23 +249,24 @@ def score(root: Node) -> list[Node]:
     body = root
     share = body.link_chars / body.chars if body.chars else 0.0
     for x in nodes:
-        c, lc = x.chars, x.link_chars
+        if x.chars:
+            x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, share)
+        c, lc, links = own[x]
         if c:
-            tags, links = max(x.tags, 1), max(x.link_tags, 1)
-            base = log(c / max(c - lc, 1) * lc + share * c + e)
-            x.density = c / tags * log(c / max(lc, 1) * tags / links + 1) / log(base + 1)
+            x.own = _density(c, links, lc, links, share)
     for x in nodes:
         x.sum = sum(p.density for p in x.parts if isinstance(p, Node))
         # Text that stands in the node itself counts as a child without tags.
-        x.sum += own_chars[id(x)] * (1 - (x.link_chars / x.chars if x.chars else 0.0))
+        x.sum += own[x][0] * (1 - (x.link_chars / x.chars if x.chars else 0.0))
     return nodes
 
 
 def main_node(root: Node) -> Node:
-    """The subtree with the largest density sum, and as much around it as reaches the body path's threshold.
+    """The subtree with the largest density sum, and what else on the page reaches the body path's threshold.
 
-    The threshold is the smallest density between that subtree and the body. An ancestor is taken instead if
-    further children of it reach the threshold, or if it is the page's article or main element.
+    The threshold is the smallest density between that subtree and the body. An ancestor below the body is taken
+    instead, whole, if further children of it reach the threshold, or if it is the page's article or main element.
+    Outside of it, up to the body, every node and every node's own text that reaches the threshold is kept.
     """
     nodes = score(root)
     best = max(nodes, key=lambda x: x.sum)
@@ -250,7 +281,25 @@ def main_node(root: Node) -> Node:
         others = [p for p in x.parts if isinstance(p, Node) and p is not below and p.chars]
         if x.name in ("article", "main") or any(p.density >= threshold for p in others):
             chosen = x
-    return chosen
+    above = set(path[path.index(chosen) + 1 :])
+    kept = Node("body", None)
+    stack = [(root, iter([root]))]
+    while stack:
+        parent, parts = stack[-1]
+        for part in parts:
+            if not isinstance(part, Node):
+                if part is None or parent.own >= threshold:
+                    kept.parts.append(part)
+            elif part is chosen or part not in above and part.chars and part.density >= threshold:
+                kept.parts.append(part)
+            else:
+                kept.parts.append(None)
+                stack.append((part, iter(part.parts)))
+                break
+        else:
+            kept.parts.append(None)
+            stack.pop()
+    return kept
 
 
 def blocks_of(top: Node) -> list[str]:

@@ -170,6 +170,28 @@ def test_main_text(page):
     assert main_text(page) == PAGES[page]
 
 
+def test_main_text_beside_the_largest_block():
+    texts = [f"{k} " + "word and more " * 36 for k in range(30)]
+    lines = [" ".join(t.split()) for t in texts]
+    sections = ["".join(f"<p>{t}</p>" for t in texts[k : k + 10]) for k in (0, 10, 20)]
+    links = "<div>" + "".join(f"<a href=x>link number {k} to another page</a> " for k in range(40)) + "</div>"
+    page = "<body>" + links + "".join(f"<div>{x}</div>" for x in sections) + "<div>small print</div></body>"
+    assert main_text(page) == "\n".join(lines)
+    # One of them further down, and text of the body itself.
+    page = f"<body><div>{sections[0]}</div>{links}<div><ul><li>a<li>b</ul>{links}<div>{sections[1]}</div></div>{texts[20]}</body>"
+    assert main_text(page) == "\n".join(lines[:21])
+
+
+@pytest.mark.parametrize("tag", ["div class=content-sidebar-wrap", "div class='has-sidebar x'", "div id=no-sidebar", "form action=x"])
+def test_marked_wrapper_keeps_the_article(tag):
+    article = "<p>" + "word and more " * 30 + "</p><p>end of it, which is long enough</p>"
+    inner = "<div class=sidebar><p>other texts of ours</p></div><form>search</form>"
+    page = f"<body><{tag}>{article}{inner}</{tag.split()[0]}></body>"
+    assert main_text(page) == " ".join(("word and more " * 30).split()) + "\nend of it, which is long enough"
+    page = f"<body><div>{article}</div><{tag}>some words aside</{tag.split()[0]}></body>"
+    assert "aside" not in main_text(page)
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>x y"), (2, "u", ""), (3, "u", "<div>" * 20000 + "deep")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as text")).collect()
