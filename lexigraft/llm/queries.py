@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from lexigraft.llm.bpe import BpeModel, decode_ids, encode_texts
 from lexigraft.llm.common import read_table
+from lexigraft.llm.conversation_repair import repair_conversations
 from lexigraft.llm.decontamination import find_contained
+from lexigraft.llm.hard_negatives import mine_hard_negatives
 from lexigraft.llm.html_density import extract_main_text
 from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
 from lexigraft.llm.line_dedup import without_repeated_lines
 from lexigraft.llm.near_duplicates import near_duplicate_classes
 from lexigraft.llm.quality_rules import judge_quality
+from lexigraft.llm.sequence_packing import pack_documents
 from lexigraft.llm.suffix_repeats import without_repeats
 from lexigraft.llm.token_counts import count_tokens, read_pieces
 from lexigraft.llm.warc import MIN_REVISIT, archive_pages, read_records
@@ -102,6 +105,52 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in the sequences they are packed in."""
+    packed = pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id",
+        "piece",
+        "start",
+        F.col("length").cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "sequence_id",
+        "offset",
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with some labels moved on by one."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Messages dropped, emptied, stripped of sentence ends, repeated or given to the user, by a hash of their place."""
+    id_, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    harm = F.crc32(F.concat(id_, F.lit(":"), turn)) % 20
+    changed = F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(harm == 3, 2).otherwise(1)))
+    return rows.where(harm != 0).select(
+        "conv_id", "turn", F.when(harm == 4, "user").otherwise(role).alias("role"), changed.alias("text"), copies.alias("copy")
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair_conversations(damaged_conversations(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repeats": op1_suffix_repeats,
     "op2_token_counts": op2_token_counts,
@@ -113,6 +162,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_density": op8_html_density,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_warc_archives": op10_warc_archives,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 
@@ -184,4 +236,20 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
        doc_id = coalesce(component_id, doc_id) AS kept
 FROM documents LEFT JOIN n ON n.d = doc_id LEFT JOIN k ON k.u = doc_id"""
 
-ORACLE: dict[str, str] = {"op6_near_duplicates": _OP6_SQL, "op3_decontamination": _OP3_SQL, "op10_warc_archives": _OP10_SQL, "op4_license_scan": _op4_sql()}
+_OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same,
+             CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.q, x.q)]) AS BIGINT) AS score
+      FROM v a JOIN v x ON a.vec_id % 100 = 0 AND a.r <> x.r),
+p AS (SELECT ar, anchor_id, vec_id AS positive_id, score AS positive_score,
+             row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (SELECT p.ar, p.anchor_id, positive_id, positive_score, k, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.ar, k ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.ar = p.ar AND NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+      WHERE k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+ORACLE: dict[str, str] = {"op12_hard_negatives": _OP12_SQL, "op6_near_duplicates": _OP6_SQL, "op3_decontamination": _OP3_SQL, "op10_warc_archives": _OP10_SQL, "op4_license_scan": _op4_sql()}
