@@ -279,7 +279,9 @@ def near_duplicate_classes(
     cluster are then compared in full, in cells again.
     """
     s = settings
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows are told apart by id and text, and ordered by id with null ids last.
+    own = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"))
+    plain = docs.select(own.alias("doc_id"), F.col(text_col).alias("text"))
     # Digests, sizes and signatures of all rows; read by every later step.
     rows = materialize(signatures(plain, s), "signatures")
     sets = rows.where("n_shingles > 0").groupBy("key").agg(
@@ -333,10 +335,10 @@ def near_duplicate_classes(
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_set = materialize(ids.join(least, "component").select("key", "component_id"), "component-of-set")
     labelled = rows.select("doc_id", "n_shingles", "key").join(by_set, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("key").isNull(), F.col("doc_id.id")).otherwise(F.col("component_id.id"))
     return labelled.select(
-        F.col("doc_id").alias(id_col),
+        F.col("doc_id.id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id.id").eqNullSafe(component).alias("kept"),
     )

@@ -19,12 +19,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigraft.llm.common import blocks_by_length, map_batches
 from lexigraft.llm.shingles import mix
 from lexigraft.session import materialize
 
 MIN_BYTES, GRAM = 100, 32
+#: The largest ``min_bytes``: lengths of runs and places in them are held in a byte.
+MOST_BYTES = 255
 #: Bytes hashed at a time, text of a task that is gathered before it is dealt, and bytes per task after dealing.
 PIECE, BLOCK, TASK_BYTES = 1 << 19, 32 << 20, 24 << 20
 #: A key with more different runs than this is replaced by the keys of its single windows.
@@ -32,7 +35,7 @@ MOST_RUNS = 1000
 NULL_ID = (1 << 63) - 1
 
 ITEM = np.dtype(
-    [("key", "u8"), ("run_hash", "u8"), ("d", "i8"), ("tie", "u2"), ("lo", "u4"), ("run", "u1"), ("at", "u1")]
+    [("key", "u8"), ("run_hash", "u8"), ("d", "i8"), ("tie", "i8"), ("lo", "u4"), ("run", "u1"), ("at", "u1")]
 )
 
 
@@ -42,7 +45,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     base = 0xD1342543DE82EF95
     inverse = pow(base, -1, 1 << 64)
-    n = PIECE + 2 * MIN_BYTES + 1
+    n = PIECE + 2 * MOST_BYTES
 
     def powers(x: int) -> np.ndarray:
         steps = np.full(n, x, np.uint64)
@@ -185,11 +188,14 @@ def _spark_tasks(spark, size: int) -> int:
 
 
 def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, d, tie, text)``: ``d`` orders documents, null ids last; ``tie`` tells texts under one id apart."""
+    """``(doc_id, d, tie, text)``: ``d`` orders documents, null ids last; ``tie``, a 64-bit digest, tells texts under
+    one id apart, as all those without an id are."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"ids must be whole numbers, {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"),
-        F.pmod(F.xxhash64(text_col), F.lit(65536)).cast("int").alias("tie"),
+        F.xxhash64(text_col).alias("tie"),
         F.col(text_col).alias("text"),
     )
 
@@ -272,7 +278,7 @@ def _deal_items(placed: DataFrame, crowded: np.ndarray, buckets: int, min_bytes:
     return map_batches(placed.select("d", "tie", "text"), make, "bucket int, data binary")
 
 
-RESOLVED = "kind int, key bigint, d bigint, tie int, lo bigint, run int, at int, windows boolean"
+RESOLVED = "kind int, key bigint, d bigint, tie bigint, lo bigint, run int, at int, windows boolean"
 SPAN, WANTED = 0, 1
 
 
@@ -283,7 +289,7 @@ def _resolved_batch(kind: int, items: np.ndarray, windows: np.ndarray) -> pa.Rec
             pa.array(np.full(n, kind, np.int32)),
             pa.array(np.ascontiguousarray(items["key"]).view(np.int64)),
             pa.array(np.ascontiguousarray(items["d"])),
-            pa.array(items["tie"].astype(np.int32)),
+            pa.array(np.ascontiguousarray(items["tie"])),
             pa.array(items["lo"].astype(np.int64)),
             pa.array(items["run"].astype(np.int32)),
             pa.array(items["at"].astype(np.int32)),
@@ -311,7 +317,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _resolved_batch(WANTED, items[count > 1], (count > MOST_RUNS)[count > 1])
 
 
-CONTEXTS = "key bigint, d bigint, tie int, lo bigint, run int, at int, bytes binary"
+CONTEXTS = "key bigint, d bigint, tie bigint, lo bigint, run int, at int, bytes binary"
 
 
 def _contexts(wanted: DataFrame, min_bytes: int) -> DataFrame:
@@ -354,7 +360,7 @@ def _contexts(wanted: DataFrame, min_bytes: int) -> DataFrame:
     return map_batches(wanted.select("d", "tie", "text", "wanted"), make, CONTEXTS)
 
 
-GROUPS = "group_id string, length int, d bigint, tie int, start bigint, is_first boolean"
+GROUPS = "group_id string, length int, d bigint, tie bigint, start bigint, is_first boolean"
 
 
 def _groups(min_bytes: int):
@@ -364,7 +370,7 @@ def _groups(min_bytes: int):
         by_key: dict[int, dict] = defaultdict(dict)
         rows: list[tuple] = []
         names = [x.split()[0] for x in GROUPS.split(", ")]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
@@ -401,8 +407,8 @@ def repeat_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc
 
     See :func:`without_repeats` for the order and :func:`_with_place` for ``d`` and ``tie``.
     """
-    if not GRAM <= min_bytes <= 255:
-        raise ValueError(f"min_bytes must be {GRAM} to 255")
+    if not GRAM <= min_bytes <= MOST_BYTES:
+        raise ValueError(f"min_bytes must be {GRAM} to {MOST_BYTES}")
     spark = docs.sparkSession
     placed = _with_place(docs, id_col, text_col).where(F.octet_length("text") >= min_bytes)
     size = placed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -429,8 +435,8 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "
 
     Earlier is a smaller document id, or the same document and a smaller start; overlapping occurrences count,
     and strings are judged on the input. Returns ``(doc_id, n_bytes, spans ARRAY<STRUCT<start, end>>, kept BINARY)``
-    for every input row; ``kept`` can end inside a character. Null and empty texts have no bytes. Null ids come
-    last; repeated rows are one document and get the same answer; of different texts under one id one counts as
+    for every input row; ``kept`` can end inside a character. Ids are whole numbers, others are an error;
+    ``min_bytes`` is 32 to 255. Null and empty texts have no bytes. Null ids come last; repeated rows are one document and get the same answer; of different texts under one id one counts as
     earlier, by a hash. Other columns are ignored; an empty table gives no rows.
     """
     spans = repeat_spans(docs, min_bytes, id_col, text_col)

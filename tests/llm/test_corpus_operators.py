@@ -82,6 +82,34 @@ def test_two_texts_under_one_id_and_empty_table(documents):
     assert suffix_repeats.without_repeats(documents([])).count() == 0
 
 
+def test_repeats_of_many_texts_without_id(documents):
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcd ", k=150))
+    rows = [(None, "".join(rng.choices("abcd ", k=200))) for _ in range(1200)]
+    rows += [(None, "x" * 150), (None, "y" + passage), (3, passage), (4, "".join(rng.choices("abcd ", k=200)))]
+    rows += [(7, "".join(rng.choices("efgh ", k=150))) for _ in range(800)]
+    got = suffix_repeats.without_repeats(documents(rows)).collect()
+    removed = [(r.doc_id, r.n_bytes, bytes(r.kept)) for r in got if r.spans]
+    assert sorted(removed, key=str) == [(None, 150, b"x"), (None, 151, b"y")]
+    assert sum(len(r.spans) for r in got) == 2
+
+
+def test_repeats_in_a_text_of_several_pieces(documents):
+    rng = random.Random(13)
+    text = "".join(rng.choices("abcdefgh", k=suffix_repeats.PIECE + 30_000))
+    at = suffix_repeats.PIECE - 120
+    rows = [(1, text), (2, "x" * 40 + text[at : at + 300] + "y"), (3, text[-400:])]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_repeats.without_repeats(documents(rows)).collect()}
+    assert got == {1: [], 2: [(40, 340)], 3: [(0, 400)]}
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_repeats.without_repeats(documents(rows), 255).collect()}
+    assert got == {1: [], 2: [(40, 340)], 3: [(0, 400)]}
+
+
+def test_ids_of_repeats_are_whole_numbers(documents):
+    with pytest.raises(ValueError, match="whole numbers"):
+        suffix_repeats.without_repeats(documents([(1, "a")]).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_intervals_of_a_suffix_array():
     texts = sorted([b"abcx", b"abcy", b"abd", b"abd", b"b"])
     found = set(suffix_repeats.prefix_intervals(texts))
@@ -146,6 +174,24 @@ def test_components_equal_brute_force(documents, cell):
     assert sorted((str(r.doc_id), str(r.n_shingles), str(r.component_id), str(r.kept)) for r in got) == expected
 
 
+def test_near_copies_without_id(documents):
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(60):
+        base = rng.choices(vocabulary, k=60)
+        for i in range(rng.choice([1, 3, 9])):
+            text = list(base)
+            text[rng.randrange(60)] = f"own{k}x{i}"
+            rows.append((rng.choice([None, None, len(rows)]), " ".join(text)))
+    rows += [(None, "One two"), (None, "one two"), (None, None), (None, "")]
+    got = near_duplicates.near_duplicate_classes(documents(rows)).collect()
+    want = brute_components(rows)
+    assert sorted(map(str, got)) == sorted(
+        str(type(got[0])(doc_id=i, n_shingles=want[i, t][0], component_id=want[i, t][1], kept=i == want[i, t][1])) for i, t in rows
+    )
+
+
 def test_near_duplicates_of_nothing(documents):
     assert near_duplicates.near_duplicate_classes(documents([])).count() == 0
 
@@ -187,10 +233,11 @@ def brute_lines(rows):
         return x
 
     blanked = {}
-    for x in distinct:
+    long_ = {x for x in distinct if len(x) >= line_dedup.NEAR_CHARS}
+    for x in long_:
         for i in range(len(x)):
             blanked.setdefault((i, x[:i], x[i + 1 :]), []).append(x)
-            if x[:i] + x[i + 1 :] in distinct:
+            if x[:i] + x[i + 1 :] in long_:
                 root[find(x)] = find(x[:i] + x[i + 1 :])
     for group in blanked.values():
         for x in group[1:]:
@@ -260,22 +307,10 @@ def test_short_lines_repeat_if_equal(documents):
     }
 
 
-def test_lines_of_documents_by_two_limits(spark, monkeypatch):
-    """Long lines as by brute force over them alone, then equal repeats of the shorter ones."""
+def test_lines_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.kept_text for r in line_dedup.without_repeated_lines(docs).collect()}
-    monkeypatch.setattr(line_dedup, "MIN_CHARS", line_dedup.NEAR_CHARS)
-    want, seen = {}, set()
-    for d, (_, t) in sorted(brute_lines([(r.doc_id, r.text) for r in docs.collect()]).items(), key=lambda x: rank(x[0])):
-        kept = []
-        for x in (t or "").split("\n"):
-            is_short = len(x) < line_dedup.NEAR_CHARS and x.strip(" \t\n\x0b\x0c\r")
-            if not (is_short and x in seen):
-                kept.append(x)
-            if is_short:
-                seen.add(x)
-        want[d] = None if t is None else "\n".join(kept)
-    assert got == want
+    assert got == {d: t for d, (_, t) in brute_lines([(r.doc_id, r.text) for r in docs.collect()]).items()}
 
 
 def test_lines_of_nothing(documents):
