@@ -387,6 +387,13 @@ def aux_ppmi(t: Tables) -> DataFrame:
     return entries(t.aux, "vocab", "token")
 
 
+@query
+def aux_factorised(t: Tables) -> DataFrame:
+    """Learned vectors of all frequent tokens of the target languages, at the library's default dimension."""
+    vectors = load_auxiliary(t.target_vocab, corpus=t.target_corpus, reduction="factorise")
+    return vectors.select("vocab", "token", F.posexplode("vector").alias("pos", "value"))
+
+
 @query
 def aux_from_table(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "aux")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraft.operators.cooccurrence import corpus_cooccurrence, name_pairs, ppmi, project
+from lexigraft.operators.factorisation import factorise
 from lexigraft.operators.segmentation import segment_words
 from lexigraft.operators.vocab_forms import with_decoded
 from lexigraft.operators.vocab_learning import count_words
@@ -15,6 +16,7 @@ from lexigraft.operators.wordlevel import token_vectors
 from lexigraft.session import DEFAULT_LIMITS, Limits, materialize
 
 MODES = ("tokenlevel", "wordlevel")
+REDUCTIONS = ("project", "factorise")
 MIN_COUNT, DIM, WINDOW = 10, 100, 5
 
 
@@ -75,15 +77,21 @@ def aux_from_corpus(
     limits: Limits = DEFAULT_LIMITS,
     method: str = "greedy",
     vocab_langs: dict[str, str] | None = None,
+    reduction: str = "project",
 ) -> DataFrame:
     """``(vocab, token, vector)`` from a corpus: tokenise, count co-occurrences,
-    weight by PPMI, project to ``dim`` dimensions. Deterministic. ``method`` is how
+    weight by PPMI, bring to ``dim`` dimensions. Deterministic. ``reduction`` is ``project``, a random projection,
+    or ``factorise``, vectors learned by factorising the weights. ``method`` is how
     words are cut: ``greedy``, or ``score`` for a vocabulary with a ``score`` column. Vocabularies are
     named like their language unless ``vocab_langs`` gives it, see :func:`for_vocabularies`."""
     if vocab_langs is not None:
         corpus, words = for_vocabularies(corpus, vocab_langs), words and for_vocabularies(words, vocab_langs)
+    if reduction not in REDUCTIONS:
+        raise ValueError(f"unknown reduction {reduction!r}, expected one of {REDUCTIONS}")
     # The counted pairs feed the totals of tokens and contexts and the weights.
     pairs = materialize(token_pairs(corpus, vocab, min_count, window, words, limits, method), "pairs")
+    if reduction == "factorise":
+        return factorise(materialize(ppmi(name_pairs(pairs, vocab)), "weights"), dim, limits=limits)
     return project(ppmi(name_pairs(pairs, vocab), dim), dim)
 
 
@@ -124,12 +132,13 @@ def load_auxiliary(
     window: int = WINDOW,
     method: str = "greedy",
     vocab_langs: dict[str, str] | None = None,
+    reduction: str = "project",
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Auxiliary vectors ``(vocab, token, vector)``.
 
     Token level: a ready ``table`` goes before a ``corpus`` to derive vectors
-    from; ``method`` and ``vocab_langs`` as in :func:`aux_from_corpus`. Word level: ``word_vectors(lang, word, vector)`` of the given
+    from; ``method``, ``vocab_langs`` and ``reduction`` as in :func:`aux_from_corpus`. Word level: ``word_vectors(lang, word, vector)`` of the given
     ``languages``, mapped to the tokens of ``vocab``.
     """
     if mode not in MODES:
@@ -143,7 +152,9 @@ def load_auxiliary(
             return table.select("vocab", "token", "vector")
         if vocab is None:
             raise ValueError("deriving vectors from a corpus needs a vocabulary")
-        return aux_from_corpus(corpus, vocab, dim, min_count, window, limits=limits, method=method, vocab_langs=vocab_langs)
+        return aux_from_corpus(
+            corpus, vocab, dim, min_count, window, limits=limits, method=method, vocab_langs=vocab_langs, reduction=reduction
+        )
     if not languages or word_vectors is None or vocab is None:
         raise ValueError("word-level vectors need a vocabulary, word vectors and their languages")
     if table is not None or corpus is not None:
