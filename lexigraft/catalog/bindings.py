@@ -35,6 +35,7 @@ WORD_VOCAB_SIZE = 600
 OTHER_VOCAB_SIZE = 800
 DIM = 32
 MIN_COUNT = 30
+MERGES = 100
 SEED = 42
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraft.catalog.bindings import DIM, MIN_COUNT, PAIRS, SEED, SOURCE, TARGETS, VOCAB_SIZE, Tables
+from lexigraft.catalog.bindings import DIM, MERGES, MIN_COUNT, PAIRS, SEED, SOURCE, TARGETS, VOCAB_SIZE, Tables
 from lexigraft.functions.vectors import l1_norm
+from lexigraft.operators import merge_learning
 from lexigraft.operators.assembly import union_branches
 from lexigraft.operators.combination import combine_vectors
 from lexigraft.operators.cooccurrence import name_pairs, ppmi
@@ -176,6 +177,12 @@ def learn_vocab(t: Tables) -> DataFrame:
     return t.vocabs.select("vocab", "token", "id", "decoded", "is_special")
 
 
+@query
+def learn_merges(t: Tables) -> DataFrame:
+    """The first merges of every language, learned from all counted words."""
+    return merge_learning.learn_merges(t.words, {lang: MERGES for lang in [SOURCE, *TARGETS]})
+
+
 @query
 def segment(t: Tables) -> DataFrame:
     cut = segment_words(t.target_words, t.target_vocab)
