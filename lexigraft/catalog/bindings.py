@@ -12,30 +12,30 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraft.functions.text import WORD_MARK
 from lexigraft.operators.overlap import with_pairs
 from lexigraft.operators.vocab_forms import canonical_vocab
 from lexigraft.operators.vocab_learning import (
     byte_pieces,
     count_words,
     extend_vocab,
+    frequent_words,
     learn_bpe_vocab,
     learn_vocab,
     learn_wordpiece_vocab,
 )
-from lexigraft.plans.auxiliary import aux_from_corpus, word_vectors_from_corpus
+from lexigraft.plans.auxiliary import DIM, aux_from_corpus, word_vectors_from_corpus
 from lexigraft.plans.transfer import TransferParts, transfer_parts
 from lexigraft.session import materialize, spread_small
 
 SOURCE = "en"
 TARGETS = ["de", "fr", "es"]
 PAIRS = [(f"{SOURCE}-{t}", SOURCE, t) for t in TARGETS]
-VOCAB_SIZE = 400
-WORD_VOCAB_SIZE = 600
-OTHER_VOCAB_SIZE = 800
-DIM = 32
+VOCAB_SIZE = 4000
+OTHER_VOCAB_SIZE = 3000
 MIN_COUNT = 30
 MERGES = 100
+# Scores of pieces are multiples of 2^-SCORE_BITS.
+SCORE_BITS, UNSEEN_SCORE = 20, -30.0
 SEED = 42
 
 
@@ -125,12 +125,8 @@ class Tables:
 
     @cached_property
     def word_vocab(self) -> DataFrame:
-        """Frequent whole words of the target languages, as marked pieces."""
-        sizes = {t: WORD_VOCAB_SIZE for t in TARGETS}
-        vocab = learn_vocab(self.words, sizes).where(
-            F.startswith("token", F.lit(WORD_MARK)) & (F.col("token") != WORD_MARK)
-        )
-        return materialize(vocab, "word_vocab")
+        """All frequent whole words of the target languages, as marked pieces."""
+        return materialize(frequent_words(self.target_words, MIN_COUNT), "word_vocab")
 
     @cached_property
     def word_vectors(self) -> DataFrame:

@@ -4,16 +4,9 @@ from __future__ import annotations
 
 import re
 
-from lexigraft.catalog.bindings import (
-    DIM,
-    MIN_COUNT,
-    OTHER_VOCAB_SIZE,
-    SEED,
-    TARGETS,
-    VOCAB_SIZE,
-    WORD_VOCAB_SIZE,
-)
+from lexigraft.catalog.bindings import MIN_COUNT, OTHER_VOCAB_SIZE, SCORE_BITS, SEED, TARGETS, UNSEEN_SCORE, VOCAB_SIZE
 from lexigraft.functions.text import BYTE_PIECE, PUNCTUATION, SPACE, numeric_class
+from lexigraft.plans.auxiliary import DIM
 
 _TARGET_LIST = ", ".join(f"'{t}'" for t in TARGETS)
 _LTRIM = f"'^{SPACE}+'"
@@ -55,9 +48,9 @@ CTES: dict[str, str] = {
     "sizes": f"""
         SELECT 'en' AS lang, count(*) AS size FROM embeddings
         UNION ALL SELECT unnest([{_TARGET_LIST}]), {VOCAB_SIZE}""",
-    "word_sizes": f"SELECT unnest([{_TARGET_LIST}]) AS lang, {WORD_VOCAB_SIZE} AS size",
     **_learned("vocabs", "sizes"),
-    **_learned("word_pieces", "word_sizes"),
+    "word_pieces": f"""
+        SELECT lang AS vocab, '▁' || w AS token, n FROM words WHERE lang IN ({_TARGET_LIST}) AND n >= {MIN_COUNT}""",
     "wp_vocab": f"""
         SELECT lang AS vocab, token, id, g = 0 AS is_special FROM (
             SELECT *, row_number() OVER (PARTITION BY lang ORDER BY g, n DESC, token) - 1 AS id FROM (
@@ -138,17 +131,18 @@ CTES: dict[str, str] = {
         FROM forms f""",
     # Words cut greedily: the longest piece at every position, then the walk.
     "piece_lengths": "SELECT DISTINCT vocab AS lang, length(token) AS len FROM vocabs WHERE NOT is_special",
-    "target_words": f"SELECT lang, w, n, '▁' || w AS m FROM words WHERE lang IN ({_TARGET_LIST})",
+    "target_words": f"SELECT lang, w, n FROM words WHERE lang IN ({_TARGET_LIST})",
+    "spelled": "SELECT lang, w, n, '▁' || w AS m FROM words",
     "longest": """
         SELECT s.lang, s.w, s.i, max(s.len) AS len
         FROM (
             SELECT p.lang, p.w, p.i, l.len, substr(p.m, p.i, l.len) AS token
-            FROM (SELECT lang, w, m, unnest(range(1, length(m) + 1)) AS i FROM target_words) p
+            FROM (SELECT lang, w, m, unnest(range(1, length(m) + 1)) AS i FROM spelled) p
             JOIN piece_lengths l ON l.lang = p.lang AND l.len <= length(p.m) - p.i + 1
         ) s JOIN vocabs v ON v.vocab = s.lang AND v.token = s.token AND NOT v.is_special
         GROUP BY s.lang, s.w, s.i""",
     "walk": """
-        SELECT lang, w, m, 1::BIGINT AS i FROM target_words
+        SELECT lang, w, m, 1::BIGINT AS i FROM spelled
         UNION ALL
         SELECT k.lang, k.w, k.m, k.i + coalesce(l.len, 1) FROM walk k
         LEFT JOIN longest l ON l.lang = k.lang AND l.w = k.w AND l.i = k.i
@@ -215,11 +209,46 @@ CTES: dict[str, str] = {
     "tokens": """
         SELECT d.doc_id, d.lang, s.token, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.at, s.i) - 1 AS pos
         FROM doc_words d JOIN seg s ON s.lang = d.lang AND s.w = d.w""",
+    "all_tokens": """
+        SELECT d.doc_id, d.lang, s.token, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.at, s.i) - 1 AS pos
+        FROM all_doc_words d JOIN seg s ON s.lang = d.lang AND s.w = d.w""",
     "token_texts": """
         SELECT c.doc_id, c.lang, coalesce(t.text, '') AS text
-        FROM (SELECT doc_id, lang FROM documents WHERE lang IN (SELECT DISTINCT vocab FROM vocabs WHERE vocab <> 'en')) c
-        LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM tokens GROUP BY doc_id) t
+        FROM (SELECT doc_id, lang FROM documents) c
+        LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM all_tokens GROUP BY doc_id) t
             ON t.doc_id = c.doc_id""",
+    # Word counts times pieces, as the words are cut once each.
+    "piece_counts": """
+        SELECT s.lang AS vocab, s.token, sum(w.n)::BIGINT AS cnt FROM seg s JOIN words w USING (lang, w) GROUP BY s.lang, s.token""",
+    "scored": f"""
+        SELECT v.vocab AS lang, v.token, coalesce(floor(ln(c.cnt / c.total) * {1 << SCORE_BITS}) / {1 << SCORE_BITS}, {UNSEEN_SCORE}) AS score
+        FROM vocabs v LEFT JOIN (SELECT *, sum(cnt) OVER (PARTITION BY vocab)::DOUBLE AS total FROM piece_counts) c
+            ON c.vocab = v.vocab AND c.token = v.token
+        WHERE NOT v.is_special""",
+    # All pieces that end at a place of a word.
+    "arcs": """
+        SELECT s.lang, s.w, s.i + s.len - 1 AS stop, list({'start': s.i - 1, 'score': v.score}) AS options, bool_or(s.len = 1) AS single
+        FROM (
+            SELECT p.lang, p.w, p.i, l.len, substr(p.m, p.i, l.len) AS token
+            FROM (SELECT lang, w, m, unnest(range(1, length(m) + 1)) AS i FROM spelled) p
+            JOIN piece_lengths l ON l.lang = p.lang AND l.len <= length(p.m) - p.i + 1
+        ) s JOIN scored v ON v.lang = s.lang AND v.token = s.token
+        GROUP BY s.lang, s.w, s.i + s.len - 1""",
+    "unknown_scores": "SELECT lang, min(score) - 10 AS unknown FROM scored GROUP BY lang",
+    # Best sums and cuts of all beginnings of a word; of equal sums the one with the longer last piece.
+    "best_walk": """
+        SELECT lang, w, m, 0::BIGINT AS i, [0.0::DOUBLE] AS sums, [''] AS cuts FROM spelled
+        UNION ALL
+        SELECT lang, w, m, i + 1, list_append(sums, best.v), list_append(cuts, cuts[1 - best.t] || ' ' ||
+            CASE WHEN best.known THEN substr(m, 1 - best.t, i + 1 + best.t) ELSE '<unk>' END)
+        FROM (
+            SELECT k.*, list_sort([{'v': k.sums[o.start + 1] + o.score, 't': -o.start, 'known': true} FOR o IN coalesce(a.options, [])]
+                || CASE WHEN coalesce(a.single, false) THEN [] ELSE [{'v': k.sums[k.i + 1] + u.unknown, 't': -k.i, 'known': false}] END,
+                'DESC')[1] AS best
+            FROM best_walk k JOIN unknown_scores u ON u.lang = k.lang
+            LEFT JOIN arcs a ON a.lang = k.lang AND a.w = k.w AND a.stop = k.i + 1
+            WHERE k.i < length(k.m)
+        )""",
     "token_counts": f"""
         SELECT lang AS vocab, token, count(*) AS cnt FROM tokens GROUP BY lang, token HAVING count(*) >= {MIN_COUNT}""",
     "kept": """
@@ -228,7 +257,7 @@ CTES: dict[str, str] = {
     "kept_words": f"""
         SELECT d.doc_id, d.lang, d.w AS token, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.at) AS pos
         FROM doc_words d JOIN word_pieces p
-            ON p.vocab = d.lang AND p.token = '▁' || d.w AND p.n >= {MIN_COUNT} AND p.token <> '▁' AND NOT p.is_special""",
+            ON p.vocab = d.lang AND p.token = '▁' || d.w AND p.n >= {MIN_COUNT}""",
     "emb": """
         SELECT vec_id AS src_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings""",
     "emb2": """
@@ -436,7 +465,7 @@ FINAL: dict[str, str] = {
     "vocab_fingerprint": _FINGERPRINT,
     "cache_roundtrip": f"""
         SELECT vocab, token, pos, {_r6('value')} AS value, false AS found_first, true AS found FROM t_vectors""",
-    "tokenize_corpus": "SELECT doc_id, lang, pos, token FROM tokens",
+    "tokenize_corpus": "SELECT doc_id, lang, pos, token FROM all_tokens",
     "tokenize_wordpiece": """
         SELECT d.doc_id, d.lang, s.token, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.at, s.i) - 1 AS pos
         FROM all_doc_words d JOIN wp_seg s ON s.lang = d.lang AND s.w = d.w""",
@@ -444,9 +473,10 @@ FINAL: dict[str, str] = {
         SELECT d.doc_id, d.lang, s.token, row_number() OVER (PARTITION BY d.doc_id ORDER BY d.at, s.i) - 1 AS pos
         FROM all_doc_words d JOIN bl_seg s ON s.lang = d.lang AND s.w = d.w""",
     "tokenized_text": "SELECT doc_id, lang, text FROM token_texts",
-    "token_min_count": "SELECT vocab, token, cnt FROM token_counts",
+    "token_min_count": f"SELECT lang AS vocab, token, count(*) AS cnt FROM all_tokens GROUP BY lang, token HAVING count(*) >= {MIN_COUNT}",
     "learn_vocab": "SELECT vocab, token, id, decoded, is_special FROM vocabs",
     "segment_words": "SELECT lang, w, string_agg(token, ' ' ORDER BY i) AS pieces FROM seg GROUP BY lang, w",
+    "segment_scored": "SELECT lang, w, substr(cuts[i + 1], 2) AS pieces FROM best_walk WHERE i = length(m)",
     "vocab_family": """
         SELECT vocab, CASE WHEN count(*) FILTER (token LIKE '▁%') > 100 THEN 'sentencepiece'
             WHEN count(*) FILTER (token LIKE '##%') > 100 THEN 'wordpiece' ELSE 'bpe' END AS family
@@ -533,8 +563,8 @@ FINAL: dict[str, str] = {
         SELECT pair_id, matrix, id, outcome, pos, value FROM d_rows
         UNION ALL
         SELECT 'en-' || lang, 'input', id, 'zero', pos, 0.0
-        FROM (SELECT unnest([{_TARGET_LIST}]) AS lang), range({VOCAB_SIZE}, {VOCAB_SIZE + 10}) i(id),
-            (SELECT DISTINCT pos FROM emb)""",
+        FROM (SELECT unnest([{_TARGET_LIST}]) AS lang), range({VOCAB_SIZE + 10}) i(id), (SELECT DISTINCT pos FROM emb)
+        WHERE NOT EXISTS (FROM vocabs v WHERE v.vocab = lang AND v.id = i.id)""",
     "transfer_full": "SELECT pair_id, matrix, id, token, outcome, pos, value FROM d_rows",
     "transfer_extend": "SELECT pair_id, matrix, id, token, outcome, pos, value FROM x_rows",
     "two_matrices": "SELECT pair_id, matrix, id, outcome, pos, value FROM two_rows",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraft.catalog.bindings import DIM, MERGES, MIN_COUNT, PAIRS, SEED, SOURCE, TARGETS, VOCAB_SIZE, Tables
+from lexigraft.catalog.bindings import MERGES, MIN_COUNT, PAIRS, SCORE_BITS, SEED, SOURCE, TARGETS, UNSEEN_SCORE, VOCAB_SIZE, Tables
 from lexigraft.functions.vectors import l1_norm
 from lexigraft.operators import merge_learning
 from lexigraft.operators.assembly import union_branches
@@ -20,9 +20,9 @@ from lexigraft.operators.similarity import cosine_summary, nearest
 from lexigraft.operators.statistics import dimension_stats
 from lexigraft.operators.vocab_forms import canonical_vocab, flag_symbols, vocab_family, with_decoded
 from lexigraft.plans import checks
-from lexigraft.plans.auxiliary import load_auxiliary, token_pairs
+from lexigraft.plans.auxiliary import DIM, load_auxiliary, token_pairs
 from lexigraft.plans.transfer import transfer, transfer_parts
-from lexigraft.session import materialize, scratch_path
+from lexigraft.session import materialize, per_name, scratch_path
 from lexigraft.sources import cache, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,7 +107,7 @@ def special_tokens(t: Tables) -> DataFrame:
 @query
 def tokenized_sink(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "tokenized")
-    tokens = tokenize_corpus(t.target_corpus.select("lang", "text"), t.target_vocab)
+    tokens = tokenize_corpus(t.corpus.select("lang", "text"), t.vocabs)
     sinks.write_tokenized(tokens, path, as_text=True)
     return t.spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
@@ -134,7 +134,7 @@ def cache_roundtrip(t: Tables) -> DataFrame:
 
 @query
 def tokenize(t: Tables) -> DataFrame:
-    tokens = tokenize_corpus(t.target_corpus, t.target_vocab)
+    tokens = tokenize_corpus(t.corpus, t.vocabs)
     return tokens.select("doc_id", "lang", F.posexplode("tokens").alias("pos", "token")).select(
         "doc_id", "lang", F.col("pos").cast("bigint").alias("pos"), "token"
     )
@@ -164,12 +164,12 @@ def tokenize_bytelevel(t: Tables) -> DataFrame:
 
 @query
 def tokenized_text(t: Tables) -> DataFrame:
-    return join_tokens(tokenize_corpus(t.target_corpus, t.target_vocab)).select("doc_id", "lang", "text")
+    return join_tokens(tokenize_corpus(t.corpus, t.vocabs)).select("doc_id", "lang", "text")
 
 
 @query
 def token_min_count(t: Tables) -> DataFrame:
-    return with_min_count(count_tokens(t.target_words, t.target_vocab), MIN_COUNT)
+    return with_min_count(count_tokens(t.words, t.vocabs), MIN_COUNT)
 
 
 @query
@@ -185,7 +185,7 @@ def learn_merges(t: Tables) -> DataFrame:
 
 @query
 def segment(t: Tables) -> DataFrame:
-    cut = segment_words(t.target_words, t.target_vocab)
+    cut = segment_words(t.words, t.vocabs)
     return cut.select("lang", "w", F.array_join("pieces", " ").alias("pieces"))
 
 
@@ -194,17 +194,17 @@ QUERIES["segment_words"] = QUERIES.pop("segment")
 
 @query
 def segment_scored(t: Tables) -> DataFrame:
-    """The best-scored segmentation, with log frequencies of the pieces as scores."""
-    counts = count_tokens(t.target_words, t.target_vocab)
+    """The best-scored segmentation, with log frequencies of the pieces as scores, in steps whose sums are exact."""
+    counts = count_tokens(t.words, t.vocabs)
     total = counts.groupBy("vocab").agg(F.sum("cnt").alias("total"))
-    scores = counts.join(total, "vocab").select("vocab", "token", F.log(F.col("cnt") / F.col("total")).alias("score"))
+    step = F.lit(float(1 << SCORE_BITS))
+    score = F.floor(F.log(F.col("cnt") / F.col("total")) * step) / step
+    scores = counts.join(per_name(total), "vocab").select("vocab", "token", score.alias("score"))
     vocab = materialize(
-        t.target_vocab.join(scores, ["vocab", "token"], "left").withColumn(
-            "score", F.coalesce("score", F.lit(-30.0))
-        ),
+        t.vocabs.join(scores, ["vocab", "token"], "left").withColumn("score", F.coalesce("score", F.lit(UNSEEN_SCORE))),
         "scored",
     )
-    cut = segment_words(t.target_words, vocab, method="score")
+    cut = segment_words(t.words, vocab, method="score")
     return cut.select("lang", "w", F.array_join("pieces", " ").alias("pieces"))
 
 

@@ -175,21 +175,28 @@ def for_vocab_sizes(
     bin that can be sent around, a join for the vocabularies that cannot. A language
     without a vocabulary, and a null one, is an error unless its rows may be dropped."""
     bins, large = size_bins(vocab, limits)
-    if not drop_missing:
-        names = [n for b in bins for n in b] + large
-        known = F.col("lang").isin(names) if names else F.lit(False)
-        missing = F.raise_error(F.concat(F.lit("no vocabulary for language "), F.coalesce("lang", F.lit("null"))))
-        df = df.withColumn("lang", F.when(F.coalesce(known, F.lit(False)), F.col("lang")).otherwise(missing.cast("string")))
 
     def part(run: Callable[[DataFrame, DataFrame], DataFrame], names: list[str]) -> DataFrame:
+        # On the plain column, so that the filter reaches the scan.
         return run(df.where(F.col("lang").isin(names)), vocab.where(F.col("vocab").isin(names)))
 
     parts = [part(shared, names) for names in bins or ([] if large else [[]])]
     if large:
         parts.append(part(joined, large))
+    if not drop_missing:
+        parts.append(_without_vocabulary(df, [n for b in bins for n in b] + large, parts[0]))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _without_vocabulary(df: DataFrame, names: list[str], like: DataFrame) -> DataFrame:
+    """Raises an error for every row of a language not in ``names``; of the rows only the language is read."""
+    known = F.col("lang").isin(names) if names else F.lit(False)
+    unknown = df.select("lang").where(F.col("lang").isNull() | ~known)
+    message = F.concat(F.lit("no vocabulary for language "), F.coalesce("lang", F.lit("null")))
+    raised = F.raise_error(message)
+    return unknown.select(*[raised.cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
 def load_pieces(
     vocab: DataFrame, emit: str, keep: str | None = None
 ) -> tuple[dict[str, Pieces], dict[str, set]]:

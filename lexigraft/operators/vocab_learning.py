@@ -108,6 +108,18 @@ def learn_vocab(
     )
 
 
+def frequent_words(words: DataFrame, min_count: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """All words that occur ``min_count`` times, as marked pieces numbered by frequency within their language."""
+    kept = words.where(F.col("n") >= min_count).select(
+        F.col("lang").alias("vocab"),
+        F.concat(F.lit(WORD_MARK), "w").alias("token"),
+        F.concat(F.lit(" "), "w").alias("decoded"),
+        F.lit(False).alias("is_special"),
+        "n",
+    )
+    return number_rows(kept, ["vocab"], [F.col("n").desc(), F.col("token")], "id", limits)
+
+
 def learn_wordpiece_vocab(
     words: DataFrame, sizes: dict[str, int], suffix_length: int = 3, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
