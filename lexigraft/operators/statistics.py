@@ -13,19 +13,21 @@ def dimension_stats(embeddings: DataFrame) -> DataFrame:
     """``(vocab, matrix, pos, n, mean, std)`` over all rows of every matrix.
 
     ``std`` is the sample standard deviation. A first pass finds the range of each
-    dimension; values are then centred in it and counted in steps of a billionth of
-    it. The sums of steps are exact integers, so the bits depend neither on the
-    order of rows nor on how large or small the values are.
+    dimension; values are then centred in it and counted in steps of 2^-37 of it.
+    The sums of steps are exact integers, so the bits depend neither on the
+    order of rows nor on how large or small the values are. Beyond 16 million rows
+    of a matrix the sums could leave 64 bits, which is an error.
     """
     keys = ["vocab", "matrix", "pos"]
     cells = embeddings.select("vocab", "matrix", F.posexplode("vector").alias("pos", "x"))
     cells = cells.select(*keys, F.col("x").cast("double").alias("x"))
     ranges = cells.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = F.col("hi") - F.col("lo")
-    step = F.when(width > 0, F.pow(F.lit(2.0), F.floor(F.log2(width)) - 29)).otherwise(1.0)
+    step = F.when(width > 0, F.pow(F.lit(2.0), F.floor(F.log2(width)) - 37)).otherwise(1.0)
     # One row per matrix and dimension; read twice by the join.
     ranges = materialize(ranges.select(*keys, (F.col("lo") + width / 2).alias("centre"), step.alias("step")), "ranges")
     u = F.rint((F.col("x") - F.col("centre")) / F.col("step")).cast("bigint")
+    high, low = F.shiftright("u", 19), F.col("u").bitwiseAND(F.lit((1 << 19) - 1))
     sums = (
         cells.join(per_name(ranges), keys)
         .withColumn("u", u)
@@ -35,13 +37,14 @@ def dimension_stats(embeddings: DataFrame) -> DataFrame:
             F.first("centre").alias("centre"),
             F.first("step").alias("step"),
             F.sum("u").cast("double").alias("s1"),
-            # A square has up to 60 bits: its halves are summed apart.
-            F.sum(F.shiftright(F.col("u") * F.col("u"), 30)).cast("double").alias("high"),
-            F.sum((F.col("u") * F.col("u")).bitwiseAND(F.lit((1 << 30) - 1))).cast("double").alias("low"),
+            # The square of high * 2^19 + low has up to 76 bits: its parts are summed apart.
+            F.sum(high * high).cast("double").alias("high"),
+            F.sum(high * low).cast("double").alias("mixed"),
+            F.sum(low * low).cast("double").alias("low"),
         )
     )
     n, s1, size = F.col("n").cast("double"), F.col("s1"), F.col("step")
-    spread = F.greatest(F.lit(0.0), F.col("high") * float(1 << 30) + F.col("low") - s1 * s1 / n)
+    spread = F.greatest(F.lit(0.0), F.col("high") * float(1 << 38) + F.col("mixed") * float(1 << 20) + F.col("low") - s1 * s1 / n)
     return sums.select(
         *keys,
         "n",
