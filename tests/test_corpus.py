@@ -249,3 +249,26 @@ def test_source_selection_errors(spark, vocab, corpus):
         load_auxiliary(vocab, "wordlevel", word_vectors=table)
     with pytest.warns(UserWarning):
         assert load_auxiliary(vocab, table=table, corpus=corpus).count() == 1
+
+
+def test_language_filter_reaches_the_scan(spark, tmp_path):
+    rows = [("x", "ab ca"), ("y", "bc")]
+    path = str(tmp_path / "corpus")
+    spark.createDataFrame(rows, "lang string, text string").write.parquet(path)
+    vocab = spark.createDataFrame(
+        [("x", t, i, None, False) for i, t in enumerate(PIECES)] + [("y", t, i, None, False) for i, t in enumerate(PIECES[:4])],
+        "vocab string, token string, id bigint, decoded string, is_special boolean",
+    )
+    found = tokenize_corpus(spark.read.parquet(path), vocab)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(lang, [x,y])" in plan and "ReadSchema: struct<lang:string>" in plan
+    assert {r.lang: r.tokens for r in found.collect()} == {"x": ["▁ab", "▁", "ca"], "y": ["▁", "b", "c"]}
+    assert "PartitionFilters: []" not in tokenize_corpus(
+        spark.read.parquet(_partitioned(spark, path, tmp_path)), vocab
+    )._jdf.queryExecution().executedPlan().toString()
+
+
+def _partitioned(spark, path, tmp_path):
+    out = str(tmp_path / "by-lang")
+    spark.read.parquet(path).write.partitionBy("lang").parquet(out)
+    return out

@@ -22,7 +22,7 @@ needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
 
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"segment_scored", *LLM_WITHOUT}
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"aux_factorised", "learn_merges", *LLM_WITHOUT}
 
 
 @needs_data
