@@ -14,7 +14,7 @@ from lexigraft.llm.conversation_repair import repair_conversations
 from lexigraft.llm.decontamination import find_contained
 from lexigraft.llm.hard_negatives import mine_hard_negatives
 from lexigraft.llm.html_density import extract_main_text
-from lexigraft.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
+from lexigraft.llm.license_scan import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
 from lexigraft.llm.line_dedup import without_repeated_lines
 from lexigraft.llm.near_duplicates import near_duplicate_classes
 from lexigraft.llm.quality_rules import judge_quality
@@ -169,28 +169,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _op4_sql() -> str:
-    """Words and lines as lists; every line against every template."""
-    pattern = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    """Words and blocks as lists; every block against every template."""
+    pattern, half = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'", BLOCK_WORDS // 2
     at = []
     for phrase, label in sorted(PHRASES.items()):
         same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         at.append(f"[{{'label': '{label}', 'word': i - 1}} FOR i IN range(1, len(w) + 1) IF {same}]")
     values = []
-    for label, text in sorted(TEMPLATES.items()):
-        tokens = sorted({t.decode() for t in words_of(text)})
-        values.append(f"('{label}', {tokens})")
+    for t in TEMPLATES:
+        tokens = sorted({w.decode() for w in words_of(t.notice)})
+        marks = [f" {' '.join(w.decode() for w in words_of(m))} " for m in t.marks]
+        values.append(f"('{t.label}', {tokens}, {marks})")
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT r, doc_id, t, regexp_extract_all(t, {pattern}) AS w FROM d),
-p AS (SELECT r, doc_id, t, w, {" || ".join(at)} AS places FROM w),
-tpl(label, tokens) AS (VALUES {", ".join(values)}),
-l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
-b AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(line, {pattern})) AS tokens FROM l
-      WHERE line LIKE '%licens%' OR line LIKE '%redistribution%' OR line LIKE '%permi%' OR line LIKE '%version%'),
+w AS (SELECT r, doc_id, regexp_extract_all(t, {pattern}) AS w FROM d),
+p AS (SELECT r, doc_id, w, {" || ".join(at)} AS places FROM w),
+tpl(label, tokens, marks) AS (VALUES {", ".join(values)}),
+s AS (SELECT r, w, unnest(range(0, greatest(1, len(w) - {half}), {half})) AS i FROM w),
+b AS (SELECT r, list_distinct(w[i + 1 : i + {BLOCK_WORDS}]) AS tokens,
+             ' ' || array_to_string(w[i + 1 : i + {BLOCK_WORDS}], ' ') || ' ' AS block FROM s),
 m AS (SELECT r, label, len(list_intersect(b.tokens, tpl.tokens)) / len(tpl.tokens) AS part FROM b, tpl
-      WHERE len(list_intersect(b.tokens, tpl.tokens)) >= {THRESHOLD} * len(tpl.tokens)),
+      WHERE len(list_intersect(b.tokens, tpl.tokens)) >= {THRESHOLD} * len(tpl.tokens)
+        AND len([x FOR x IN marks IF contains(block, x)]) > 0),
 g AS (SELECT r, list(DISTINCT label) AS labels, max(part) AS score FROM m GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
        list_min([x.word FOR x IN places]) AS first_word, list_max([x.word FOR x IN places]) AS last_word,
