@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
+from math import ceil
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigraft.functions.salting import every_salt, salt_of
-from lexigraft.functions.text import BPE_MARK, WORD_MARK, encode_byte_level, shifted_bytes, split_words
+from lexigraft.functions.text import BPE_MARK, WORD_MARK, shifted_bytes, split_words
+from lexigraft.operators.automaton import Automaton, code_points
 from lexigraft.session import DEFAULT_LIMITS, Limits, materialize, per_name
 
 # Names of the unknown piece.
@@ -39,15 +42,17 @@ def spell(word: str, family: str) -> str:
 
 # Characters of distinct words a task remembers, of all languages together, before it starts over.
 MEMO_CHARS = 8_000_000
+# Characters of words that are searched, or of texts that are split, at a time; one word or text at least.
+CHUNK_CHARS = 1_000_000
 
 
 @dataclass
 class Pieces:
-    """Pieces of one vocabulary: token -> (value to emit, score)."""
+    """Pieces of one vocabulary, or a part of them: an automaton, and by piece number the value to emit and the score."""
 
-    values: dict[str, Any]
-    scores: dict[str, float]
-    longest: int
+    automaton: Automaton
+    values: list[Any]
+    scores: list[float]
     unknown: Any
     worst: float
     family: str = SENTENCEPIECE
@@ -57,67 +62,153 @@ class Pieces:
         rows: list[tuple[str, Any, float]], unknown: Any, worst: float | None = None, family: str = SENTENCEPIECE
     ) -> Pieces:
         """``worst``: the lowest score of the vocabulary, where ``rows`` are only some of its pieces."""
-        return Pieces(
-            {t: v for t, v, _ in rows},
-            {t: s for t, _, s in rows},
-            max((len(t) for t, _, _ in rows), default=1),
-            unknown,
-            min((s for _, _, s in rows), default=0.0) if worst is None else worst,
-            family,
-        )
-
-    def name(self, word: str, start: int, stop: int) -> str:
-        """The piece for a part of a spelled word; wordpiece marks all but the first."""
-        part = word[start:stop]
-        return CONTINUATION + part if start and self.family == WORDPIECE else part
-
-
-def greedy(word: str, pieces: Pieces) -> list[Any]:
+        lowest = min((s for _, _, s in rows), default=0.0) if worst is None else worst
+        rows = [(t, v, s) for t, v, s in rows if t and v is not None]
+        named = [(t, 0, v, s) for t, v, s in rows]
+        if family == WORDPIECE:
+            # Behind the first character a piece stands without its mark.
+            named += [(t[len(CONTINUATION) :], 1, v, s) for t, v, s in rows if t.startswith(CONTINUATION)]
+        automaton = Automaton.build([t for t, *_ in named], [r for _, r, *_ in named])
+        return Pieces(automaton, [v for *_, v, _ in named], [s for *_, s in named], unknown, lowest, family)
+
+    def found(self, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+        """``(length, places, pieces)`` at all places of the words that start at ``first``, by rising length."""
+        at = np.arange(len(codes))
+        room = np.repeat(first + size, size) - at
+        state = np.zeros(len(codes), np.int64)
+        if self.family == WORDPIECE:
+            state += 1
+            state[first[size > 0]] = 0
+        return self.automaton.search(codes, at, room, state)
+
+    def longest(self, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length and number of the longest piece at every place; -1 where there is none."""
+        length, piece = np.zeros(len(codes), np.int64), np.full(len(codes), -1, np.int64)
+        for n, at, found in self.found(codes, first, size):
+            length[at], piece[at] = n, found
+        return length, piece
+
+    def all(self, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, length and number of all pieces, by place."""
+        parts = [(at, np.full(len(at), n), found) for n, at, found in self.found(codes, first, size)]
+        at, length, piece = (np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64) for c in (zip(*parts) if parts else ((), (), ())))
+        order = np.argsort(at, kind="stable")
+        return at[order], length[order], piece[order]
+
+
+def _walk_longest(start: int, stop: int, length: list[int], value: Callable[[int], Any], unknown: Any, whole: bool) -> list[Any]:
     """Longest piece first, from the left; a character no piece starts with is unknown,
-    in a wordpiece vocabulary the whole word."""
-    out, at, end = [], 0, len(word)
-    while at < end:
-        for stop in range(min(end, at + pieces.longest), at, -1):
-            value = pieces.values.get(pieces.name(word, at, stop))
-            if value is not None:
-                out.append(value)
-                at = stop
-                break
+    with ``whole`` (wordpiece) the whole word."""
+    out, at = [], start
+    while at < stop:
+        n = length[at]
+        if n:
+            out.append(value(at))
+            at += n
+        elif whole:
+            return [unknown]
         else:
-            if pieces.family == WORDPIECE:
-                return [pieces.unknown]
-            out.append(pieces.unknown)
+            out.append(unknown)
             at += 1
     return out
 
 
-def best_scored(word: str, pieces: Pieces) -> list[Any]:
-    """The segmentation with the highest sum of piece scores.
+def _walk_best(size: int, hits: list[list[tuple[int, Any, float]]], unknown: Any, worst: float) -> list[Any]:
+    """The segmentation with the highest sum of piece scores; ``hits`` has (length, value, score) by place.
 
     A single character without a piece costs ten more than the vocabulary's worst piece. On
-    equal sums the longer last piece wins.
+    equal sums the longer last piece wins: places come in order, so an earlier start stays.
     """
-    worst = pieces.worst - 10.0
-    best: list[tuple[float, int, Any]] = [(0.0, 0, None)]
-    for stop in range(1, len(word) + 1):
-        options = []
-        for start in range(max(0, stop - pieces.longest), stop):
-            name = pieces.name(word, start, stop)
-            value = pieces.values.get(name)
-            if value is not None:
-                options.append((best[start][0] + pieces.scores[name], start, value))
-        if not any(start == stop - 1 for _, start, _ in options):
-            options.append((best[stop - 1][0] + worst, stop - 1, pieces.unknown))
-        best.append(max(options, key=lambda o: (o[0], -o[1])))
-    out, at = [], len(word)
+    best, back = [0.0] * (size + 1), [None] * (size + 1)
+    for at in range(size):
+        single = False
+        for n, value, score in hits[at]:
+            single = single or n == 1
+            total = best[at] + score
+            if back[at + n] is None or total > best[at + n]:
+                best[at + n], back[at + n] = total, (at, value)
+        if not single:
+            total = best[at] + worst
+            if back[at + 1] is None or total > best[at + 1]:
+                best[at + 1], back[at + 1] = total, (at, unknown)
+    out, at = [], size
     while at > 0:
-        _, start, value = best[at]
+        at, value = back[at]
         out.append(value)
-        at = start
     return out[::-1]
 
 
-METHODS: dict[str, Callable[[str, Pieces], list[Any]]] = {"greedy": greedy, "score": best_scored}
+def _greedy_words(words: list[str], pieces: Pieces) -> list[list[Any]]:
+    codes, first, size = code_points(words)
+    length, piece = (x.tolist() for x in pieces.longest(codes, first, size))
+    whole = pieces.family == WORDPIECE
+
+    def value(at: int) -> Any:
+        return pieces.values[piece[at]]
+
+    return [
+        _walk_longest(start, start + n, length, value, pieces.unknown, whole) for start, n in zip(first.tolist(), size.tolist())
+    ]
+
+
+def _scored_words(words: list[str], pieces: Pieces) -> list[list[Any]]:
+    codes, first, size = code_points(words)
+    hits: list[list[tuple[int, Any, float]]] = [[] for _ in range(len(codes))]
+    for at, n, k in zip(*(x.tolist() for x in pieces.all(codes, first, size))):
+        hits[at].append((n, pieces.values[k], pieces.scores[k]))
+    return [
+        _walk_best(n, hits[start : start + n], pieces.unknown, pieces.worst - 10.0) for start, n in zip(first.tolist(), size.tolist())
+    ]
+
+
+METHODS: dict[str, Callable[[list[str], Pieces], list[list[Any]]]] = {"greedy": _greedy_words, "score": _scored_words}
+
+
+def greedy(word: str, pieces: Pieces) -> list[Any]:
+    """Longest piece first, from the left, of one spelled word."""
+    return _greedy_words([word], pieces)[0]
+
+
+def best_scored(word: str, pieces: Pieces) -> list[Any]:
+    """The segmentation of one spelled word with the highest sum of piece scores."""
+    return _scored_words([word], pieces)[0]
+
+
+def _chunks(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts with about ``CHUNK_CHARS`` characters together, one text at least."""
+    start, held = 0, 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held > CHUNK_CHARS and k > start:
+            yield slice(start, k)
+            start, held = k, len(text or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def _cut_words(langs: list[str], words: list[str], known: dict[str, Pieces], method: str) -> list[list[Any]]:
+    """The pieces of every word by the vocabulary of its language."""
+    places: dict[str, list[int]] = {}
+    for k, lang in enumerate(langs):
+        places.setdefault(lang, []).append(k)
+    parts: list[list[Any]] = [[]] * len(words)
+    for lang, at in places.items():
+        pieces = known[lang]
+        spelled = [spell(words[k], pieces.family) for k in at]
+        for run in _chunks(spelled):
+            for k, cut in zip(at[run], METHODS[method](spelled[run], pieces)):
+                parts[k] = cut
+    return parts
+
+
+def _whole_words(words: list[str], pieces: Pieces) -> list[list[Any]]:
+    """Words that are one piece, as that; nothing for the others."""
+    codes, first, size = code_points(words)
+    length, piece = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+    for n, at, found in pieces.automaton.search(codes, first[size > 0], size[size > 0], np.zeros(int((size > 0).sum()), np.int64)):
+        word = np.searchsorted(first, at, side="right") - 1
+        length[word], piece[word] = n, found
+    return [[pieces.values[k]] if n == m and m else [] for n, m, k in zip(length.tolist(), size.tolist(), piece.tolist())]
 
 
 def _eligible(vocab: DataFrame, emit: str) -> DataFrame:
@@ -254,79 +345,132 @@ def segment_words(
     """
     kind = _value_type(vocab, emit)
     schema = T.StructType(words.schema.fields + [T.StructField("pieces", T.ArrayType(kind))])
-    walk, arrow = METHODS[method], _arrow_type(kind)
+    arrow = _arrow_type(kind)
 
     def by_dictionary(words: DataFrame, vocab: DataFrame) -> DataFrame:
         shared = words.sparkSession.sparkContext.broadcast(load_pieces(vocab, emit)[0])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
             for b in batches:
-                langs, texts = b.column("lang").to_pylist(), b.column("w").to_pylist()
-                parts = [walk(spell(w, known[lang].family), known[lang]) for lang, w in zip(langs, texts)]
+                parts = _cut_words(b.column("lang").to_pylist(), b.column("w").to_pylist(), shared.value, method)
                 yield pa.RecordBatch.from_arrays([*b.columns, _lists(parts, arrow)], names=[*b.schema.names, "pieces"])
 
         return words.mapInArrow(run, schema)
 
     return for_vocab_sizes(
-        words, vocab, limits, by_dictionary, lambda w, v: _segment_by_join(w, v, emit, method, limits), drop_missing
+        words, vocab, limits, by_dictionary, lambda w, v: _segment_by_parts(w, v, emit, method, limits), drop_missing
     )
 
 
-def _segment_by_join(words: DataFrame, vocab: DataFrame, emit: str, method: str, limits: Limits) -> DataFrame:
-    """Segmentation against a vocabulary too large for one task.
+def vocab_parts(eligible: DataFrame, limits: Limits) -> tuple[DataFrame, int]:
+    """``eligible(vocab, token, ...)`` with ``_part``: ranges of sorted pieces of about the size that is sent around.
+
+    Any division finds the same pieces; ranges keep common prefixes, and the characters that words start with, together.
+    """
+    n, size = eligible.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    wanted = max(ceil(n / max(1, limits.broadcast_rows)), ceil(size / max(1, limits.broadcast_bytes)), 1)
+    count = min(wanted, max(n, 1))
+    dealt = eligible.repartitionByRange(count, "vocab", "token").withColumn("_part", F.spark_partition_id())
+    return materialize(dealt, "pieces"), count
+
+
+def _segment_by_parts(words: DataFrame, vocab: DataFrame, emit: str, method: str, limits: Limits) -> DataFrame:
+    """Segmentation against vocabularies too large for one task.
 
-    All substrings of a word with a length that occurs among the pieces are
-    looked up by a salted join; what comes back per word is bounded by the
-    length of the word, and is walked like the whole vocabulary would be.
+    The sorted pieces are divided into ranges that can be sent around. Every range is searched for in all
+    distinct words of its vocabularies; a word's hits, at most one per character and range, or for scores one per piece
+    that stands there, then meet and are walked like those of the whole vocabulary would be.
     """
     kind = _value_type(vocab, emit)
-    arrow, walk = _arrow_type(kind), METHODS[method]
-    eligible = _eligible(vocab, emit)
+    arrow = _arrow_type(kind)
+    eligible = _eligible(vocab, emit).where(F.col("value").isNotNull() & (F.length("token") > 0))
     unknown = _unknowns(vocab, emit)
     worst = {r["vocab"]: r["s"] for r in eligible.groupBy("vocab").agg(F.min("score").alias("s")).collect()}
     family = families(vocab)
-    lengths = eligible.groupBy(F.col("vocab").alias("lang")).agg(F.collect_set(F.length("token")).alias("_lengths"))
-
-    def of_family(kind: str) -> Column:
-        return F.col("lang").isin([v for v, f in family.items() if f == kind]) if family else F.lit(False)
-
-    spelled = F.when(of_family(WORDPIECE), F.col("w"))
-    spelled = spelled.when(of_family(BPE), F.concat(F.lit(BPE_MARK), encode_byte_level(F.col("w"))))
-    marked = words.join(per_name(lengths), "lang").withColumn("_m", spelled.otherwise(F.concat(F.lit(WORD_MARK), "w")))
-    # Behind the first character a wordpiece is two characters longer than what it stands for.
-    part = F.when(
-        of_family(WORDPIECE) & (F.col("_at") > 1),
-        F.when(F.col("_len") > 2, F.concat(F.lit(CONTINUATION), F.substring("_m", F.col("_at"), F.col("_len") - 2))),
-    ).otherwise(F.substring("_m", F.col("_at"), F.col("_len")))
-    spans = marked.select(
-        "lang", "w", "_m", F.explode("_lengths").alias("_len")
-    ).where(F.col("_len") <= F.length("_m") + 2)
-    subs = spans.select(
-        "lang", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_m"), F.lit(1)))).alias("_at"), "_m", "_len"
-    ).select("lang", "w", part.alias("token"))
-    subs = subs.withColumn("_salt", salt_of(["w"], limits.salts))
-    keyed = eligible.withColumnRenamed("vocab", "lang").withColumn("_salt", every_salt(limits.salts))
-    found = (
-        subs.join(keyed, ["lang", "token", "_salt"])
-        .groupBy("lang", "w")
-        .agg(F.collect_set(F.struct("token", "value", "score")).alias("_found"))
-    )
-    joined = words.join(per_name(lengths.select("lang")), "lang", "left_semi").join(found, ["lang", "w"], "left")
-    columns = words.columns
-    schema = T.StructType([joined.schema[c] for c in columns] + [T.StructField("pieces", T.ArrayType(kind))])
+    names = vocab.select(F.col("vocab").alias("lang")).distinct()
+    words = materialize(words.join(per_name(names), "lang", "left_semi"), "large-words")
+    parts, count = vocab_parts(eligible, limits)
+    hit = T.StructType().add("at", T.IntegerType()).add("size", T.IntegerType()).add("value", kind).add("score", T.DoubleType())
+    schema = T.StructType().add("lang", T.StringType()).add("w", T.StringType()).add("_hits", T.ArrayType(hit))
+    hit_arrow = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("value", arrow), ("score", pa.float64())])
+
+    def search(part: int) -> DataFrame | None:
+        rows: dict[str, list[tuple[str, Any, float]]] = {}
+        for r in parts.where(F.col("_part") == part).select("vocab", "token", "value", "score").collect():
+            rows.setdefault(r[0], []).append(r[1:])
+        if not rows:
+            return None
+        known = {v: Pieces.build(p, None, None, family.get(v, SENTENCEPIECE)) for v, p in rows.items()}
+        shared = words.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                places: dict[str, list[str]] = {}
+                for lang, w in zip(b.column("lang").to_pylist(), b.column("w").to_pylist()):
+                    places.setdefault(lang, []).append(w)
+                for lang, of_lang in places.items():
+                    pieces = shared.value[lang]
+                    for chunk in _chunks(of_lang):
+                        yield _hit_batch(lang, of_lang[chunk], pieces, method, hit_arrow)
+
+        return words.where(F.col("lang").isin(list(rows))).select("lang", "w").mapInArrow(run, schema)
+
+    searched = [d for d in map(search, range(count)) if d is not None]
+    columns, fields = words.columns, words.schema.fields
+    joined = words.withColumn("_found", F.lit(None).cast(T.ArrayType(hit)))
+    if searched:
+        found = reduce(DataFrame.unionByName, searched).where(F.size("_hits") > 0)
+        found = found.groupBy("lang", "w").agg(F.flatten(F.collect_list("_hits")).alias("_found"))
+        joined = words.join(found, ["lang", "w"], "left").select(*columns, "_found")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for lang, w, hits in zip(*(b.column(c).to_pylist() for c in ("lang", "w", "_found"))):
-                rows = [(h["token"], h["value"], h["score"]) for h in hits or []]
-                kind = family.get(lang, SENTENCEPIECE)
-                parts.append(walk(spell(w, kind), Pieces.build(rows, unknown.get(lang), worst.get(lang, 0.0), kind)))
-            kept = [b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, _lists(parts, arrow)], names=[*columns, "pieces"])
+            cuts = []
+            for lang, w, hits in zip(*(b.column(c) for c in ("lang", "w", "_found"))):
+                lang = lang.as_py()
+                style = family.get(lang, SENTENCEPIECE)
+                size = len(spell(w.as_py(), style))
+                cuts.append(_walk_hits(size, hits.as_py() or [], method, unknown.get(lang), worst.get(lang, 0.0), style))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], _lists(cuts, arrow)], names=[*columns, "pieces"])
+
+    return joined.mapInArrow(walk, T.StructType([*fields, T.StructField("pieces", T.ArrayType(kind))]))
+
+
+def _hit_batch(lang: str, words: list[str], pieces: Pieces, method: str, hit: pa.DataType) -> pa.RecordBatch:
+    """The pieces found in words: the longest at each place, or all if scores decide."""
+    codes, first, size = code_points([spell(w, pieces.family) for w in words])
+    if method == "greedy":
+        length, piece = pieces.longest(codes, first, size)
+        at = np.flatnonzero(length)
+        length, piece = length[at], piece[at]
+    else:
+        at, length, piece = pieces.all(codes, first, size)
+    offsets = np.append(np.searchsorted(at, first), len(at))
+    hits = pa.StructArray.from_arrays(
+        [
+            pa.array(at - np.repeat(first, np.diff(offsets)), pa.int32()),
+            pa.array(length, pa.int32()),
+            pa.array(pieces.values, hit.field("value").type).take(pa.array(piece)),
+            pa.array(np.asarray(pieces.scores, dtype=np.float64)[piece]),
+        ],
+        fields=list(hit),
+    )
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), hits)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), lists], names=["lang", "w", "_hits"])
+
 
-    return joined.mapInArrow(run, schema)
+def _walk_hits(size: int, hits: list[dict], method: str, unknown: Any, worst: float, family: str) -> list[Any]:
+    """Walks one word of ``size`` characters by the hits of all parts of its vocabulary."""
+    if method == "greedy":
+        length, values = [0] * size, [None] * size
+        for h in hits:
+            if h["size"] > length[h["at"]]:
+                length[h["at"]], values[h["at"]] = h["size"], h["value"]
+        return _walk_longest(0, size, length, values.__getitem__, unknown, family == WORDPIECE)
+    by_place: list[list[tuple[int, Any, float]]] = [[] for _ in range(size)]
+    for h in hits:
+        by_place[h["at"]].append((h["size"], h["value"], h["score"]))
+    return _walk_best(size, by_place, unknown, worst - 10.0)
 
 
 def cut_texts(
@@ -337,32 +481,31 @@ def cut_texts(
     whole_words: bool,
     memos: dict[str, dict[str, list]],
 ) -> list[list[Any]]:
-    """Tokens of each text. ``memos`` keeps the pieces of the words seen so far."""
+    """Tokens of each text. ``memos`` keeps the pieces of the words seen so far; words not seen
+    before are cut together, a run of texts at a time."""
     known, left_out = loaded
-    walk, parts = METHODS[method], []
-    held = sum(len(w) for memo in memos.values() for w in memo) if memos else 0
-    for lang, text in zip(langs, texts):
-        memo, pieces, skip = memos.setdefault(lang, {}), known[lang], left_out.get(lang, ())
-        tokens: list = []
+    parts: list[list[Any]] = []
+    for run in _chunks(texts):
         # str.split() cuts at the white space that SPACE describes.
-        for word in (text or "").split():
-            cut = memo.get(word)
-            if cut is None:
-                held += len(word)
-                if held > MEMO_CHARS:
-                    for other in memos.values():
-                        other.clear()
-                    held = len(word)
-                if whole_words:
-                    value = pieces.values.get(spell(word, pieces.family))
-                    cut = [] if value is None else [value]
-                else:
-                    cut = walk(spell(word, pieces.family), pieces)
-                if skip:
-                    cut = [v for v in cut if v not in skip]
-                memo[word] = cut
-            tokens.extend(cut)
-        parts.append(tokens)
+        split = [(lang, (text or "").split()) for lang, text in zip(langs[run], texts[run])]
+        if sum(len(w) for memo in memos.values() for w in memo) > MEMO_CHARS:
+            memos.clear()
+        fresh: dict[str, dict[str, None]] = {}
+        for lang, words in split:
+            memo = memos.setdefault(lang, {})
+            fresh.setdefault(lang, {}).update((w, None) for w in words if w not in memo)
+        for lang, found in fresh.items():
+            words, pieces, skip = list(found), known[lang], left_out.get(lang, ())
+            if whole_words:
+                cuts = _whole_words([spell(w, pieces.family) for w in words], pieces)
+            else:
+                cuts = _cut_words([lang] * len(words), words, known, method)
+            memos[lang].update((w, [v for v in cut if v not in skip] if skip else cut) for w, cut in zip(words, cuts))
+        for lang, words in split:
+            memo, tokens = memos[lang], []
+            for word in words:
+                tokens.extend(memo[word])
+            parts.append(tokens)
     return parts
 
 
@@ -433,7 +576,7 @@ def _tokenize_by_join(
         marked = starts.select(F.col("vocab").alias("lang"), F.expr("substr(token, 2)").alias("w"), "value")
         cut = distinct.join(marked, ["lang", "w"]).select("lang", "w", F.array("value").alias("pieces"))
     else:
-        cut = _segment_by_join(distinct, vocab, emit, method, limits)
+        cut = _segment_by_parts(distinct, vocab, emit, method, limits)
     if keep is not None:
         # Pieces to leave out are removed per distinct word, before occurrences are touched.
         flags = vocab.where(F.col(keep)).select(F.col("vocab").alias("lang"), F.col(emit).alias("v"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 from itertools import product
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.operators.cooccurrence import cooccurrence, corpus_cooccurrence, count_pairs, ppmi, project
 from lexigraft.operators.segmentation import (
+    METHODS,
     Pieces,
     best_scored,
     count_tokens,
@@ -21,6 +23,7 @@ from lexigraft.operators.segmentation import (
     segment_words,
     size_bins,
     tokenize_corpus,
+    vocab_parts,
 )
 from lexigraft.operators.vocab_learning import count_words
 from lexigraft.operators.wordlevel import token_vectors
@@ -92,6 +95,69 @@ def corpus(spark):
     return spark.createDataFrame(texts, "doc_id int, lang string, text string")
 
 
+def plain_greedy(word, tokens, mark=""):
+    """Longest first by trying every length; pieces behind the first character bear ``mark``."""
+    out, at = [], 0
+    while at < len(word):
+        ends = [e for e in range(len(word), at, -1) if (mark if at else "") + word[at:e] in tokens]
+        if not ends:
+            if mark:
+                return ["?"]
+            out.append("?")
+        else:
+            out.append((mark if at else "") + word[at : ends[0]])
+        at = ends[0] if ends else at + 1
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abé😀#", max_size=4), max_size=12), st.lists(st.text("abé😀#", max_size=9), max_size=6))
+def test_pieces_of_many_words_at_once(tokens, words):
+    marked = [*tokens, *("##" + t for t in tokens[::2])]
+    for family, mark, vocab in (("sentencepiece", "", tokens), ("wordpiece", "##", marked)):
+        pieces = Pieces.build([(t, t, 0.0) for t in vocab] + [("a", None, 0.0)] * ("a" not in vocab), "?", None, family)
+        for word, cut in zip(words, METHODS["greedy"](words, pieces)):
+            assert cut == plain_greedy(word, set(vocab) - {""}, mark)
+
+
+@pytest.mark.parametrize("method", ["greedy", "score"])
+def test_a_very_long_word_takes_linear_time(method):
+    """Every place starts a piece and is followed to its end; substrings times lengths would be 1.5 million times 40."""
+    pieces = Pieces.build([("a" * n, n, -1.0) for n in (1, 2, 39, 40)], 0)
+    took = []
+    for size in (100_000, 800_000):
+        start = time.process_time()
+        cut = METHODS[method](["a" * size + "b"], pieces)[0]
+        took.append(time.process_time() - start)
+        assert cut == [40] * (size // 40) + [0]
+    assert took[1] < 8 * 4 * max(took[0], 0.05)
+
+
+@pytest.mark.parametrize("kind", ["wordpiece", "bpe"])
+@pytest.mark.parametrize("method", ["greedy", "score"])
+def test_families_by_parts_of_the_vocabulary(spark, kind, method):
+    rng = random.Random(3)
+    mark = "##" if kind == "wordpiece" else "Ġ"
+    plain = sorted({"".join(rng.choices("abÃ©", k=rng.randint(1, 3))) for _ in range(30)})
+    rows = [("v", t, i, -1.0 - i % 5, kind) for i, t in enumerate([*plain, *(mark + t for t in plain), "[UNK]"])]
+    vocab = spark.createDataFrame(rows, "vocab string, token string, id bigint, score double, family string")
+    vocab = vocab.withColumn("is_special", F.lit(False))
+    texts = {"".join(rng.choices("abé", k=rng.randint(0, 9))) for _ in range(60)} | {"ab" * 3000}
+    words = spark.createDataFrame([("v", w, 1) for w in sorted(texts)], "lang string, w string, n int")
+    whole = segment_words(words, vocab, "id", method)
+    parts = segment_words(words, vocab, "id", method, Limits(broadcast_rows=25))
+    assert whole.exceptAll(parts).count() == 0 and whole.count() == parts.count() == len(texts)
+
+
+def test_parts_are_ranges_of_the_wanted_size(vocab):
+    rows, count = vocab_parts(vocab.where("NOT is_special"), Limits(broadcast_rows=4))
+    sizes = {r["_part"]: (r["n"], r["low"], r["high"]) for r in rows.groupBy("_part").agg(
+        F.count("*").alias("n"), F.min(F.struct("vocab", "token")).alias("low"), F.max(F.struct("vocab", "token")).alias("high")).collect()}
+    assert count == 4 and sum(n for n, *_ in sizes.values()) == 13 and max(n for n, *_ in sizes.values()) <= 8
+    ordered = [sizes[k] for k in sorted(sizes)]
+    assert all(a[2] < b[1] for a, b in zip(ordered, ordered[1:]))
+
+
 def test_vocabularies_are_binned_by_size(vocab):
     assert size_bins(vocab, Limits()) == ([["xx", "yy"]], [])
     assert size_bins(vocab, APART) == ([["xx"], ["yy"]], [])
