@@ -2,9 +2,11 @@
 
 import gzip
 import json
+import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigraft.sources import cache, sinks, tables
 
@@ -110,5 +112,88 @@ def test_compute_or_load(spark, tmp_path):
     assert cache.compute_or_load(spark, str(tmp_path), "k", build)[1] is False
     df, found = cache.compute_or_load(spark, str(tmp_path), "k", build)
     assert found and df.count() == 3 and len(calls) == 1
-    (tmp_path / "k" / "_SUCCESS").unlink()
+    for f in (tmp_path / "k" / "manifest").glob("*"):
+        f.unlink()
     assert cache.compute_or_load(spark, str(tmp_path), "k", build)[1] is False and len(calls) == 2
+
+
+def entry_folders(root):
+    return sorted(f for f in (root / "k").iterdir() if f.name.startswith("data-"))
+
+
+def test_an_interrupted_build_is_never_read(spark, tmp_path):
+    root = tmp_path / "cache"
+
+    def breaks():
+        return spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+
+    with pytest.raises(Exception, match="lost"):
+        cache.compute_or_load(spark, str(root), "k", breaks)
+    # A build whose data are whole, but whose manifest was not published.
+    spark.range(9).write.parquet(str(root / "k" / "data-0"))
+    (root / "k" / "manifest" / "_temporary").mkdir(parents=True)
+    table, found = cache.compute_or_load(spark, str(root), "k", lambda: spark.range(3))
+    assert not found and table.count() == 3
+    assert cache.compute_or_load(spark, str(root), "k", breaks)[1]
+
+
+def test_the_second_builder_yields_to_the_first(spark, tmp_path):
+    root, inner = str(tmp_path / "cache"), []
+
+    def slow():
+        inner.append(cache.compute_or_load(spark, root, "k", lambda: spark.range(5).withColumn("by", F.lit("fast"))))
+        return spark.range(5).withColumn("by", F.lit("slow"))
+
+    table, found = cache.compute_or_load(spark, root, "k", slow)
+    assert not found and not inner[0][1]
+    assert {r["by"] for r in table.collect()} == {r["by"] for r in inner[0][0].collect()} == {"fast"}
+    again, found = cache.compute_or_load(spark, root, "k", slow)
+    assert found and again.first()["by"] == "fast" and len(inner) == 1
+
+
+def test_both_manifests_at_once_give_one_table(spark, tmp_path):
+    """Two builders that publish without seeing each other: all later readers take the same one."""
+    root = tmp_path / "cache"
+    for name in ("a", "b"):
+        cache.compute_or_load(spark, str(root / name), "k", lambda: spark.range(4).withColumn("by", F.lit(name)))
+    both = root / "both" / "k"
+    for name in ("a", "b"):
+        shutil.copytree(root / name / "k", both, dirs_exist_ok=True)
+    for _ in range(2):
+        table, found = cache.compute_or_load(spark, str(root / "both"), "k", lambda: spark.range(0))
+        assert found and {r["by"] for r in table.collect()} == {"a"}
+
+
+@pytest.mark.parametrize("damage", ["missing", "longer", "gone", "rows"])
+def test_a_damaged_entry_is_built_anew(spark, tmp_path, damage):
+    root, verify = tmp_path / "cache", "content" if damage == "rows" else "files"
+
+    def load():
+        return cache.compute_or_load(spark, str(root), "k", lambda: spark.range(0, 50, 1, 3), verify)
+
+    spark.conf.set("spark.sql.parquet.compression.codec", "uncompressed")  # numbers stand in the file as they are
+    load()
+    spark.conf.unset("spark.sql.parquet.compression.codec")
+    (folder,) = entry_folders(root)
+    parts = sorted(folder.glob("part-*"))
+    if damage == "missing":
+        parts[0].unlink()
+    elif damage == "longer":
+        parts[0].write_bytes(parts[0].read_bytes() + b"x")
+    elif damage == "gone":
+        for f in folder.iterdir():
+            f.unlink()
+    else:  # another row in a file of the same name and length
+        data = parts[0].read_bytes()
+        five, other = ((n).to_bytes(8, "little") for n in (5, 105))
+        assert data.count(five) == 1
+        parts[0].write_bytes(data.replace(five, other))
+    for f in folder.glob(".*.crc"):
+        f.unlink()
+    with pytest.warns(UserWarning):
+        table, found = load()
+    assert not found and sorted(r["id"] for r in table.collect()) == list(range(50)) and len(entry_folders(root)) == 2
+    with pytest.warns(UserWarning):
+        assert load()[1]
+    with pytest.raises(ValueError):
+        cache.compute_or_load(spark, str(root), "k", lambda: spark.range(1), "none")
