@@ -99,7 +99,7 @@ TEMPLATES = (
 )
 
 #: A block is so many consecutive words, however lines are broken, and starts every half of them: a notice
-#: of up to half a block's words stands whole in some block. The longest given one has 48.
+#: of up to half a block's words stands whole in some block. The longest given one has 44.
 BLOCK_WORDS = 128
 
 #: A word is a run of ASCII digits and letters and of characters beyond ASCII. Bytes, after lower-casing A-Z.
