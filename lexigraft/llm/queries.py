@@ -101,7 +101,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to archives and reads all records back through the index."""
-    back = read_records(archive_pages(read_table(spark, sf_dir, "pages")))
+    back = read_records(archive_pages(read_table(spark, sf_dir, "pages")), payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

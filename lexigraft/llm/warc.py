@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +24,9 @@ INDEX = "file string, offset bigint, length bigint, page_id bigint, url string,
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
 #: Ranges closer than this are read as one, up to this many bytes.
 MAX_GAP, MAX_RANGE = 64 << 10, 4 << 20
+#: Rows of the index that a task holds at a time.
+INDEX_ROWS = 10_000
+DATE = "%Y-%m-%dT%H:%M:%SZ"
 
 
 def _lines(*lines: Column | str) -> Column:
@@ -55,8 +61,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return sized.join(revisits, ["page_id", "payload_digest"], "left")
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, date: str) -> DataFrame:
     """``(page_id, url, payload_bytes, payload_digest, refers_to, record)``: the record's text without its end."""
+    if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", date):
+        raise ValueError(f"not a UTC time to the second: {date!r}")
     is_revisit = F.col("refers_to").isNotNull()
     http = _lines(
         "HTTP/1.1 200 OK",
@@ -76,6 +84,7 @@ def records(pages: DataFrame) -> DataFrame:
             "WARC/1.1",
             F.concat(F.lit("WARC-Type: "), F.when(is_revisit, "revisit").otherwise("response")),
             F.concat(F.lit("WARC-Record-ID: "), identity("page_id")),
+            f"WARC-Date: {date}",
             F.concat(F.lit("WARC-Target-URI: "), url),
             F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         ),
@@ -97,14 +106,16 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, folder: str) -> None:
+def write_archives(pages: DataFrame, folder: str, date: str | None = None) -> None:
     """Writes a WARC record for every row of ``(page_id, url, html)`` into archives below ``folder``.
 
     Each task writes one archive with Spark's text writer, the record end as line separator; so it works on
     every store, and a retried task leaves no half archive. Null html is an empty payload, a null url an empty
     URI, a null id "null"; repeated rows give a record each; other columns are ignored; without rows there are no records.
+    All records bear one ``date`` (UTC, as 2024-05-06T07:08:09Z; by default the time of the call), so a retried task writes the same bytes.
     """
-    made = records(with_revisits(pages.select("page_id", "url", "html")))
+    date = date or datetime.now(timezone.utc).strftime(DATE)
+    made = records(with_revisits(pages.select("page_id", "url", "html")), date)
     made.select(F.col("record").alias("value")).write.option("lineSep", RECORD_END).text(folder)
 
 
@@ -152,8 +163,8 @@ def index_archives(spark: SparkSession, folder: str) -> DataFrame:
 
         def work(batch: pa.RecordBatch):
             for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(walk(file, size))
-                yield {n: [r[n] for r in rows] for n in INDEX_NAMES}
+                for rows in batched(walk(file, size), INDEX_ROWS):
+                    yield {n: [r[n] for r in rows] for n in INDEX_NAMES}
 
         return work
 
@@ -201,25 +212,27 @@ def parse_record(data: bytes) -> dict:
         "page_id": _number(named, "WARC-Record-ID"),
         "record_type": named["WARC-Type"],
         "refers_to": _number(named, "WARC-Refers-To"),
+        "date": named["WARC-Date"],
         "payload_digest": named["WARC-Payload-Digest"].removeprefix("sha1:"),
         "payload_bytes": size,
         "payload": payload if named["WARC-Type"] == "response" else None,
     }
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Reads the records that ``index`` selects (``file, offset, length``) back from the archives.
 
     The index is dealt by file and slice of the file and sorted by offset; each task reads few large ranges
     instead of one range per record. A stored payload must have the digest that its record states.
-    Returns ``(page_id, record_type, refers_to, payload_digest, payload_bytes, payload BINARY)``.
+    Returns ``(page_id, record_type, refers_to, date, payload_digest, payload_bytes, payload BINARY)``; without
+    ``payloads`` they are read and compared with their digests, but do not leave the task.
     """
     # Neighbours in a file go to the same task, a large file to several.
     tasks = max(index.sparkSession.sparkContext.defaultParallelism, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset")
     schema = (
-        "page_id bigint, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
-    )
+        "page_id bigint, record_type string, refers_to bigint, date string, payload_digest string, payload_bytes bigint"
+    ) + (", payload binary" if payloads else "")
 
     def make():
         import hashlib
@@ -248,9 +261,9 @@ def read_records(index: DataFrame) -> DataFrame:
     return map_batches(dealt.sortWithinPartitions("file", "offset"), make, schema)
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
+def archive_pages(pages: DataFrame, date: str | None = None) -> DataFrame:
     """Writes the pages to archives in a new shared folder and returns the written index."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    write_archives(pages, folder)
+    write_archives(pages, folder, date)
     return materialize(index_archives(spark, folder), "warc-index")

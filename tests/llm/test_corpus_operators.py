@@ -333,8 +333,13 @@ def test_archives_round_trip(spark):
     rows += [(100, None, None), (101, "u\r\nX: y", ""), (102, "u", "short"), (103, "u", "short"), (None, "n", page), (7, "http://h/7", rows[7][2])]
     rows += [(200, "big", "z" * (9 << 20))]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 as size", "'x' as digest")
-    index = warc.archive_pages(pages)
+    index = warc.archive_pages(pages, "2024-05-06T07:08:09Z")
     got = warc.read_records(index).collect()
+    assert {r.date for r in got} == {"2024-05-06T07:08:09Z"}
+    bare = warc.read_records(index, payloads=False)
+    assert "payload" not in bare.columns and bare.exceptAll(warc.read_records(index).drop("payload")).count() == 0
+    with pytest.raises(ValueError):
+        warc.archive_pages(pages, "yesterday")
     assert index.count() == len(got) == len(rows)
     last = {}
     for i, _, html in rows:
