@@ -25,7 +25,7 @@ def used_rows(parts: DataFrame, embeddings: DataFrame, limits: Limits = DEFAULT_
 def or_missing(joined: DataFrame, key: str = "src_id") -> DataFrame:
     """``joined`` with an error for every row without a ``vector``."""
     what = F.concat(
-        F.lit("no source vector for id "), F.col(key).cast("string"), F.lit(" of "), F.coalesce("source", F.lit("null"))
+        F.lit("no source vector for id "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(" of "), F.coalesce("source", F.lit("null"))
     )
     kind = joined.schema["vector"].dataType
     return joined.withColumn(

@@ -26,6 +26,7 @@ class Limits:
     cell_rows: int = 4096
     salts: int = 16
     fold_rows: int = 256
+    product_bytes: int = 32 << 20
 
 
 DEFAULT_LIMITS = Limits()

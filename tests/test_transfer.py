@@ -147,6 +147,51 @@ def test_combination_folds_in_blocks(spark, embeddings):
             assert np.allclose(r["vector"], want)
 
 
+def test_combination_has_the_same_bits_in_all_blocks(spark, embeddings):
+    rng = np.random.default_rng(3)
+    # Every token needs row 7; the others are shared by some of them.
+    rows = [("p", t, "s", k + 1, 7 if k == 0 else int(rng.integers(40)), float(rng.random())) for t in range(60) for k in range(1 + t % 11)]
+    parts = spark.createDataFrame(rows, "pair_id string, id bigint, source string, k int, src_id bigint, w double")
+    table = {(r["matrix"], r["id"]): np.array(r["vector"]) for r in embeddings.collect()}
+    by_token = {}
+    for _, t, _, k, s, w in rows:
+        by_token.setdefault(t, []).append((k, s, w))
+
+    def folded(matrix, token, fold):
+        blocks = {}
+        for k, s, w in sorted(by_token[token]):
+            at = (k - 1) // fold
+            blocks[at] = blocks.get(at, np.zeros(4)) + w * table[matrix, s]
+        total = np.zeros(4)
+        for at in sorted(blocks):
+            total = total + blocks[at]
+        return total.tolist()
+
+    for fold in (3, 256):
+        seen = []
+        # From one block for all tokens to one weight a block.
+        for size in (32 << 20, 400, 1):
+            limits = Limits(fold_rows=fold, product_bytes=size)
+            got = {(r["matrix"], r["id"]): r["vector"] for r in combine_vectors(parts.repartition(5), embeddings, ["pair_id", "id"], limits).collect()}
+            assert got == {(m, t): folded(m, t, fold) for m in ("input", "output") for t in by_token}
+            seen.append(got)
+        assert seen[0] == seen[1] == seen[2]
+
+
+def test_combination_needs_one_source_row_per_matrix(spark, embeddings):
+    def combined(rows, table=embeddings):
+        parts = spark.createDataFrame(rows, "pair_id string, id bigint, source string, k int, src_id bigint, w double")
+        return combine_vectors(parts, table, ["pair_id", "id"]).collect()
+
+    good = ("p", 1, "s", 1, 3, 1.0)
+    assert len(combined([good])) == 2 and combined([]) == []
+    for bad in [("p", 2, "s", 1, 99, 1.0), ("p", 2, "unknown", 1, 3, 1.0), ("p", 2, None, 1, 3, 1.0), ("p", 2, "s", 1, None, 1.0)]:
+        with pytest.raises(Exception, match="no source vector"):
+            combined([good, bad])
+    with pytest.raises(Exception, match="more than one source vector for id 3"):
+        combined([good], embeddings.unionByName(embeddings.where("id = 3")))
+
+
 def test_statistics_use_all_rows(embeddings):
     got = {(r["matrix"], r["pos"]): (r["mean"], r["std"]) for r in dimension_stats(embeddings).collect()}
     for m in ("input", "output"):
