@@ -461,6 +461,15 @@ FINAL: dict[str, str] = {
     "scan_embeddings": f"SELECT 'input' AS matrix, src_id AS id, pos, {_r6('x')} AS value FROM emb",
     "special_tokens": """
         SELECT v.vocab, v.token, v.id FROM vocabs v WHERE v.token IN ('<s>', '</s>', '<unk>', '<pad>', '<mask>')""",
+    "special_roles": """
+        SELECT r.vocab, r.role, r.token, v.id
+        FROM (
+            SELECT vocab, role, token FROM (SELECT DISTINCT vocab FROM vocabs), (VALUES
+                ('bos_token', '<s>'), ('cls_token', '<s>'), ('eos_token', '</s>'), ('sep_token', '</s>'),
+                ('unk_token', '<unk>'), ('pad_token', '<pad>'), ('mask_token', '<mask>'),
+                ('additional_special_tokens', '▁')) AS t(role, token)
+            UNION ALL SELECT DISTINCT vocab, 'additional_special_tokens', '<' || vocab || '>' FROM vocabs
+        ) r LEFT JOIN vocabs v USING (vocab, token)""",
     "tokenized_sink": "SELECT text AS line, count(*) AS n FROM token_texts GROUP BY text",
     "vocab_fingerprint": _FINGERPRINT,
     "cache_roundtrip": f"""

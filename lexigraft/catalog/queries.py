@@ -89,19 +89,49 @@ def scan_embeddings(t: Tables) -> DataFrame:
     return entries(tables.read_embeddings(t.spark, path), "matrix", "id")
 
 
+# Roles that a map gives the learned special tokens, and whether it writes the token itself.
+SPECIAL_ROLES = [
+    ("bos_token", "<s>", True),
+    ("cls_token", "<s>", False),
+    ("eos_token", "</s>", False),
+    ("sep_token", "</s>", True),
+    ("unk_token", "<unk>", True),
+    ("pad_token", "<pad>", True),
+    ("mask_token", "<mask>", False),
+]
+
+
+def _special_maps(t: Tables) -> str:
+    """Maps of the learned vocabularies as files. Further special tokens are the language's mark, which
+    the vocabulary lacks, and the mark of word starts."""
+    roles = t.spark.createDataFrame(SPECIAL_ROLES, "role string, token string, plain boolean")
+    known = t.vocabs.where("is_special").join(per_name(roles), "token").select("vocab", "role", "token", "plain")
+    marks = t.words.select(F.col("lang").alias("vocab")).distinct().select(
+        "vocab",
+        F.lit("additional_special_tokens").alias("role"),
+        F.explode(F.array(F.concat(F.lit("<"), "vocab", F.lit(">")), F.lit("▁"))).alias("token"),
+    )
+    path = scratch_path(t.spark, "special_maps")
+    sinks.write_special_maps(known.unionByName(marks.withColumn("plain", F.col("token") != "▁")), path)
+    return f"{path}/*/*.txt"
+
+
+def _named_by_folder(df: DataFrame) -> DataFrame:
+    return df.withColumn("vocab", F.regexp_extract("vocab", "vocab=([^/]*)$", 1))
+
+
 @query
 def special_tokens(t: Tables) -> DataFrame:
-    """Special tokens out of a map per language of the corpus, and the ids they
-    have in the learned vocabularies."""
-    # A special-token map with both spellings of a value.
-    text = (
-        '{"bos_token": "<s>", "eos_token": {"content": "</s>", "lstrip": false}, "unk_token": "<unk>",'
-        ' "sep_token": "</s>", "pad_token": "<pad>", "cls_token": "<s>",'
-        ' "mask_token": {"content": "<mask>", "lstrip": true}}'
-    )
-    maps = t.words.select(F.col("lang").alias("vocab")).distinct().withColumn("json", F.lit(text))
-    found = tables.special_tokens(maps)
-    return found.join(t.vocabs, ["vocab", "token"], "left").select("vocab", "token", "id")
+    """Special tokens out of the vocabularies' maps, and the ids they have, as far as they are special there."""
+    found = _named_by_folder(tables.read_special_tokens(t.spark, _special_maps(t)))
+    return found.join(t.vocabs.where("is_special"), ["vocab", "token"]).select("vocab", "token", "id")
+
+
+@query
+def special_roles(t: Tables) -> DataFrame:
+    """All roles of the vocabularies' maps, with the ids of the tokens that the vocabulary has."""
+    found = _named_by_folder(tables.read_special_roles(t.spark, _special_maps(t)))
+    return found.join(t.vocabs, ["vocab", "token"], "left").select("vocab", "role", "token", "id")
 
 
 @query
@@ -411,10 +441,12 @@ def aux_from_table(t: Tables) -> DataFrame:
 
 @query
 def aux_words_scan(t: Tables) -> DataFrame:
-    """Word vectors of two languages out of a table partitioned by language."""
+    """Word vectors of two languages out of a table partitioned by language; the languages come from the pairs."""
     path = scratch_path(t.spark, "word_vectors")
     sinks.write_word_vectors(t.word_vectors, path)
-    return entries(tables.read_word_vectors(t.spark, path, ["de", "es"]), "lang", "word")
+    pairs = materialize(t.spark.createDataFrame(PAIRS, "pair_id string, source string, target string"), "pairs")
+    languages = pairs.where(F.col("pair_id").isin("en-de", "en-es")).select(F.col("target").alias("lang"))
+    return entries(tables.read_word_vectors(t.spark, path, languages), "lang", "word")
 
 
 @query

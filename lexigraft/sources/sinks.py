@@ -28,3 +28,23 @@ def write_matrix(result: DataFrame, path: str) -> None:
     """Target matrices by pair and matrix, every file holding a sorted range of ids."""
     ranged = result.repartitionByRange("pair_id", "matrix", "id").sortWithinPartitions("pair_id", "matrix", F.col("id"))
     ranged.write.partitionBy("pair_id", "matrix").parquet(path)
+
+
+def write_special_maps(roles: DataFrame, path: str) -> None:
+    """A special-token map per vocabulary out of ``roles(vocab, role, token, plain)``, one file each below ``vocab=…``.
+
+    A role with ``plain`` is written as the token itself, one without as an object, and one with several
+    tokens as a list. A vocabulary's map is one value, as long as its list of special tokens.
+    """
+    quoted = F.to_json(F.array("token"))
+    value = F.when(F.col("plain"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(
+        F.to_json(F.struct(F.col("token").alias("content"), F.lit(False).alias("lstrip")))
+    )
+    by_role = roles.groupBy("vocab", "role").agg(F.array_sort(F.collect_set(value)).alias("values"))
+    name = F.to_json(F.array("role"))
+    text = F.when(F.size("values") == 1, F.get("values", F.lit(0))).otherwise(
+        F.concat(F.lit("["), F.array_join("values", ", "), F.lit("]"))
+    )
+    entry = F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(": "), text)
+    maps = by_role.groupBy("vocab").agg(F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("entries"))
+    maps.select("vocab", F.concat(F.lit("{"), "entries", F.lit("}")).alias("value")).write.partitionBy("vocab").text(path)

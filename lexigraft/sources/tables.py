@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraft.session import spread_small
+from lexigraft.session import per_name, spread_small
 
 VOCAB_SCHEMA = "vocab string, token string, id bigint, decoded string, is_special boolean"
 SCORED_SCHEMA = f"{VOCAB_SCHEMA}, score double"
@@ -88,40 +88,52 @@ def read_token_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VECTOR_SCHEMA).parquet(path)
 
 
-def read_word_vectors(spark: SparkSession, path: str, languages: list[str]) -> DataFrame:
+def read_word_vectors(spark: SparkSession, path: str, languages: list[str] | DataFrame) -> DataFrame:
     """Word vectors of some languages; the table is partitioned by ``lang``, so
-    the other languages are not read."""
-    return spark.read.schema(WORD_VECTOR_SCHEMA).parquet(path).where(F.col("lang").isin(languages))
+    the other languages are not read.
 
+    ``languages`` is a list or a table with a column ``lang``, such as the target side of a filtered table of
+    pairs. The table's names are found when the job runs, and prune the scan then.
+    """
+    vectors = spark.read.schema(WORD_VECTOR_SCHEMA).parquet(path)
+    if isinstance(languages, DataFrame):
+        return vectors.join(per_name(languages.select("lang")), "lang", "left_semi")
+    return vectors.where(F.col("lang").isin(languages))
 
-# Roles a special token can have in a tokenizer's map.
-SPECIAL_ROLES = ["bos_token", "eos_token", "unk_token", "sep_token", "pad_token", "cls_token", "mask_token"]
-# Fixed value: the role with a list of tokens.
-SPECIAL_LIST = "additional_special_tokens"
 
+def special_roles(maps: DataFrame) -> DataFrame:
+    """``(vocab, role, token)`` from ``maps(vocab, json)``, for every role a map has.
 
-def special_tokens(maps: DataFrame) -> DataFrame:
-    """``(vocab, token)`` from ``maps(vocab, json)``. The value of a role is the
-    token itself or an object with ``content``."""
-    found = F.array(
-        *[
-            F.coalesce(F.get_json_object("json", f"$.{r}.content"), F.get_json_object("json", f"$.{r}"))
-            for r in SPECIAL_ROLES
-        ]
-    )
-    listed = F.from_json(F.get_json_object("json", f"$.{SPECIAL_LIST}"), "array<string>")
-    # An entry that is an object is text here, and is looked into.
-    more = F.transform(
-        F.coalesce(listed, F.array().cast("array<string>")),
-        lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.content")).otherwise(x),
+    The value of a role is the token itself, an object with ``content``, or a list of
+    both. Other values (switches, numbers, null, objects without ``content``) name no token.
+    A null or empty map has none; text that is no JSON is an error.
+    """
+    parsed = maps.where(F.length(F.trim("json")) > 0).select("vocab", F.parse_json("json").alias("map"))
+    spark = maps.sparkSession
+    # One row per role: the schema of the maps is theirs, not this function's.
+    roles = parsed.lateralJoin(spark.tvf.variant_explode(F.col("map").outer()))
+    roles = roles.select("vocab", F.col("key").alias("role"), "value").where(F.col("role").isNotNull())
+    values = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+    single = roles.select("vocab", "role", F.explode(values).alias("value"))
+    kind = F.schema_of_variant("value")
+    token = F.when(kind == "STRING", F.try_variant_get("value", "$", "string")).otherwise(
+        F.try_variant_get("value", "$.content", "string")
     )
-    tokens = maps.select("vocab", F.explode(F.concat(found, more)).alias("token"))
-    return tokens.where(F.col("token").isNotNull()).distinct()
+    return single.select("vocab", "role", token.alias("token")).where(F.col("token").isNotNull()).distinct()
+
+
+def special_tokens(maps: DataFrame) -> DataFrame:
+    """``(vocab, token)``: the tokens of :func:`special_roles`, each once."""
+    return special_roles(maps).select("vocab", "token").distinct()
+
+
+def read_special_roles(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(vocab, role, token)`` of the maps in tokenizer folders, one file each, named by the folders' paths."""
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    maps = spark.read.text(pattern, wholetext=True).select(folder.alias("vocab"), F.col("value").alias("json"))
+    return special_roles(maps)
 
 
 def read_special_tokens(spark: SparkSession, pattern: str) -> DataFrame:
-    """Special tokens of tokenizer folders, named by their path."""
-    raw = spark.read.text(pattern, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("vocab"), F.col("value").alias("json")
-    )
-    return special_tokens(raw)
+    """Special tokens of tokenizer folders: ``(vocab, token)``."""
+    return read_special_roles(spark, pattern).select("vocab", "token").distinct()

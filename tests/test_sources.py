@@ -51,6 +51,28 @@ def test_additional_special_tokens(spark):
     assert {r["token"] for r in tables.special_tokens(maps).collect()} == {"[UNK]", "<a>", "<b>"}
 
 
+
+def test_special_roles_of_any_map(spark):
+    text = {
+        "bos_token": "<s>", "image_token": {"content": "<img>", "special": True}, "extra": [{"content": "<a>"}, "<b>", {"id": 1}, 7, None],
+        "add_space": True, "length": 512, "nothing": None, "other": {"name": "x"}, "empty": [], "odd.name": "<s>",
+    }
+    maps = spark.createDataFrame([("v", json.dumps(text)), ("w", "{}"), ("x", None), ("y", " ")], "vocab string, json string")
+    got = sorted((r["vocab"], r["role"], r["token"]) for r in tables.special_roles(maps).collect())
+    assert got == [("v", "bos_token", "<s>"), ("v", "extra", "<a>"), ("v", "extra", "<b>"), ("v", "image_token", "<img>"), ("v", "odd.name", "<s>")]
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        tables.special_roles(spark.createDataFrame([("v", '{"bos_token": ')], "vocab string, json string")).collect()
+    assert tables.special_roles(maps.limit(0)).count() == 0
+
+
+def test_special_maps_round_trip(spark, tmp_path):
+    rows = [("de", "bos_token", "<s>", True), ("de", "x", 'a"b\\', False), ("de", "x", "ü", True), ("fr", "bos_token", "[B]", False)]
+    sinks.write_special_maps(spark.createDataFrame(rows, "vocab string, role string, token string, plain boolean"), str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").glob("*/*.txt"))) == 2
+    got = {(r["vocab"][-2:], r["role"], r["token"]) for r in tables.read_special_roles(spark, str(tmp_path / "m" / "*" / "*.txt")).collect()}
+    assert got == {r[:3] for r in rows}
+
+
 def test_duplicate_entries(make_vocab):
     got = tables.duplicate_entries(make_vocab([("a", 0), ("a", 1), ("b", 1)])).collect()
     assert {(r["key"], r["n"]) for r in got} == {("token a", 2), ("id 1", 2)}
@@ -64,6 +86,18 @@ def test_word_vectors_are_pruned_by_language(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(lang#" in df._jdf.queryExecution().toString()
 
 
+
+def test_word_vectors_are_pruned_by_the_pairs(spark, tmp_path):
+    rows = [(lang, f"{lang}{i}", [float(i)]) for lang in ("de", "fr", "es") for i in range(3)]
+    sinks.write_word_vectors(spark.createDataFrame(rows, tables.WORD_VECTOR_SCHEMA), str(tmp_path / "w"))
+    pairs = spark.createDataFrame([("1", "en", "fr"), ("2", "en", "fr"), ("3", "xx", "de")], "pair_id string, source string, target string")
+    pairs.write.parquet(str(tmp_path / "p"))
+    wanted = spark.read.parquet(str(tmp_path / "p")).where("source = 'en'").select(F.col("target").alias("lang"))
+    df = tables.read_word_vectors(spark, str(tmp_path / "w"), wanted)
+    assert sorted(r["word"] for r in df.collect()) == ["fr0", "fr1", "fr2"]
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_matrix_sink(spark, tmp_path):
     rows = [("p", "input", i, f"t{i}", "copied", [float(i)]) for i in range(20)]
     df = spark.createDataFrame(rows, "pair_id string, matrix string, id bigint, token string, outcome string, vector array<float>")
