@@ -16,8 +16,8 @@ from lexigraft.llm.shingles import shingle_hashes, shingle_set, word_hashes, wor
 from lexigraft.session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.75
-#: Items that one pass over the documents looks for.
-BLOCK_ITEMS = 100_000
+#: Items that one pass over the documents looks for, and bytes of their texts.
+BLOCK_ITEMS, BLOCK_BYTES = 100_000, 64 << 20
 
 
 @dataclass
@@ -93,20 +93,21 @@ def find_contained(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     block_items: int = BLOCK_ITEMS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """All pairs of a document and an item of which it holds at least ``threshold`` of the word shingles.
 
     Returns ``(id_col, item_id, n_shared, n_item_shingles, containment)``. Words are lower-cased (A-Z); an
     item with fewer than five words is one shingle. Items without words match nothing, like documents
     without words; repeated rows give the same pair once; null ids are kept and extra columns ignored. The items are the
-    queries: they are taken in blocks of bounded size, every block is broadcast and looked for in all
-    documents, whole. Documents are not shuffled.
+    queries: they are dealt into blocks of about ``block_items`` items and ``block_bytes`` bytes at most (a longer
+    item goes beyond it), every block is broadcast and looked for in all documents, whole. Documents are not shuffled.
     """
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id_col]
     queries = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
-    n = queries.count()
-    n_blocks = max(1, -(-n // block_items))
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // block_items), -(-size // block_bytes))
     blocked = queries.withColumn("block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n_blocks)))
     if n_blocks > 1:
         blocked = materialize(blocked, "items")
@@ -114,11 +115,10 @@ def find_contained(
 
     def one_block(b: int) -> DataFrame:
         rows = blocked.where(F.col("block") == b).select("item_id", "item_text").toArrow()
-        ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-        shared = spark.sparkContext.broadcast((ids, texts))
+        block = spark.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist()))
 
         def make():
-            index = ItemIndex(*shared.value, threshold)
+            index = ItemIndex(*block.value, threshold)
 
             def work(batch: pa.RecordBatch):
                 for part in blocks_by_length(batch, 1, 4 << 20):
@@ -130,7 +130,7 @@ def find_contained(
                     sizes = [len(index.sets[i]) for _, i, _ in pairs]
                     yield {
                         id_col: [d for d, _, _ in pairs],
-                        "item_id": [ids[i] for _, i, _ in pairs],
+                        "item_id": [index.ids[i] for _, i, _ in pairs],
                         "n_shared": [s for _, _, s in pairs],
                         "n_item_shingles": sizes,
                         "containment": [s / z for (_, _, s), z in zip(pairs, sizes, strict=True)],

@@ -275,8 +275,8 @@ def test_decontamination(spark, documents):
         rows.append((d, "\n".join([" ".join(text[:7]), "  ".join(text[7:])]).upper()))
     rows.append(rows[5])
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for blocks in (100_000, 7):
-        got = {(r.doc_id, r.item_id, r.n_shared) for r in find_contained(documents(rows), bench, block_items=blocks).collect()}
+    for limits in ({}, {"block_items": 7}, {"block_bytes": 900}):
+        got = {(r.doc_id, r.item_id, r.n_shared) for r in find_contained(documents(rows), bench, **limits).collect()}
         want = set()
         for d, t in rows:
             for i, x in items:
