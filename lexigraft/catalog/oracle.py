@@ -581,6 +581,7 @@ FINAL: dict[str, str] = {
     "init_report": """
         SELECT pair_id, outcome, count(*) AS n, count(*) FILTER (outcome = 'copied' AND NOT use_for_init) AS n_pruned
         FROM d_ann GROUP BY pair_id, outcome""",
+    "written_report": "SELECT pair_id, outcome, 2 * count(*) AS n FROM d_ann GROUP BY pair_id, outcome",
     "check_reproducible": "SELECT count(*) AS n_rows, 0::BIGINT AS n_differing FROM m_default",
     "check_specials": "SELECT pair_id, 4::BIGINT AS n, 0::BIGINT AS n_differing FROM m_default GROUP BY pair_id",
     "check_nonzero": """

@@ -585,6 +585,13 @@ def init_report(t: Tables) -> DataFrame:
     return checks.init_report(t.transfer_parts().annotated)
 
 
+@query
+def written_report(t: Tables) -> DataFrame:
+    """Rows per pair and outcome, counted while the matrices are written."""
+    counts = sinks.write_matrix(_transfer(t, t.both_matrices), scratch_path(t.spark, "matrices"), [p for p, _, _ in PAIRS])
+    return t.spark.createDataFrame(counts, "pair_id string, outcome string, n bigint")
+
+
 def _pairs(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(p, s) for p, s, _ in PAIRS], "pair_id string, source string")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lexigraft.operators.lookup import COPIED, RANDOM, WEIGHTED, ZERO
 from lexigraft.operators.segmentation import join_tokens
 
 
@@ -24,10 +27,27 @@ def write_word_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.partitionBy("lang").parquet(path)
 
 
-def write_matrix(result: DataFrame, path: str) -> None:
-    """Target matrices by pair and matrix, every file holding a sorted range of ids."""
+def write_matrix(result: DataFrame, path: str, pairs: Iterable[str] | None = None) -> list[tuple[str, str, int]]:
+    """Target matrices by pair and matrix, every file holding a sorted range of ids.
+
+    With the names of the ``pairs``, the rows are counted while they are written, and ``(pair_id, outcome, rows)`` of
+    those there are comes back without another read. Rows of other pairs or outcomes are an error, found when all is
+    written.
+    """
     ranged = result.repartitionByRange("pair_id", "matrix", "id").sortWithinPartitions("pair_id", "matrix", F.col("id"))
-    ranged.write.partitionBy("pair_id", "matrix").parquet(path)
+    if pairs is None:
+        ranged.write.partitionBy("pair_id", "matrix").parquet(path)
+        return []
+    groups = [(p, o) for p in sorted(set(pairs)) for o in (COPIED, WEIGHTED, RANDOM, ZERO)]
+    counts = [F.count_if((F.col("pair_id") == p) & (F.col("outcome") == o)).alias(f"n{i}") for i, (p, o) in enumerate(groups)]
+    # In the stage that writes: its tasks count once however often they run, and the sampling of the ranges is below.
+    seen = Observation("written")
+    ranged.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.partitionBy("pair_id", "matrix").parquet(path)
+    got = seen.get
+    found = [(p, o, got[f"n{i}"]) for i, (p, o) in enumerate(groups) if got[f"n{i}"]]
+    if sum(n for _, _, n in found) != got["rows"]:
+        raise ValueError(f"{got['rows']} rows written to {path}, {sum(n for _, _, n in found)} of them of the given pairs")
+    return found
 
 
 def write_special_maps(roles: DataFrame, path: str) -> None:

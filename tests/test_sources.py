@@ -105,6 +105,18 @@ def test_matrix_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).select(df.columns).exceptAll(df).count() == 0
 
 
+
+def test_matrix_sink_counts_what_it_writes(spark, tmp_path):
+    rows = [(f"p{i % 3}", m, i, f"t{i}", "copied" if i % 7 else "random", [float(i)]) for i in range(200) for m in ("input", "output")]
+    df = spark.createDataFrame(rows, "pair_id string, matrix string, id bigint, token string, outcome string, vector array<float>")
+    got = sinks.write_matrix(df.repartition(5), str(tmp_path / "m"), ["p0", "p1", "p2", "unused"])
+    want = spark.read.parquet(str(tmp_path / "m")).groupBy("pair_id", "outcome").count()
+    assert sorted(got) == sorted(tuple(r) for r in want.collect()) and sum(n for _, _, n in got) == 400
+    with pytest.raises(ValueError, match="400 rows written"):
+        sinks.write_matrix(df, str(tmp_path / "n"), ["p0", "p1"])
+    assert sinks.write_matrix(df.limit(0), str(tmp_path / "o"), ["p0"]) == []
+
+
 def test_fingerprint_follows_content_not_order(spark):
     rows = [("v", f"t{i}", i) for i in range(50)]
     make = lambda r: spark.createDataFrame(r, "vocab string, token string, id bigint")
