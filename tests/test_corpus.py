@@ -7,12 +7,13 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexigraft.operators.cooccurrence import cooccurrence, corpus_cooccurrence, count_pairs, ppmi, project
+from lexigraft.operators.cooccurrence import cooccurrence, corpus_cooccurrence, count_pairs, name_pairs, ppmi, project, projected
 from lexigraft.operators.segmentation import (
     METHODS,
     Pieces,
@@ -28,7 +29,7 @@ from lexigraft.operators.segmentation import (
 from lexigraft.operators.vocab_learning import count_words
 from lexigraft.operators.wordlevel import token_vectors
 from lexigraft.plans.auxiliary import aux_from_corpus, load_auxiliary
-from lexigraft.session import Limits
+from lexigraft.session import Limits, materialize
 
 NO_BROADCAST = Limits(broadcast_rows=0)
 # Of the two vocabularies of the fixture: each alone, and only the smaller one.
@@ -338,3 +339,47 @@ def _partitioned(spark, path, tmp_path):
     out = str(tmp_path / "by-lang")
     spark.read.parquet(path).write.partitionBy("lang").parquet(out)
     return out
+
+
+def test_pairs_of_a_token_leave_one_task(spark, vocab, corpus):
+    """So that one vector per token is shuffled, not one per token and task."""
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        pairs = corpus_cooccurrence(corpus.repartition(3), vocab)
+        tasks = pairs.withColumn("task", F.spark_partition_id()).groupBy("lang", "token").agg(F.count_distinct("task").alias("n"))
+        assert {r["n"] for r in tasks.collect()} == {1} and pairs.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set(coalesce, before)
+    pairs = materialize(pairs, "pairs")
+    want = project(ppmi(name_pairs(pairs, vocab), 70), 70)
+    for limits in (Limits(), Limits(broadcast_bytes=0)):
+        got = projected(pairs, vocab, 70, limits)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() > 2
+
+
+def test_counts_of_a_bucket_are_added_up_in_parts(monkeypatch):
+    from lexigraft.operators import cooccurrence as c
+
+    rng = np.random.default_rng(1)
+    samples = [rng.integers(0, 9000, 300).tolist() for _ in range(4)] + [[], [None, 7, None, 7], [300, 70_000]]
+    monkeypatch.setattr(c, "CHUNK_TOKENS", 250)
+    monkeypatch.setattr(c, "WAITING", 1)
+    counter = c._Counter(3)
+    batches = [b for s in samples for b in counter.add(["x"], [s])] + list(counter.rest())
+    assert len(batches) > 3
+    rows = pa.Table.from_batches(batches).sort_by([("lang", "ascending"), ("bucket", "ascending")]).to_batches()
+    got = [r for b in c._added_up(rows) for r in b.to_pylist()]
+    want = brute_pairs([[t for t in s if t is not None] for s in samples], 3)
+    assert {(r["token"], r["ctx"]): r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_texts_are_cut_in_runs_however_large_a_batch_is():
+    from lexigraft.operators import segmentation as s
+
+    texts = ["ab " * 400_000, None, "", "ab", "ab " * 400_000, "ab"] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(["v"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    runs = list(s.text_runs([batch, batch.slice(0, 0)]))
+    assert [t for r in runs for t in r.column("text").to_pylist()] == texts and len(runs) >= 4
+    assert all(r.num_rows == 1 or sum(len(t or "") for t in r.column("text").to_pylist()) <= s.CHUNK_CHARS for r in runs)
