@@ -1,4 +1,4 @@
-"""Repeated lines: equal ones of any length by their hashes, long ones also one edit apart by a segment-partition join.
+"""Repeated lines: equal ones of any length by their hashes, long ones also some edits apart by a segment-partition join.
 
 DataFrame functions only.
 """
@@ -12,12 +12,18 @@ from lexigraft.llm.common import sized
 from lexigraft.llm.components import connected_components
 from lexigraft.session import materialize
 
-#: Edits between two lines of a class, and what a line must have to be compared at all, that is, for equality.
+#: Edits between two lines of a class if no other number is asked for, and what a line must have to be compared at all, that is, for equality.
 THRESHOLD, MIN_CHARS = 1, 1
-#: Shorter lines are compared for equality only: one edit, or chance, makes them equal.
+#: Edits that the query allows.
+EDITS = 4
+#: Characters of a line per edit; shorter lines are compared for equality only: one edit, or chance, makes them equal.
 NEAR_CHARS = 30
-#: Buckets of more lines are searched by wildcard keys instead of pair by pair.
+#: Lines under one key are compared pair by pair; more of them are told apart by further keys first.
 PAIRWISE = 48
+#: Lines of a still crowded key that one cell holds.
+CELL = 128
+#: Characters at both ends of two lines that are compared before the whole lines.
+ENDS = 48
 
 
 def edit_distance(chars_a: Column, chars_b: Column, most: int) -> Column:
@@ -77,74 +83,172 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.where((F.char_length("line") >= MIN_CHARS) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _segment_keys(lines: DataFrame) -> DataFrame:
-    """``(lid, k, key)``: hashes of three of the four quarters of a line; one edit leaves three of them as they are.
+def allowed_edits(n: Column, edits: int) -> Column:
+    """Edits between lines whose shorter one has ``n`` characters."""
+    return F.least((n / NEAR_CHARS).cast("int"), F.lit(edits))
 
-    A line of n characters is cut into two segments, one more than the edits, and each of them once more by
-    the same rule. Keys 0 to 3 leave out one quarter each. Keys 4 to 7 are those of a line with one
-    character less: the further character stands in the quarter left out, and the quarters behind it start one
-    place later. Every quarter is hashed once.
+
+def _layout(n: Column, edits: int, own: bool) -> Column:
+    """How lines of about ``n`` characters are cut: the shortest of them, their edits at most, and the width of a segment.
+
+    Lines are of one kind if their lengths agree in the first three binary digits.
+    """
+    step = F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 3)
+    low = (n - n % step).cast("int")
+    most = allowed_edits(low + step - 1, edits)
+    width = (low / (most + 1)).cast("int")
+    return F.struct(low.alias("low"), most.alias("most"), width.alias("width"), F.lit(own).alias("own"))
+
+
+def _segments(lines: DataFrame, edits: int) -> DataFrame:
+    """One row per segment ``part`` and ``shift`` of lines, adding its place ``at``.
+
+    ``lines(line, begin, end, most, width, ...)``: between ``begin`` and ``end`` a line has at most ``most`` edits and
+    room for ``most + 1`` segments, the first half of them counted from the front and the others from the back. There is
+    a segment without an edit and with exactly as many edits before it as there are segments, so not more behind it
+    than there are segments; that is how far it can be moved, seen from the nearer end.
+    """
+    places = []
+    for most in range(1, edits + 1):
+        of = [(k, s) for k in range(most + 1) for s in range(-min(k, most - k), min(k, most - k) + 1)]
+        places.append(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(s).alias("shift")) for k, s in of]))
+    rows = lines.withColumn("_place", F.explode(F.element_at(F.array(*places), F.col("most"))))
+    part, shift = F.col("_place.part"), F.col("_place.shift")
+    from_back = F.col("end") - (F.col("most") + 1 - part) * F.col("width")
+    at = F.when(2 * part <= F.col("most"), F.col("begin") + part * F.col("width")).otherwise(from_back) + shift
+    rows = rows.select(*lines.columns, part.alias("part"), shift.alias("shift"), at.alias("at"))
+    return rows.where("width > 0 AND at >= begin AND at + width <= end")
+
+
+def _hashed(*parts: Column | str) -> Column:
+    return F.xxhash64(*parts, F.substring("line", F.col("at") + 1, F.col("width")))
+
+
+def _segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``(lid, key, indexed, low, most, width, part, at)``: hashes of the segments of a line, one more than its edits.
+
+    A line is indexed by its own segments and looked up by those moved by as many places as edits can move them. A line
+    that is hardly longer than a shorter kind is looked up among those too.
     """
+    kinds = lines.select("lid", "line", "n", _layout(F.col("n"), edits, True).alias("kind"))
+    kinds = kinds.withColumn("less", _layout(F.col("kind.low") - 1, edits, False))
+    near = (F.col("n") - F.col("kind.low") < F.col("less.most")) & (F.col("kind.low") > NEAR_CHARS)
+    kinds = kinds.select("lid", "line", "n", F.explode(F.array_compact(F.array("kind", F.when(near, F.col("less"))))).alias("kind"))
+    kinds = kinds.select("lid", "line", F.lit(0).alias("begin"), F.col("n").alias("end"), "kind.*")
+    indexed = (F.col("own") & (F.col("shift") == 0)).alias("indexed")
+    return _segments(kinds, edits).select("lid", _hashed("low", "part").alias("key"), indexed, "low", "most", "width", "part", "at")
 
-    def cuts(n: Column) -> list[Column]:
-        half = F.floor(n / 2).cast("int")
-        return [F.lit(0), F.floor(half / 2).cast("int"), half, (half + F.floor((n - half) / 2)).cast("int"), n]
 
-    def quarter(n: Column, k: int, shift: int) -> Column:
-        at = cuts(n)
-        return F.xxhash64(F.substring("line", at[k] + 1 + shift, at[k + 1] - at[k]))
+def _further_keys(members: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """``(lid, key, indexed)`` for lines under a crowded key: what stands beside their common segment is cut in the same way.
 
-    n, less = F.col("n"), F.col("n") - 1
-    hashed = lines.select(
+    Before segment number k there are at most k edits, behind it at most the others. The side with more room is taken.
+    """
+    behind = 2 * F.col("part") <= F.col("most")
+    beside = members.join(lines, "lid").select(
         "lid",
-        "n",
-        *[quarter(n, k, 0).alias(f"own{k}") for k in range(4)],
-        *[quarter(less, k, 0).alias(f"here{k}") for k in range(3)],
-        *[quarter(less, k, 1).alias(f"later{k}") for k in range(1, 4)],
+        "line",
+        "key",
+        "indexed",
+        F.when(behind, F.col("at") + F.col("width")).otherwise(F.lit(0)).alias("begin"),
+        F.when(behind, F.col("n")).otherwise(F.col("at")).alias("end"),
+        F.when(behind, F.col("most") - F.col("part")).otherwise(F.col("part")).alias("most"),
+        (F.col("low") - F.when(behind, F.col("part") + 1).otherwise(F.col("most") + 1 - F.col("part")) * F.col("width")).alias("room"),
     )
-    keys = []
-    for left_out in range(4):
-        keys.append(F.xxhash64(F.lit(left_out), n, *[f"own{k}" for k in range(4) if k != left_out]))
-    for left_out in range(4):
-        parts = [f"here{k}" if k < left_out else f"later{k}" for k in range(4) if k != left_out]
-        keys.append(F.xxhash64(F.lit(left_out), less, *parts))
-    return hashed.select("lid", F.posexplode(F.array(*keys)).alias("k", "key"))
+    beside = beside.withColumn("width", (F.col("room") / (F.col("most") + 1)).cast("int")).drop("room")
+    indexed = (F.col("indexed") & (F.col("shift") == 0)).alias("indexed")
+    return _segments(beside, edits).select("lid", _hashed("key", "part").alias("key"), indexed)
 
 
-def _wildcards(lines: DataFrame) -> DataFrame:
-    """Links among lines of crowded buckets: equal but for one place, or but for one character more.
+def _in_pairs(members: DataFrame) -> DataFrame:
+    """``(u, v)``: indexed lines with every other line under their key."""
+    index = members.where("indexed").select("key", F.col("lid").alias("v"))
+    return members.select("key", "lid", "indexed").join(index, "key").where("lid != v AND (NOT indexed OR lid > v)").select(F.col("lid").alias("u"), "v")
 
-    A line gives a key for every place with that character blanked, and one without it; lines with one
-    key are at most one edit apart from its smallest line. The keys grow with the lines' lengths, not with pairs.
-    """
-    place = lines.select("lid", "line", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    before, after = F.substring("line", F.lit(1), F.col("i") - 1), F.substring("line", F.col("i") + 1, F.col("n"))
-
-    def key(name: str, n: Column, *parts: Column | str) -> list[Column]:
-        return [F.xxhash64(F.lit(name), n, *parts).alias("h1"), F.xxhash64(F.lit(name), n, *parts, F.lit(1)).alias("h2")]
-
-    n = F.col("n")
-    blanked = place.select("lid", *key("at", n, F.col("i"), before, after))
-    shorter = place.select("lid", *key("less", n - 1, F.concat(before, after)))
-    whole = lines.select("lid", *key("less", n, F.col("line")))
-    blanked = materialize(blanked, "blanked")
-    centre = blanked.groupBy("h1", "h2").agg(F.min("lid").alias("v"), F.count("*").alias("m"))
-    centre = materialize(centre.where("m > 1").drop("m"), "blanked-centres")
-    same_length = blanked.join(centre, ["h1", "h2"]).where("lid != v").select(F.col("lid").alias("u"), "v")
-    # Lines that only share a shortening are two edits apart: it counts if it is a line itself.
-    one_longer = shorter.join(whole.withColumnRenamed("lid", "v"), ["h1", "h2"]).select(F.col("lid").alias("u"), "v")
-    return same_length.unionByName(one_longer).distinct()
-
-
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _ends() -> list[Column]:
+    return [F.substring("line", 1, ENDS).alias("head"), F.right("line", F.lit(ENDS)).alias("tail")]
+
+
+def _ends_agree(edits: int) -> Column:
+    """Whether ``(n, head, tail)`` and ``(n_v, head_v, tail_v)`` can belong to near lines: ends of one length are at most twice as
+    many edits apart as the lines."""
+    lengths = F.abs(F.col("n") - F.col("n_v")) <= allowed_edits(F.least("n", "n_v"), edits)
+    ends = [F.levenshtein(c, f"{c}_v", 2 * edits) >= 0 for c in ("head", "tail")]
+    return lengths & ends[0] & ends[1]
+
+
+def _both(pairs: DataFrame, lines: DataFrame, *columns: Column) -> DataFrame:
+    """Pairs ``(u, v)`` with columns of both lines, those of the second one with ``_v`` behind their names."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
+    texts = lines.join(sized(materialize(wanted, "wanted-lines"), 24), "lid").select(F.col("lid").alias("u"), "n", *columns)
+    texts = materialize(texts, "line-texts")
+    other = texts.select(F.col("u").alias("v"), *[F.col(c).alias(f"{c}_v") for c in texts.columns if c != "u"])
+    return pairs.join(texts, "u").join(other, "v")
+
+
+def _linked(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs ``(u, v)`` of lines, each once, that are near; whole lines are bounded before characters are laid out."""
+    bounded = _both(pairs, lines, F.col("line")).where(F.levenshtein("line", "line_v", edits) >= 0)
+    bounded = materialize(bounded.select("u", "v"), "bounded-pairs")
+    near = _both(bounded, lines, F.split("line", "").alias("chars"))
+    most = allowed_edits(F.least("n", "n_v"), edits)
+    near = near.where(F.abs(F.col("n") - F.col("n_v")) <= most).where(edit_distance(F.col("chars"), F.col("chars_v"), edits) <= most)
+    return materialize(near.select("u", "v"), "line-links")
+
+
+def _with_cells(members: DataFrame, lines: DataFrame, component: DataFrame, edits: int) -> DataFrame:
+    """``(u, v)``: lines under crowded keys that are not linked yet and whose ends agree, compared in cells of bounded size."""
+    ends = lines.join(sized(members.select("lid").distinct(), 24), "lid").select("lid", "n", *_ends())
+    rows = members.join(ends, "lid").join(component.withColumnRenamed("node", "lid"), "lid", "left")
+    rows = rows.withColumns({"component": F.coalesce("component", "lid"), "groups": F.ceil(F.col("m") / CELL).cast("int")})
+    own = F.pmod(F.xxhash64("lid"), F.col("groups")).cast("int")
+    rows = materialize(rows.withColumn("own", own), "crowded-lines")
+    every = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    index = rows.where("indexed").select("key", *[F.col(c).alias(f"{c}_v") for c in ("lid", "n", "head", "tail", "component", "indexed")], F.col("own").alias("y"), every.alias("x"))
+    cells = rows.withColumnRenamed("own", "x").withColumn("y", every).join(index, ["key", "x", "y"])
+    new = cells.where("component != component_v AND (NOT indexed OR lid > lid_v)").where(_ends_agree(edits))
+    return new.select(F.greatest("lid", "lid_v").alias("u"), F.least("lid", "lid_v").alias("v")).distinct()
+
+
+def _near_links(lines: DataFrame, edits: int) -> DataFrame:
+    """Links ``(u, v)`` that connect all of ``lines(lid, line, n)`` that single links of near lines connect."""
+    keyed = _segment_keys(lines, edits)
+    found = keyed.groupBy("key").agg(
+        F.count("*").alias("m"), F.count(F.when(F.col("indexed"), 1)).alias("m_index"), F.min("lid").alias("a"), F.max("lid").alias("b")
+    )
+    found = materialize(found.where("m > 1 AND m_index > 0 AND a != b"), "segments")
+    # Two lines under a key are a pair; more of them are looked up again.
+    pairs = found.where("m = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    members = materialize(keyed.join(sized(found.where("m > 2").select("key", "m"), 32), "key"), "segment-members")
+    pairs = pairs.unionByName(_in_pairs(members.where(F.col("m") <= PAIRWISE)))
+    further = materialize(_further_keys(members.where(F.col("m") > PAIRWISE).drop("m"), lines, edits), "further-segments")
+    crowd = further.groupBy("key").agg(F.count("*").alias("m"), F.min(F.when(F.col("indexed"), F.col("lid"))).alias("v"))
+    further = materialize(further.join(crowd.where("m > 1 AND v IS NOT NULL"), "key"), "further-members")
+    crowded = further.where(F.col("m") > PAIRWISE)
+    pairs = pairs.unionByName(_in_pairs(further.where(F.col("m") <= PAIRWISE)))
+    # Of crowded keys first only one line with each of the others.
+    pairs = pairs.unionByName(crowded.where("lid != v").select(F.col("lid").alias("u"), "v"))
+    pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
+    links = _linked(materialize(_both(pairs, lines, *_ends()).where(_ends_agree(edits)).select("u", "v"), "close-pairs"), lines, edits)
+    if crowded.isEmpty():
+        return links
+    left = _with_cells(crowded.drop("v"), lines, materialize(connected_components(links), "first-components"), edits)
+    return links.unionByName(_linked(materialize(left, "cell-pairs"), lines, edits))
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = THRESHOLD) -> DataFrame:
     """Removed lines: ``(doc_id, row, pos, near)``, every line of a class but its first one.
 
     Lines (between line feeds) with a word are in a class if they are equal, and those of at least ``NEAR_CHARS``
-    characters also if edits of one character lead from one to the next. The first line is the one with the smallest
+    characters also if near lines lead from one to the next: near are lines with at most ``edits`` (1 to 14) edits of one
+    character between them, and at most one per ``NEAR_CHARS`` characters of the shorter one. The first line is the one with the smallest
     (document id, position), null ids last. ``near`` tells that the line differs from the class's first line.
     Lines of white space only are left alone. Null and empty texts have no such lines; repeated rows have the same
     lines as their first; a table without rows gives none. Other columns are ignored.
     """
+    if not 1 <= edits <= 14:
+        raise ValueError(f"edits must be 1 to 14, not {edits}")
     rows = line_rows(docs, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
     two = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
@@ -156,37 +260,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.monotonically_increasing_id().alias("lid"), "h1", "h2", "first", "n_rows", "line", F.char_length("line").alias("n")
         ).where((F.col("n") >= NEAR_CHARS) | (F.col("n_rows") > 1))
     )
-    keyed = _segment_keys(lines.where(F.col("n") >= NEAR_CHARS)).select("lid", "key", (F.col("k") >= 4).alias("longer"))
-    found = keyed.groupBy("key").agg(
-        F.count("*").alias("m"),
-        F.count(F.when(~F.col("longer"), 1)).alias("m_index"),
-        F.min("lid").alias("a"),
-        F.max("lid").alias("b"),
-    )
-    found = materialize(found.where("m > 1 AND m_index > 0"), "segments")
-    # Two lines under a key are a pair; more of them are looked up again.
-    pairs = found.where("m = 2 AND a != b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    several = found.where("m > 2").select("key", "m")
-    members = materialize(keyed.join(sized(several, 32), "key"), "segment-members")
-    few = members.where(F.col("m") <= PAIRWISE)
-    other = few.where("NOT longer").select("key", F.col("lid").alias("v"))
-    paired = few.join(other, "key").where((F.col("lid") != F.col("v")) & (F.col("longer") | (F.col("lid") > F.col("v"))))
-    pairs = pairs.unionByName(paired.select(F.col("lid").alias("u"), "v"))
-    pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
-    crowded = materialize(members.where(F.col("m") > PAIRWISE).select("lid").distinct(), "crowded-lines")
-    wanted = pairs.select(F.col("u").alias("lid")).unionByName(pairs.select(F.col("v").alias("lid"))).distinct()
-    wanted = materialize(wanted, "wanted-lines")
-    texts = lines.join(sized(wanted, 24), "lid").select("lid", F.split("line", "").alias("chars"))
-    texts = materialize(texts, "line-texts")
-    a = texts.select(F.col("lid").alias("u"), F.col("chars").alias("a"))
-    b = texts.select(F.col("lid").alias("v"), F.col("chars").alias("b"))
-    close = F.abs(F.size("a") - F.size("b")) <= THRESHOLD
-    links = pairs.join(a, "u").join(b, "v").where(close)
-    links = links.where(edit_distance(F.col("a"), F.col("b"), THRESHOLD) <= THRESHOLD).select("u", "v")
-    wild = _wildcards(lines.select("lid", "line", "n").join(sized(crowded, 24), "lid"))
-    wild = materialize(wild, "wildcard-links")
-    links = links.unionByName(wild)
-    component = materialize(connected_components(materialize(links, "line-links")), "line-components")
+    links = _near_links(lines.where(F.col("n") >= NEAR_CHARS).select("lid", "line", "n"), edits)
+    component = materialize(connected_components(links), "line-components")
     classes = lines.select("lid", "h1", "h2", "first", "n_rows").join(component, F.col("node") == F.col("lid"), "left")
     classes = classes.withColumn("class", F.coalesce("component", "lid")).where("n_rows > 1 OR component IS NOT NULL")
     classes = materialize(classes.select("h1", "h2", "first", "class"), "line-classes")
@@ -208,12 +283,12 @@ def _written_zstd(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = THRESHOLD) -> DataFrame:
     """All rows of ``docs`` with ``n_lines``, ``n_removed``, ``n_near`` and the text that is left, as ``kept_text``.
 
     See :func:`line_classes`. A null text stays null. The removed places of a document are gathered per document.
     """
-    gone = line_classes(docs, id_col, text_col).groupBy("doc_id", "row").agg(
+    gone = line_classes(docs, id_col, text_col, edits).groupBy("doc_id", "row").agg(
         F.collect_set("pos").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("pos")))).cast("long").alias("n_near")
     )
     gone = materialize(gone.withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "removed-lines")

@@ -15,7 +15,7 @@ from lexigraft.llm.decontamination import find_contained
 from lexigraft.llm.hard_negatives import mine_hard_negatives
 from lexigraft.llm.html_density import extract_main_text
 from lexigraft.llm.license_scan import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, scan_licenses, words_of
-from lexigraft.llm.line_dedup import without_repeated_lines
+from lexigraft.llm.line_dedup import EDITS, without_repeated_lines
 from lexigraft.llm.near_duplicates import near_duplicate_classes
 from lexigraft.llm.quality_rules import judge_quality
 from lexigraft.llm.sequence_packing import pack_documents
@@ -78,7 +78,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat an earlier line, and a digest of what is left."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
-    return without_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "n_near", kept)
+    return without_repeated_lines(docs, edits=EDITS).select("doc_id", "n_lines", "n_removed", "n_near", kept)
 
 
 def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:

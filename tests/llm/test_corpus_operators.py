@@ -307,6 +307,40 @@ def test_short_lines_repeat_if_equal(documents):
     }
 
 
+@pytest.mark.parametrize(("edits", "pairwise"), [(1, 2), (3, 48), (4, 2)])
+def test_lines_several_edits_apart(spark, monkeypatch, edits, pairwise):
+    # With 2, nearly all lines go through further keys, and many through cells.
+    monkeypatch.setattr(line_dedup, "PAIRWISE", pairwise)
+    monkeypatch.setattr(line_dedup, "CELL", 3)
+    rng = random.Random(edits)
+    texts = set()
+    for size in [30, 31, 33, 47, 56, 60, 64, 95, 112, 121, 128, 150, 160, 200, 256, 300] * 2:
+        base = rng.choices("abcdefgh é😀", k=size)
+        for _ in range(9):
+            line = list(base)
+            for _ in range(rng.randint(0, 6)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randint(0, 1)] = rng.choices("abé😀", k=rng.randint(0, 1))
+            texts.add("".join(line))
+    texts |= {"the same long beginning of many lines and " + "".join(rng.choices("abcdefgh", k=40)) for _ in range(30)}
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(sorted(t for t in texts if len(t) >= 30))], "lid bigint, line string, n int")
+    v = lines.select(F.col("lid").alias("v"), F.col("line").alias("b"), F.col("n").alias("k"))
+    most = F.least(F.floor(F.least("n", "k") / 30), F.lit(edits))
+    near = lines.join(v, F.col("lid") > F.col("v")).where(F.levenshtein("line", "b") <= most).select(F.col("lid").alias("u"), "v")
+    links = line_dedup._near_links(lines, edits)
+    assert links.count() and not links.exceptAll(near).count()
+    assert {tuple(r) for r in connected_components(links).collect()} == {tuple(r) for r in connected_components(near).collect()}
+
+
+def test_query_finds_replaced_words(documents):
+    line = "the quick brown fox jumps over the lazy dog, and then it sleeps for the rest of a long summer's day without a dream"
+    rows = [(1, line), (2, line.replace("quick", "slack")), (3, line.replace("quick brown", "black bird")), (None, "x\n" + line.replace("lazy ", ""))]
+    got = {r.doc_id: (r.n_removed, r.n_near) for r in line_dedup.without_repeated_lines(documents(rows), edits=line_dedup.EDITS).collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (0, 0), None: (0, 0)}
+    with pytest.raises(ValueError, match="edits"):
+        line_dedup.line_classes(documents(rows), edits=15)
+
+
 def test_lines_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.kept_text for r in line_dedup.without_repeated_lines(docs).collect()}
