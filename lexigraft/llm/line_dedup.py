@@ -19,11 +19,19 @@ EDITS = 4
 #: Characters of a line per edit; shorter lines are compared for equality only: one edit, or chance, makes them equal.
 NEAR_CHARS = 30
 #: Lines under one key are compared pair by pair; more of them are told apart by further keys first.
-PAIRWISE = 48
+PAIRWISE = 8
 #: Lines of a still crowded key that one cell holds.
 CELL = 128
 #: Characters at both ends of two lines that are compared before the whole lines.
 ENDS = 48
+#: Characters that are compared at both ends of what two lines do not begin or end with in common.
+MID_ENDS = 24
+#: What the characters of the two halves of a line are counted by, besides the rest; one byte of a signature each.
+CLASSES = [*"abcdefghijklmnopqrstuvwxyz ", "01234", "56789", ".,;:'", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+#: Columns of a signature.
+SIGNS = [f"sign{i}" for i in range(8)]
+#: Powers of two up to which equal beginnings and ends of two lines are looked for.
+STEPS = [1 << k for k in range(13, -1, -1)]
 
 
 def edit_distance(chars_a: Column, chars_b: Column, most: int) -> Column:
@@ -100,52 +108,53 @@ def _layout(n: Column, edits: int, own: bool) -> Column:
     return F.struct(low.alias("low"), most.alias("most"), width.alias("width"), F.lit(own).alias("own"))
 
 
-def _segments(lines: DataFrame, edits: int) -> DataFrame:
-    """One row per segment ``part`` and ``shift`` of lines, adding its place ``at``.
+def _places(most: int) -> list[tuple[int, int]]:
+    """Segments of a line with ``most`` edits, each with all places by which it can be moved.
 
-    ``lines(line, begin, end, most, width, ...)``: between ``begin`` and ``end`` a line has at most ``most`` edits and
-    room for ``most + 1`` segments, the first half of them counted from the front and the others from the back. There is
-    a segment without an edit and with exactly as many edits before it as there are segments, so not more behind it
+    There are ``most + 1`` segments, the first half of them counted from the front and the others from the back. One of
+    them is without an edit and has at most as many edits before it as there are segments, and not more behind it
     than there are segments; that is how far it can be moved, seen from the nearer end.
     """
-    places = []
-    for most in range(1, edits + 1):
-        of = [(k, s) for k in range(most + 1) for s in range(-min(k, most - k), min(k, most - k) + 1)]
-        places.append(F.array(*[F.struct(F.lit(k).alias("part"), F.lit(s).alias("shift")) for k, s in of]))
-    rows = lines.withColumn("_place", F.explode(F.element_at(F.array(*places), F.col("most"))))
-    part, shift = F.col("_place.part"), F.col("_place.shift")
-    from_back = F.col("end") - (F.col("most") + 1 - part) * F.col("width")
-    at = F.when(2 * part <= F.col("most"), F.col("begin") + part * F.col("width")).otherwise(from_back) + shift
-    rows = rows.select(*lines.columns, part.alias("part"), shift.alias("shift"), at.alias("at"))
-    return rows.where("width > 0 AND at >= begin AND at + width <= end")
+    return [(k, s) for k in range(most + 1) for s in range(-min(k, most - k), min(k, most - k) + 1)]
 
 
-def _hashed(*parts: Column | str) -> Column:
-    return F.xxhash64(*parts, F.substring("line", F.col("at") + 1, F.col("width")))
+def _placed(lines: DataFrame, edits: int) -> DataFrame:
+    """One row per ``part`` and ``shift`` of a line that is cut between ``begin`` and ``end``, adding its number ``place`` and where it begins, ``at``."""
+    table = [F.array(*[F.struct(F.lit(k).alias("part"), F.lit(s).alias("shift")) for k, s in _places(e)]) for e in range(1, edits + 1)]
+    rows = lines.where("width > 0").select("*", F.explode(F.element_at(F.array(*table), F.col("most"))).alias("_place"))
+    rows = rows.select(*lines.columns, "_place.part", "_place.shift")
+    from_back = F.col("end") - (F.col("most") + 1 - F.col("part")) * F.col("width")
+    at = F.when(2 * F.col("part") <= F.col("most"), F.col("begin") + F.col("part") * F.col("width")).otherwise(from_back) + F.col("shift")
+    return rows.withColumn("at", at).where("at >= begin AND at + width <= end")
 
 
 def _segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     """``(lid, key, indexed, low, most, width, part, at)``: hashes of the segments of a line, one more than its edits.
 
     A line is indexed by its own segments and looked up by those moved by as many places as edits can move them. A line
-    that is hardly longer than a shorter kind is looked up among those too.
+    that is hardly longer than a shorter kind is looked up among those too. In a line of ASCII characters only, places
+    are found by bytes.
     """
     kinds = lines.select("lid", "line", "n", _layout(F.col("n"), edits, True).alias("kind"))
     kinds = kinds.withColumn("less", _layout(F.col("kind.low") - 1, edits, False))
     near = (F.col("n") - F.col("kind.low") < F.col("less.most")) & (F.col("kind.low") > NEAR_CHARS)
-    kinds = kinds.select("lid", "line", "n", F.explode(F.array_compact(F.array("kind", F.when(near, F.col("less"))))).alias("kind"))
-    kinds = kinds.select("lid", "line", F.lit(0).alias("begin"), F.col("n").alias("end"), "kind.*")
+    both = F.explode(F.array_compact(F.array("kind", F.when(near, F.col("less"))))).alias("kind")
+    kinds = kinds.select("lid", "line", F.encode("line", "UTF-8").alias("bytes"), (F.octet_length("line") == F.col("n")).alias("ascii"), "n", both)
+    kinds = kinds.select("lid", "line", "bytes", "ascii", F.lit(0).alias("begin"), F.col("n").alias("end"), "kind.*")
+    rows = _placed(kinds, edits)
+    by_char = F.substring("line", F.col("at") + 1, F.col("width")).cast("binary")
+    piece = F.when(F.col("ascii"), F.substring("bytes", F.col("at") + 1, F.col("width"))).otherwise(by_char)
     indexed = (F.col("own") & (F.col("shift") == 0)).alias("indexed")
-    return _segments(kinds, edits).select("lid", _hashed("low", "part").alias("key"), indexed, "low", "most", "width", "part", "at")
+    return rows.select("lid", F.xxhash64("low", "part", piece).alias("key"), indexed, "low", "most", "width", "part", "at")
 
 
-def _further_keys(members: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def _further_keys(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """``(lid, key, indexed)`` for lines under a crowded key: what stands beside their common segment is cut in the same way.
 
     Before segment number k there are at most k edits, behind it at most the others. The side with more room is taken.
     """
     behind = 2 * F.col("part") <= F.col("most")
-    beside = members.join(lines, "lid").select(
+    beside = members.join(texts, "lid").select(
         "lid",
         "line",
         "key",
@@ -155,9 +164,49 @@ def _further_keys(members: DataFrame, lines: DataFrame, edits: int) -> DataFrame
         F.when(behind, F.col("most") - F.col("part")).otherwise(F.col("part")).alias("most"),
         (F.col("low") - F.when(behind, F.col("part") + 1).otherwise(F.col("most") + 1 - F.col("part")) * F.col("width")).alias("room"),
     )
-    beside = beside.withColumn("width", (F.col("room") / (F.col("most") + 1)).cast("int")).drop("room")
-    indexed = (F.col("indexed") & (F.col("shift") == 0)).alias("indexed")
-    return _segments(beside, edits).select("lid", _hashed("key", "part").alias("key"), indexed)
+    rows = _placed(beside.withColumn("width", (F.col("room") / (F.col("most") + 1)).cast("int")).drop("room"), edits)
+    key = F.xxhash64("key", "part", F.substring("line", F.col("at") + 1, F.col("width")))
+    return rows.select("lid", key.alias("key"), (F.col("indexed") & (F.col("shift") == 0)).alias("indexed"))
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """``lines(lid, line, n)`` with ``half`` and a signature of how often as many characters at both ends are of each class.
+
+    A count is eight bits that go through 16 values, of which neighbours differ in one bit. An edit changes two counts by
+    one at most: a character is replaced, or one comes in and another is moved out of the half. The halves are counted from
+    the nearer end and do not overlap, so lines with k edits between them differ in at most 2 k bits.
+    """
+    ring = F.array(*[F.lit((1 << m) - 1 if m <= 8 else 255 & ~((1 << (m - 8)) - 1)).cast("bigint") for m in range(16)])
+    half = (_layout(F.col("n"), 1, True)["low"] / 2).cast("int")
+    rows = lines.select("lid", "line", "n", half.alias("half"))
+    rows = rows.select("lid", "n", "half", F.substring("line", F.lit(1), F.col("half")).alias("front"), F.right("line", F.col("half")).alias("back"))
+    signs = []
+    for side in ("front", "back"):
+        counts = [F.col("half") - F.char_length(F.replace(side, F.lit(c)) if len(c) == 1 else F.translate(side, c, "")) for c in CLASSES]
+        names = [f"{side}{i}" for i in range(len(CLASSES) + 1)]
+        rows = rows.select("*", *[c.alias(n) for c, n in zip(counts, names)])
+        rows = rows.withColumn(names[-1], F.expr(" - ".join(["half", *names[:-1]])))
+        for j in range(0, len(names), 8):
+            sign = F.lit(0).cast("bigint")
+            for i, name in enumerate(names[j : j + 8]):
+                sign = sign.bitwiseOR(F.shiftleft(F.element_at(ring, (F.col(name) % 16 + 1).cast("int")), 8 * i))
+            signs.append(sign)
+    return rows.select("lid", "n", "half", *[c.alias(name) for c, name in zip(signs, SIGNS)])
+
+
+def _alike(edits: int) -> Column:
+    """Whether lines ``(n, half, signature)`` and ``(n_v, half_v, signature_v)`` can belong to near lines, by their lengths and
+    characters; those of halves of unlike sizes are not compared."""
+    most = allowed_edits(F.least("n", "n_v"), edits)
+    bits = F.lit(0)
+    for c in SIGNS:
+        bits = bits + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_v")))
+    return (F.abs(F.col("n") - F.col("n_v")) <= most) & ((F.col("half") != F.col("half_v")) | (bits <= 2 * most))
+
+
+def _second(rows: DataFrame, *keys: str) -> DataFrame:
+    """Columns for the second line of a pair, with ``_v`` behind their names but those of ``keys``."""
+    return rows.select(*keys, *[F.col(c).alias(f"{c}_v") for c in rows.columns if c not in keys])
 
 
 def _in_pairs(members: DataFrame) -> DataFrame:
@@ -166,48 +215,75 @@ def _in_pairs(members: DataFrame) -> DataFrame:
     return members.select("key", "lid", "indexed").join(index, "key").where("lid != v AND (NOT indexed OR lid > v)").select(F.col("lid").alias("u"), "v")
 
 
-def _ends() -> list[Column]:
-    return [F.substring("line", 1, ENDS).alias("head"), F.right("line", F.lit(ENDS)).alias("tail")]
+def _both(pairs: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """Pairs ``(u, v)`` with columns of both lines, those of the second one with ``_v`` behind their names."""
+    rows = texts.select("lid", "n", *columns)
+    first = pairs.join(rows.withColumnRenamed("lid", "u"), "u")
+    return first.join(_second(rows.withColumnRenamed("lid", "v"), "v"), "v")
 
 
-def _ends_agree(edits: int) -> Column:
-    """Whether ``(n, head, tail)`` and ``(n_v, head_v, tail_v)`` can belong to near lines: ends of one length are at most twice as
-    many edits apart as the lines."""
-    lengths = F.abs(F.col("n") - F.col("n_v")) <= allowed_edits(F.least("n", "n_v"), edits)
-    ends = [F.levenshtein(c, f"{c}_v", 2 * edits) >= 0 for c in ("head", "tail")]
-    return lengths & ends[0] & ends[1]
+def _ends_agree(edits: int, a: str, b: str, size: int) -> Column:
+    """Whether ends of one length are at most twice as many edits apart as near lines, both together if no edit is in both."""
+    most = 2 * allowed_edits(F.least("n", "n_v"), edits)
+    head = F.levenshtein(F.substring(a, 1, size), F.substring(b, 1, size), 2 * edits)
+    tail = F.levenshtein(F.right(a, F.lit(size)), F.right(b, F.lit(size)), 2 * edits)
+    apart = F.least(F.char_length(a), F.char_length(b)) >= 2 * size + most
+    return (head >= 0) & (head <= most) & (tail >= 0) & (tail <= most) & (~apart | (head + tail <= most))
 
 
-def _both(pairs: DataFrame, lines: DataFrame, *columns: Column) -> DataFrame:
-    """Pairs ``(u, v)`` with columns of both lines, those of the second one with ``_v`` behind their names."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("lid")).distinct()
-    texts = lines.join(sized(materialize(wanted, "wanted-lines"), 24), "lid").select(F.col("lid").alias("u"), "n", *columns)
-    texts = materialize(texts, "line-texts")
-    other = texts.select(F.col("u").alias("v"), *[F.col(c).alias(f"{c}_v") for c in texts.columns if c != "u"])
-    return pairs.join(texts, "u").join(other, "v")
-
-
-def _linked(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``(u, v)`` of lines, each once, that are near; whole lines are bounded before characters are laid out."""
-    bounded = _both(pairs, lines, F.col("line")).where(F.levenshtein("line", "line_v", edits) >= 0)
-    bounded = materialize(bounded.select("u", "v"), "bounded-pairs")
-    near = _both(bounded, lines, F.split("line", "").alias("chars"))
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(u, v, n, line, n_v, line_v)`` with ``mid`` and ``mid_v``: the lines without what they begin and end with in common.
+
+    The distance stays the same. A character is left where one would become empty. Of very long lines some equal parts stay.
+    """
+    steps, least = F.array(*map(F.lit, STEPS)), F.least("n", "n_v")
+
+    def longer(at, room):
+        def step(have: Column, more: Column) -> Column:
+            same = F.substring("line", at("n", have, more), more) == F.substring("line_v", at("n_v", have, more), more)
+            return F.when((have + more <= room) & same, have + more).otherwise(have)
+
+        return F.aggregate(steps, F.lit(0), step)
+
+    rows = pairs.withColumn("before", longer(lambda n, have, more: have + 1, least))
+    rows = rows.withColumn("behind", longer(lambda n, have, more: F.col(n) - have - more + 1, least - F.col("before")))
+    rows = rows.withColumns(
+        {
+            "before": F.greatest(F.col("before") - 1, F.lit(0)),
+            "behind": F.when(F.col("before") > 0, F.col("behind")).otherwise(F.greatest(F.col("behind") - 1, F.lit(0))),
+        }
+    )
+    mid = [F.substring(c, F.col("before") + 1, F.col(n) - F.col("before") - F.col("behind")) for c, n in (("line", "n"), ("line_v", "n_v"))]
+    return rows.select("u", "v", "n", "n_v", mid[0].alias("mid"), mid[1].alias("mid_v"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Pairs ``(u, v)`` of lines, each once, that are near; lines are bounded before characters are laid out."""
     most = allowed_edits(F.least("n", "n_v"), edits)
-    near = near.where(F.abs(F.col("n") - F.col("n_v")) <= most).where(edit_distance(F.col("chars"), F.col("chars_v"), edits) <= most)
+    close = _both(pairs, texts, "line").where(F.abs(F.col("n") - F.col("n_v")) <= most).where(_ends_agree(edits, "line", "line_v", ENDS))
+    close = materialize(_trimmed(materialize(close, "close-pairs")), "trimmed-pairs").where(_ends_agree(edits, "mid", "mid_v", MID_ENDS))
+    distance = F.levenshtein("mid", "mid_v", edits)
+    bounded = materialize(close.where((distance >= 0) & (distance <= most)), "bounded-pairs")
+    near = bounded.select("u", "v", "n", "n_v", F.split("mid", "").alias("chars"), F.split("mid_v", "").alias("chars_v"))
+    near = near.where(edit_distance(F.col("chars"), F.col("chars_v"), edits) <= most)
     return materialize(near.select("u", "v"), "line-links")
 
 
-def _with_cells(members: DataFrame, lines: DataFrame, component: DataFrame, edits: int) -> DataFrame:
-    """``(u, v)``: lines under crowded keys that are not linked yet and whose ends agree, compared in cells of bounded size."""
-    ends = lines.join(sized(members.select("lid").distinct(), 24), "lid").select("lid", "n", *_ends())
-    rows = members.join(ends, "lid").join(component.withColumnRenamed("node", "lid"), "lid", "left")
-    rows = rows.withColumns({"component": F.coalesce("component", "lid"), "groups": F.ceil(F.col("m") / CELL).cast("int")})
-    own = F.pmod(F.xxhash64("lid"), F.col("groups")).cast("int")
-    rows = materialize(rows.withColumn("own", own), "crowded-lines")
+def _with_cells(members: DataFrame, component: DataFrame, edits: int) -> DataFrame:
+    """``(u, v)``: lines under crowded keys that are not linked yet and can be near, compared in cells of bounded size."""
+    rows = members.join(component.withColumnRenamed("node", "lid"), "lid", "left")
+    rows = materialize(rows.withColumn("component", F.coalesce("component", "lid")), "crowded-lines")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+    rows = rows.join(sized(materialize(mixed, "mixed-keys"), 24), "key").withColumn("groups", F.ceil(F.col("m") / CELL).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("lid"), F.col("groups")).cast("int"))
+    keys = F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set(F.when(F.col("indexed"), F.col("key")))).alias("own_keys")
+    rows = rows.join(materialize(rows.groupBy("lid").agg(*keys), "line-keys"), "lid")
     every = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
-    index = rows.where("indexed").select("key", *[F.col(c).alias(f"{c}_v") for c in ("lid", "n", "head", "tail", "component", "indexed")], F.col("own").alias("y"), every.alias("x"))
+    index = _second(rows.where("indexed").select("key", "lid", "n", "half", *SIGNS, "component", "keys", "own_keys", F.col("own").alias("y"), every.alias("x")), "key", "x", "y")
     cells = rows.withColumnRenamed("own", "x").withColumn("y", every).join(index, ["key", "x", "y"])
-    new = cells.where("component != component_v AND (NOT indexed OR lid > lid_v)").where(_ends_agree(edits))
+    # Under the first of the keys that the two lines have in common.
+    meet = F.least(F.array_min(F.array_intersect("keys", "own_keys_v")), F.array_min(F.array_intersect("own_keys", "keys_v")))
+    new = cells.where("component != component_v AND (NOT indexed OR lid > lid_v)").where(_alike(edits)).where(F.col("key") == meet)
     return new.select(F.greatest("lid", "lid_v").alias("u"), F.least("lid", "lid_v").alias("v")).distinct()
 
 
@@ -219,22 +295,28 @@ def _near_links(lines: DataFrame, edits: int) -> DataFrame:
     )
     found = materialize(found.where("m > 1 AND m_index > 0 AND a != b"), "segments")
     # Two lines under a key are a pair; more of them are looked up again.
-    pairs = found.where("m = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = found.where("m = 2").select(F.col("b").alias("u"), F.col("a").alias("v"))
     members = materialize(keyed.join(sized(found.where("m > 2").select("key", "m"), 32), "key"), "segment-members")
     pairs = pairs.unionByName(_in_pairs(members.where(F.col("m") <= PAIRWISE)))
-    further = materialize(_further_keys(members.where(F.col("m") > PAIRWISE).drop("m"), lines, edits), "further-segments")
-    crowd = further.groupBy("key").agg(F.count("*").alias("m"), F.min(F.when(F.col("indexed"), F.col("lid"))).alias("v"))
+    many = members.where(F.col("m") > PAIRWISE).drop("m")
+    wanted = members.select("lid").unionByName(found.where("m = 2").select(F.explode(F.array("a", "b")).alias("lid"))).distinct()
+    texts = materialize(lines.join(sized(materialize(wanted, "wanted-lines"), 24), "lid"), "line-texts")
+    further = materialize(_further_keys(many, texts, edits), "further-segments")
+    own = F.when(F.col("indexed"), F.col("lid"))
+    crowd = further.groupBy("key").agg(F.count("*").alias("m"), F.min(own).alias("v"))
     further = materialize(further.join(crowd.where("m > 1 AND v IS NOT NULL"), "key"), "further-members")
     crowded = further.where(F.col("m") > PAIRWISE)
     pairs = pairs.unionByName(_in_pairs(further.where(F.col("m") <= PAIRWISE)))
     # Of crowded keys first only one line with each of the others.
-    pairs = pairs.unionByName(crowded.where("lid != v").select(F.col("lid").alias("u"), "v"))
-    pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
-    links = _linked(materialize(_both(pairs, lines, *_ends()).where(_ends_agree(edits)).select("u", "v"), "close-pairs"), lines, edits)
+    star = crowded.where("lid != v").select(F.col("lid").alias("u"), "v")
+    pairs = materialize(pairs.unionByName(star).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
+    links = _linked(pairs, texts, edits)
     if crowded.isEmpty():
         return links
-    left = _with_cells(crowded.drop("v"), lines, materialize(connected_components(links), "first-components"), edits)
-    return links.unionByName(_linked(materialize(left, "cell-pairs"), lines, edits))
+    signed = materialize(_signed(texts.join(crowded.select("lid").distinct(), "lid")), "line-signs")
+    first = materialize(connected_components(links), "first-components")
+    left = _with_cells(crowded.drop("v").join(signed, "lid"), first, edits)
+    return links.unionByName(_linked(materialize(left, "cell-pairs"), texts, edits))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = THRESHOLD) -> DataFrame:

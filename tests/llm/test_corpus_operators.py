@@ -332,6 +332,24 @@ def test_lines_several_edits_apart(spark, monkeypatch, edits, pairwise):
     assert {tuple(r) for r in connected_components(links).collect()} == {tuple(r) for r in connected_components(near).collect()}
 
 
+def test_lines_with_a_common_part_are_few_pairs(spark, monkeypatch):
+    # Under one key, but with nothing else in common: before, each was compared with each.
+    rows, write = {}, line_dedup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    rng = random.Random(12)
+    texts = ["the same long beginning of many lines, and " + "".join(rng.choices("abcdefgh", k=90)) for _ in range(45)]
+    texts.append(texts[7][:60] + "xyz" + texts[7][60:])
+    lines = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(texts)], "lid bigint, line string, n int")
+    assert [tuple(r) for r in line_dedup._near_links(lines, 4).collect()] == [(45, 7)]
+    assert rows["line-pairs"] + rows.get("cell-pairs", 0) < 3 * len(texts)
+
+
 def test_query_finds_replaced_words(documents):
     line = "the quick brown fox jumps over the lazy dog, and then it sleeps for the rest of a long summer's day without a dream"
     rows = [(1, line), (2, line.replace("quick", "slack")), (3, line.replace("quick brown", "black bird")), (None, "x\n" + line.replace("lazy ", ""))]
