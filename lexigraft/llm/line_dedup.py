@@ -129,7 +129,7 @@ def _placed(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def _segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """``(lid, key, indexed, low, most, width, part, at)``: hashes of the segments of a line, one more than its edits.
+    """``(lid, key, indexed, n, low, most, width, part, at)``: hashes of the segments of a line, one more than its edits.
 
     A line is indexed by its own segments and looked up by those moved by as many places as edits can move them. A line
     that is hardly longer than a shorter kind is looked up among those too. In a line of ASCII characters only, places
@@ -145,17 +145,18 @@ def _segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     by_char = F.substring("line", F.col("at") + 1, F.col("width")).cast("binary")
     piece = F.when(F.col("ascii"), F.substring("bytes", F.col("at") + 1, F.col("width"))).otherwise(by_char)
     indexed = (F.col("own") & (F.col("shift") == 0)).alias("indexed")
-    return rows.select("lid", F.xxhash64("low", "part", piece).alias("key"), indexed, "low", "most", "width", "part", "at")
+    return rows.select("lid", F.xxhash64("low", "part", piece).alias("key"), indexed, F.col("end").alias("n"), "low", "most", "width", "part", "at")
 
 
 def _further_keys(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """``(lid, key, indexed)`` for lines under a crowded key: what stands beside their common segment is cut in the same way.
+    """``(lid, key, indexed, n)`` for lines under a crowded key: what stands beside their common segment is cut in the same way.
 
     Before segment number k there are at most k edits, behind it at most the others. The side with more room is taken.
     """
     behind = 2 * F.col("part") <= F.col("most")
-    beside = members.join(texts, "lid").select(
+    beside = members.drop("n").join(texts, "lid").select(
         "lid",
+        "n",
         "line",
         "key",
         "indexed",
@@ -166,7 +167,7 @@ def _further_keys(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame
     )
     rows = _placed(beside.withColumn("width", (F.col("room") / (F.col("most") + 1)).cast("int")).drop("room"), edits)
     key = F.xxhash64("key", "part", F.substring("line", F.col("at") + 1, F.col("width")))
-    return rows.select("lid", key.alias("key"), (F.col("indexed") & (F.col("shift") == 0)).alias("indexed"))
+    return rows.select("lid", key.alias("key"), (F.col("indexed") & (F.col("shift") == 0)).alias("indexed"), "n")
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -209,10 +210,15 @@ def _second(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, *[F.col(c).alias(f"{c}_v") for c in rows.columns if c not in keys])
 
 
-def _in_pairs(members: DataFrame) -> DataFrame:
-    """``(u, v)``: indexed lines with every other line under their key."""
-    index = members.where("indexed").select("key", F.col("lid").alias("v"))
-    return members.select("key", "lid", "indexed").join(index, "key").where("lid != v AND (NOT indexed OR lid > v)").select(F.col("lid").alias("u"), "v")
+def _lengths_agree(edits: int) -> Column:
+    return F.abs(F.col("n") - F.col("n_v")) <= allowed_edits(F.least("n", "n_v"), edits)
+
+
+def _in_pairs(members: DataFrame, edits: int) -> DataFrame:
+    """``(u, v)``: indexed lines with every other line under their key whose length allows it."""
+    index = _second(members.where("indexed").select("key", "lid", "n"), "key")
+    pairs = members.select("key", "lid", "indexed", "n").join(index, "key").where("lid != lid_v AND (NOT indexed OR lid > lid_v)")
+    return pairs.where(_lengths_agree(edits)).select(F.col("lid").alias("u"), F.col("lid_v").alias("v"))
 
 
 def _both(pairs: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
@@ -297,25 +303,25 @@ def _near_links(lines: DataFrame, edits: int) -> DataFrame:
     # Two lines under a key are a pair; more of them are looked up again.
     pairs = found.where("m = 2").select(F.col("b").alias("u"), F.col("a").alias("v"))
     members = materialize(keyed.join(sized(found.where("m > 2").select("key", "m"), 32), "key"), "segment-members")
-    pairs = pairs.unionByName(_in_pairs(members.where(F.col("m") <= PAIRWISE)))
+    pairs = pairs.unionByName(_in_pairs(members.where(F.col("m") <= PAIRWISE), edits))
     many = members.where(F.col("m") > PAIRWISE).drop("m")
     wanted = members.select("lid").unionByName(found.where("m = 2").select(F.explode(F.array("a", "b")).alias("lid"))).distinct()
     texts = materialize(lines.join(sized(materialize(wanted, "wanted-lines"), 24), "lid"), "line-texts")
     further = materialize(_further_keys(many, texts, edits), "further-segments")
-    own = F.when(F.col("indexed"), F.col("lid"))
+    own = F.when(F.col("indexed"), F.struct("lid", F.col("n").alias("n_v")))
     crowd = further.groupBy("key").agg(F.count("*").alias("m"), F.min(own).alias("v"))
     further = materialize(further.join(crowd.where("m > 1 AND v IS NOT NULL"), "key"), "further-members")
     crowded = further.where(F.col("m") > PAIRWISE)
-    pairs = pairs.unionByName(_in_pairs(further.where(F.col("m") <= PAIRWISE)))
+    pairs = pairs.unionByName(_in_pairs(further.where(F.col("m") <= PAIRWISE), edits))
     # Of crowded keys first only one line with each of the others.
-    star = crowded.where("lid != v").select(F.col("lid").alias("u"), "v")
+    star = crowded.select(F.col("lid").alias("u"), "n", F.col("v.lid").alias("v"), "v.n_v").where("u != v").where(_lengths_agree(edits)).select("u", "v")
     pairs = materialize(pairs.unionByName(star).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
     links = _linked(pairs, texts, edits)
     if crowded.isEmpty():
         return links
     signed = materialize(_signed(texts.join(crowded.select("lid").distinct(), "lid")), "line-signs")
     first = materialize(connected_components(links), "first-components")
-    left = _with_cells(crowded.drop("v").join(signed, "lid"), first, edits)
+    left = _with_cells(crowded.drop("v", "n").join(signed, "lid"), first, edits)
     return links.unionByName(_linked(materialize(left, "cell-pairs"), texts, edits))
 
 
