@@ -383,3 +383,19 @@ def test_texts_are_cut_in_runs_however_large_a_batch_is():
     runs = list(s.text_runs([batch, batch.slice(0, 0)]))
     assert [t for r in runs for t in r.column("text").to_pylist()] == texts and len(runs) >= 4
     assert all(r.num_rows == 1 or sum(len(t or "") for t in r.column("text").to_pylist()) <= s.CHUNK_CHARS for r in runs)
+
+
+def test_a_task_lays_out_the_pairs_of_some_buckets_at_a_time():
+    import tracemalloc
+
+    from lexigraft.operators import cooccurrence as c
+
+    tokens = np.random.default_rng(2).integers(0, 60_000, 200_000).tolist()
+    counter = c._Counter(5)
+    tracemalloc.start()
+    rows = [b.num_rows for b in [*counter.add(["x"], [tokens]), *counter.rest()]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == c.BUCKETS and max(rows) <= c.COUNTED_BUCKETS
+    # Two million pairs in both directions.
+    assert peak < 30e6
