@@ -399,3 +399,18 @@ def test_a_task_lays_out_the_pairs_of_some_buckets_at_a_time():
     assert sum(rows) == c.BUCKETS and max(rows) <= c.COUNTED_BUCKETS
     # Two million pairs in both directions.
     assert peak < 30e6
+
+
+def test_words_are_searched_in_bounded_runs():
+    import tracemalloc
+
+    from lexigraft.operators import segmentation as s
+
+    rng = np.random.default_rng(3)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (100_000, 8))]
+    pieces = Pieces.build([(c, k, 0.0) for k, c in enumerate([*"abcdefgh", "abc", "▁a"])], None)
+    tracemalloc.start()
+    parts = s.cut_texts(["x"], [" ".join(words)], ({"x": pieces}, {}), "greedy", False, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts[0]) > 700_000 and peak < 75e6, peak
