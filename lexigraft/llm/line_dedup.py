@@ -88,7 +88,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")
     )
-    return base.where((F.char_length("line") >= MIN_CHARS) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return base.where((F.char_length("line") >= MIN_CHARS) & (F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
 
 
 def allowed_edits(n: Column, edits: int) -> Column:
@@ -152,9 +152,11 @@ def _further_keys(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame
     """``(lid, key, indexed, n)`` for lines under a crowded key: what stands beside their common segment is cut in the same way.
 
     Before segment number k there are at most k edits, behind it at most the others. The side with more room is taken.
+    A line's text is fetched once for all its keys.
     """
     behind = 2 * F.col("part") <= F.col("most")
-    beside = members.drop("n").join(texts, "lid").select(
+    per_line = members.groupBy("lid").agg(F.collect_list(F.struct("key", "indexed", "low", "most", "width", "part", "at")).alias("under"))
+    beside = per_line.join(texts, "lid").select("lid", "n", "line", F.explode("under").alias("_under")).select("lid", "n", "line", "_under.*").select(
         "lid",
         "n",
         "line",
@@ -275,15 +277,21 @@ def _linked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return materialize(near.select("u", "v"), "line-links")
 
 
-def _with_cells(members: DataFrame, component: DataFrame, edits: int) -> DataFrame:
-    """``(u, v)``: lines under crowded keys that are not linked yet and can be near, compared in cells of bounded size."""
-    rows = members.join(component.withColumnRenamed("node", "lid"), "lid", "left")
+def _with_cells(members: DataFrame, signed: DataFrame, component: DataFrame, edits: int) -> DataFrame:
+    """``(u, v)``: lines under crowded keys that are not linked yet and can be near, compared in cells of bounded size.
+
+    The keys of a line, at most the square of its places, are one row until they meet those of others.
+    """
+    under = F.collect_list(F.struct("key", "indexed", "m")).alias("under")
+    rows = members.groupBy("lid").agg(under).join(component.withColumnRenamed("node", "lid"), "lid", "left")
     rows = materialize(rows.withColumn("component", F.coalesce("component", "lid")), "crowded-lines")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    rows = rows.join(sized(materialize(mixed, "mixed-keys"), 24), "key").withColumn("groups", F.ceil(F.col("m") / CELL).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("lid"), F.col("groups")).cast("int"))
+    by_key = rows.select("lid", "component", F.explode("under").alias("_under")).select("lid", "component", "_under.*")
+    mixed = by_key.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
     keys = F.array_sort(F.collect_set("key")).alias("keys"), F.array_sort(F.collect_set(F.when(F.col("indexed"), F.col("key")))).alias("own_keys")
-    rows = rows.join(materialize(rows.groupBy("lid").agg(*keys), "line-keys"), "lid")
+    left = by_key.join(sized(materialize(mixed, "mixed-keys"), 24), "key").groupBy("lid", "component").agg(under, *keys)
+    rows = materialize(left, "line-keys").join(signed, "lid").select("*", F.explode("under").alias("_under"))
+    rows = rows.select("*", "_under.*").drop("under", "_under").withColumn("groups", F.ceil(F.col("m") / CELL).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("lid"), F.col("groups")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
     index = _second(rows.where("indexed").select("key", "lid", "n", "half", *SIGNS, "component", "keys", "own_keys", F.col("own").alias("y"), every.alias("x")), "key", "x", "y")
     cells = rows.withColumnRenamed("own", "x").withColumn("y", every).join(index, ["key", "x", "y"])
@@ -296,10 +304,10 @@ def _with_cells(members: DataFrame, component: DataFrame, edits: int) -> DataFra
 def _near_links(lines: DataFrame, edits: int) -> DataFrame:
     """Links ``(u, v)`` that connect all of ``lines(lid, line, n)`` that single links of near lines connect."""
     keyed = _segment_keys(lines, edits)
-    found = keyed.groupBy("key").agg(
-        F.count("*").alias("m"), F.count(F.when(F.col("indexed"), 1)).alias("m_index"), F.min("lid").alias("a"), F.max("lid").alias("b")
-    )
-    found = materialize(found.where("m > 1 AND m_index > 0 AND a != b"), "segments")
+    # Both counts in one sum: most keys have one line, and their rows are shuffled.
+    both = F.sum(F.when(F.col("indexed"), (1 << 32) + 1).otherwise(1)).alias("both")
+    found = keyed.groupBy("key").agg(both, F.min("lid").alias("a"), F.max("lid").alias("b")).where(f"both >= {1 << 32} AND a != b")
+    found = materialize(found.select("key", F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).alias("m"), "a", "b"), "segments")
     # Two lines under a key are a pair; more of them are looked up again.
     pairs = found.where("m = 2").select(F.col("b").alias("u"), F.col("a").alias("v"))
     members = materialize(keyed.join(sized(found.where("m > 2").select("key", "m"), 32), "key"), "segment-members")
@@ -321,7 +329,7 @@ def _near_links(lines: DataFrame, edits: int) -> DataFrame:
         return links
     signed = materialize(_signed(texts.join(crowded.select("lid").distinct(), "lid")), "line-signs")
     first = materialize(connected_components(links), "first-components")
-    left = _with_cells(crowded.drop("v", "n").join(signed, "lid"), first, edits)
+    left = _with_cells(crowded.drop("v", "n"), signed, first, edits)
     return links.unionByName(_linked(materialize(left, "cell-pairs"), texts, edits))
 
 

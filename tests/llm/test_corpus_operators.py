@@ -359,6 +359,23 @@ def test_query_finds_replaced_words(documents):
         line_dedup.line_classes(documents(rows), edits=15)
 
 
+def test_crowded_lines_are_one_row_each_until_their_keys_meet(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = {k: "a common beginning " * 6 + "".join(rng.choice("abcdefgh") for _ in range(60)) for k in range(30)}
+    lines[30] = lines[7][:-1] + "z"
+    rows, write = {}, line_dedup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    table = spark.createDataFrame([(k, x, len(x)) for k, x in lines.items()], "lid long, line string, n int")
+    assert [tuple(r) for r in line_dedup._near_links(table, 4).collect()] == [(30, 7)]
+    assert rows["crowded-lines"] == rows["line-keys"] == 31
+
+
 def test_lines_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.kept_text for r in line_dedup.without_repeated_lines(docs).collect()}
